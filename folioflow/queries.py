@@ -1,0 +1,12 @@
+"""Every query over the test tables and the SQL each is held against."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES = {}
+SQL = {}
+
+
+def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raise NotImplementedError
