@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from folioflow.llm.fingerprints import op2_fingerprints
+from folioflow.llm.ngram_join import op6_ngram_join
+from folioflow.llm.quality_classifier import op10_quality_classifier
 from folioflow.llm.quality_rules import op8_quality_rules
+from folioflow.llm.secrets import op5_secrets
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
+    "op5_secrets": op5_secrets,
+    "op6_ngram_join": op6_ngram_join,
     "op8_quality_rules": op8_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {}
