@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,19 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_folioflow_sent", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp()) / "folioflow_workers.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(str(name))
-    sc._folioflow_sent = True
+from folioflow.session import ship
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
