@@ -76,32 +76,29 @@ def placed(docs: DataFrame, weights: dict[str | None, float] | None = None, name
     """`docs` with a struct: block (of its source), release, deadline, slot, position.
 
     Position orders the mixture: slot * BLOCK + place in the block; positions of slots left empty are not
-    used. Null source is a source of its own; rows of equal id take neighbouring places in any order. A
+    used. A column of that name is replaced. Null source is a source of its own; rows of equal id take neighbouring places in any order. A
     source without a weight counts as the least. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    tag, key, salt, rank = (own_name(docs, x) for x in ("tag", "key", "salt", "rank"))
     # the hash's first digits split a source, however large, into 256 runs of its order
-    rows = docs.withColumn(tag, source_tag()).withColumn(key, order_key()).withColumn(salt, F.substring(key, 1, 2))
-    counts = written(docs.select(source_tag().alias("tag"), F.substring(order_key(), 1, 2).alias("salt")).groupBy("tag", "salt").agg(F.count("*").alias("n")), "mix-counts")
+    cut = lambda df: df.withColumn("salt", F.substring("key", 1, 2))
+    counts = written(cut(docs.select(source_tag().alias("tag"), order_key().alias("key"))).groupBy("tag", "salt").agg(F.count("*").alias("n")), "mix-counts")
     before = Window.partitionBy("tag").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col("tag").alias(tag), F.col("salt").alias(salt), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    starts = counts.select("tag", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     plan = written(schedule(targets(counts.groupBy("tag").agg(F.sum("n").alias("n")), weights)), "mix-plan")
-    plan = plan.select(F.col("tag").alias(tag), F.col("quota").alias("__quota"), F.col("period").alias("__period"), F.col("slots").alias("__slots"))
-    rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(tag, salt).orderBy(key, "doc_id")) - 1)
-    rows = rows.join(starts, [tag, salt]).join(plan, tag)
-    rows = rows.withColumn(rank, F.col(rank) + F.col("__start"))
-    block = F.expr(f"`{rank}` div {BLOCK}")
-    rows = rows.withColumn(key, block).withColumn(salt, F.expr(f"(`{key}` div __quota) * __period")).withColumn("__k", F.expr(f"`{key}` % __quota"))
-    slot = F.col(salt) + F.expr("__slots[cast(__k as int)]")
+    rows = cut(docs.select(F.struct("*").alias("row"), source_tag().alias("tag"), order_key().alias("key")))
+    rows = rows.withColumn("own", F.row_number().over(Window.partitionBy("tag", "salt").orderBy("key", "row.doc_id")) - 1)
+    rows = rows.join(starts, ["tag", "salt"]).join(plan, "tag").withColumn("rank", F.col("own") + F.col("start"))
+    rows = rows.withColumn("block", F.expr(f"rank div {BLOCK}")).withColumn("turn", F.expr("(block div quota) * period")).withColumn("k", F.expr("block % quota"))
+    rows = rows.withColumn("slot", F.expr("turn + slots[cast(k as int)]"))
     mix = F.struct(
-        F.col(key).cast("long").alias("block"),
-        (F.col(salt) + F.expr("(__k * __period) div __quota")).cast("long").alias("release"),
-        (F.col(salt) + F.expr("((__k + 1) * __period + __quota - 1) div __quota")).cast("long").alias("deadline"),
-        slot.cast("long").alias("slot"),
-        (slot * BLOCK + F.col(rank) % BLOCK).cast("long").alias("position"),
+        F.col("block").cast("long").alias("block"),
+        F.expr("turn + (k * period) div quota").cast("long").alias("release"),
+        F.expr("turn + ((k + 1) * period + quota - 1) div quota").cast("long").alias("deadline"),
+        F.col("slot").cast("long").alias("slot"),
+        F.expr(f"slot * {BLOCK} + rank % {BLOCK}").cast("long").alias("position"),
     )
-    return rows.withColumn(name, mix).drop(tag, key, salt, rank, "__start", "__quota", "__period", "__slots", "__k")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()], mix.alias(name))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None) -> DataFrame:

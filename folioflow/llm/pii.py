@@ -166,10 +166,10 @@ def _scored(kind: Kind, text: str):
 
 def find_personal_data(docs: DataFrame, kinds: list[Kind] = KINDS, name: str = "pii") -> DataFrame:
     """`docs` with an array of (kind, start, end, match, score), by kind as listed, then start. A column of that name is replaced."""
-    found = with_spans(docs, kinds)
+    found = with_spans(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), kinds)
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string,score:double>>")
     said = [F.coalesce(F.transform(F.col(f"__pii_{k.name}"), _named(k)), none) for k in kinds]
-    return found.withColumn(name, F.concat(*said)).drop(*[f"__pii_{k.name}" for k in kinds])
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() != name.lower()], F.concat(*said).alias(name))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
