@@ -49,10 +49,13 @@ def ingest(store: Store, papers: DataFrame, blocks: DataFrame, embed: Callable |
     Papers with vectors in the store are left alone. The topic vector is made once; a paper's relevance is the
     cosine of its summary's vector with it.
     """
-    done = store.table("vectors")
+    done, todo = store.table("vectors"), papers.select("paper_id").distinct()
     if done is not None:
-        todo = done.select("paper_id").distinct()
-        papers, blocks = papers.join(todo, "paper_id", "left_anti"), blocks.join(todo, "paper_id", "left_anti")
+        todo = todo.join(done, "paper_id", "left_anti")
+    # the work is settled before the tables that it follows from change
+    replace(todo, f"{store.path}/todo")
+    todo = store.table("todo")
+    papers, blocks = papers.join(todo, "paper_id", "left_semi"), blocks.join(todo, "paper_id", "left_semi")
     titled = papers.withColumn("title", F.coalesce(F.nullif(first_heading(F.col("markdown")), F.lit("")), F.col("title")) if "title" in papers.columns else first_heading(F.col("markdown")))
     vector = models.embedder(embed or models.fake_vectors, models.DIM)
     store.put("blocks", blocks)
@@ -62,7 +65,7 @@ def ingest(store: Store, papers: DataFrame, blocks: DataFrame, embed: Callable |
     rows = store.table("summaries").join(own, "paper_id", "left_semi").select(F.col("summary_id").alias("id"), F.lit("summary").alias("kind"), "paper_id", "text", F.lit("").alias("section_path"))
     rows = rows.unionByName(store.table("chunks").join(own, "paper_id", "left_semi").select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("kind"), "paper_id", "text", "section_path"))
     store.put("vectors", rows.join(titled.select("paper_id", "categories", "published"), "paper_id").withColumn("embedding", vector("text")))
-    scored = titled
+    scored = titled.withColumn("relevance_score", F.lit(None).cast("double"))
     if topic:
         t = store.spark.createDataFrame([(" ".join(topic),)], "text string").select(vector("text").alias("vector"))
         s = retrieval.relevance(store.table("vectors").filter("kind = 'summary'"), t).select(F.regexp_replace("id", ":summary$", "").alias("paper_id"), "relevance_score")
