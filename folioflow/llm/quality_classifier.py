@@ -22,7 +22,8 @@ from folioflow.llm.text import mix, text_buffers, word_hashes
 MAX_TRAIN = 4000
 BUCKETS, DIM = 1 << 17, 16
 GRAMS = (2, 3, 4)
-EPOCHS, RATE, SEED = 6, 0.5, 12
+#: Steps of the descent, over as many epochs as that takes.
+STEPS, RATE, SEED = 24_000, 0.5, 12
 THRESHOLD = 0.3
 HELD_OUT = 5
 
@@ -70,8 +71,9 @@ def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     vectors = ((rng.random((BUCKETS, DIM), dtype=np.float32) - 0.5) / DIM).astype(np.float32)
     output, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
     rows = [features(t) for t in texts]
-    steps, done = EPOCHS * len(rows), 0
-    for _ in range(EPOCHS):
+    epochs = -(-STEPS // len(rows))
+    steps, done = epochs * len(rows), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             rate = RATE * (1 - done / steps)
             done += 1
