@@ -106,3 +106,15 @@ def atom_entries(feeds: DataFrame, xml: str = "xml") -> DataFrame:
 def bad_document(content: Column) -> Column:
     """Why bytes aren't a PDF: gzip, tar, or no PDF header; null if they are."""
     return F.when(F.substring(content, 1, 2) == F.unhex(F.lit("1F8B")), "gzip").when(F.substring(content, 258, 5) == F.encode(F.lit("ustar"), "utf-8"), "tar").when(F.substring(content, 1, 5) != F.encode(F.lit("%PDF-"), "utf-8"), "not a pdf")
+
+
+def assembled(markdown: DataFrame, blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents: paper_id, markdown, n_blocks; failures: paper_id, error_type, error).
+
+    A paper without blocks is a permanent failure. A blank or missing text is its blocks' texts in order.
+    """
+    b = blocks.groupBy("paper_id").agg(F.count("*").alias("n_blocks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("joined"))
+    j = markdown.join(b, "paper_id", "left")
+    good = j.filter("n_blocks > 0").select("paper_id", F.coalesce(F.when(F.trim("markdown") != "", F.col("markdown")), F.col("joined")).alias("markdown"), "n_blocks")
+    bad = j.filter("n_blocks IS NULL").select("paper_id", F.lit("PermanentError").alias("error_type"), F.lit("no blocks").alias("error"))
+    return good, bad

@@ -97,3 +97,19 @@ def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filte
     scores = tfidf_scores(rows, questions, collection) if channel == "tfidf" else overlap_scores(rows, questions)
     fused = rrf(dense(rows, questions), sparse(scores), weight, by=["query_id"])
     return ranked(fused.withColumn("score", F.round("score", 12)), ["query_id"], most)
+
+
+def request_filters(categories: str | None = None, after: str | None = None, before: str | None = None) -> Filters:
+    """Filters of a request's texts: a comma list, ISO dates. What can't be read doesn't filter; a reversed range is an error."""
+    from folioflow.functions.dates import compact_date
+
+    def day(text: str | None) -> date | None:
+        try:
+            return compact_date(text)
+        except ValueError:
+            return None
+
+    lo, hi = day(after), day(before)
+    if lo and hi and lo > hi:
+        raise ValueError("the range of dates is reversed")
+    return Filters(tuple(c.strip() for c in (categories or "").split(",") if c.strip()) or None, lo, hi)

@@ -99,3 +99,15 @@ def decisions(sizes: DataFrame, by: str, at: str) -> DataFrame:
     """`sizes` with the size before and the zone it moved to."""
     old = F.lag("size").over(Window.partitionBy(by).orderBy(at))
     return sizes.withColumn("old", old).withColumn("zone", F.when(F.col("size") < old, "shrink").when(F.col("size") > old, "grow").otherwise("hold"))
+
+
+def status(state: DataFrame, quarantine: DataFrame, diagnostics: DataFrame, events: DataFrame, cached: DataFrame, started: Column, now: Column, target: int) -> DataFrame:
+    """One row of all that a status page shows: funnel, reasons, stage, rates, cache, each an aggregate of one row."""
+    from folioflow.operators.state import funnel, quarantine_reasons
+
+    f = funnel(state).agg(F.map_from_entries(F.collect_list(F.struct("stage", "reached"))).alias("funnel"))
+    reasons = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("minus"), "reason", "n")))
+    r = quarantine_reasons(quarantine, diagnostics, state).agg(F.transform(reasons, lambda x: F.struct(x["reason"].alias("reason"), x["n"].alias("count"))).alias("quarantine_reasons"))
+    s = current_stage(latest_run(events)).agg(F.max("stage").alias("stage"))
+    c = cached.agg(F.count("*").alias("cached"))
+    return f.crossJoin(r).crossJoin(s).crossJoin(throughput(state, started, now, target)).crossJoin(c)

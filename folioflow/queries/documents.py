@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions import markup
 from folioflow.functions import text as tx
 from folioflow.operators import chunking, models, parsing, search
 from folioflow.queries.views import BLOCKS, LINES, tokens, with_, words
@@ -145,11 +146,30 @@ def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.blocks(items, pages).select("block_id", "paper_id", F.col("idx").cast("long").alias("idx"), "type", F.md5("text").alias("text_md5"), F.round("bbox.x1", 6).alias("x1"), "section_path")
 
 
+def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the second source have lost their text, those of the third their blocks."""
+    p = tables.papers(spark, sf_dir)
+    md = p.select("paper_id", F.when(F.array_contains("categories", "src1"), " ").otherwise(F.col("markdown")).alias("markdown"))
+    b = tables.blocks(spark, sf_dir).join(p.filter(~F.array_contains("categories", "src2")), "paper_id", "left_semi")
+    good, bad = parsing.assembled(md, b)
+    return good.select("paper_id", F.md5("markdown").alias("markdown_md5"), "n_blocks", F.lit(None).cast("string").alias("error")).unionByName(bad.select("paper_id", F.lit(None).cast("string").alias("markdown_md5"), F.lit(None).cast("long").alias("n_blocks"), "error"))
+
+
+def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of each page's menu, laid out as a table and turned into Markdown."""
+    html = F.concat(F.lit("<table><tr><th>link</th></tr>"), F.array_join(F.transform(F.regexp_extract_all("html", F.lit("<li><a [^>]*>([^<]*)</a></li>"), 1), lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td></tr>"))), ""), F.lit("</table>"))
+    return table(spark, sf_dir, "pages").select("page_id", markup.tables_as_markdown(html).alias("markdown"))
+
+
+def normalized_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", F.md5(markup.normalized("text")).alias("text_md5"))
+
+
 def fake_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", models.embedder(models.fake_vectors, models.DIM)("text").alias("vector"))
 
 
-QUERIES = {f.__name__: f for f in (runlength_groups, greedy_chunks, chunk_overlap_carry, chunk_texts, section_path_stack, snippet, word_counts, tf_bag, doc_freq_idf, token_ids, heading_depths, summary_prep, fake_summaries, latest_version, version_sort_v10, atom_entries, id_regex_extract, parsed_blocks, fake_embed)}
+QUERIES = {f.__name__: f for f in (runlength_groups, greedy_chunks, chunk_overlap_carry, chunk_texts, section_path_stack, snippet, word_counts, tf_bag, doc_freq_idf, token_ids, heading_depths, summary_prep, fake_summaries, latest_version, version_sort_v10, atom_entries, id_regex_extract, parsed_blocks, assembled_documents, page_lists, normalized_items, fake_embed)}
 
 _W = f"len({words('text')})"
 _RUNS = """marked AS (SELECT *, CASE WHEN idx > min(idx) OVER (PARTITION BY paper_id) AND section_path IS DISTINCT FROM lag(section_path) OVER (PARTITION BY paper_id ORDER BY idx) THEN 1 ELSE 0 END AS new FROM {0}),
@@ -208,4 +228,7 @@ used AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) AS n F
 pathed AS (SELECT *, last_value(CASE WHEN level2 AND type = 'text' THEN text END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY idx) AS path FROM used),
 kept AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) - 1 AS i FROM pathed WHERE trim(text) <> '')""")
     + "SELECT paper_id || ':b' || i AS block_id, paper_id, i AS idx, CASE WHEN type = 'algorithm' THEN 'code' ELSE 'prose' END AS type, md5(text) AS text_md5, 306.0::DOUBLE AS x1, coalesce(path, '') AS section_path FROM kept",
+    "assembled_documents": "SELECT cast(doc_id AS VARCHAR) AS paper_id, CASE WHEN source <> 'src2' THEN md5(CASE WHEN source = 'src1' THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END) END AS markdown_md5, CASE WHEN source <> 'src2' THEN len(string_split(text, chr(10))) END AS n_blocks, CASE WHEN source = 'src2' THEN 'no blocks' END AS error FROM documents",
+    "page_lists": "SELECT page_id, '| link |' || chr(10) || '| --- |' || array_to_string(list_transform(regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1), lambda x: chr(10) || '| ' || x || ' |'), '') AS markdown FROM pages",
+    "normalized_items": r"SELECT item_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM benchmark",
 }

@@ -158,6 +158,13 @@ def wall_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.wall_clock(_log(spark, sf_dir), F.lit(1706745600.0)).select("run_id", F.round("seconds", 6).alias("seconds"))
 
 
+def status_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = lambda t: F.to_timestamp(F.lit(t))
+    s = tables.state(spark, sf_dir).withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    row = telemetry.status(s, _quarantine(spark, sf_dir), _diagnostics(spark, sf_dir), _log(spark, sf_dir), tables.papers(spark, sf_dir), ts("2024-01-29 00:00:00"), ts("2024-01-31 00:00:00"), 1000)
+    return row.select(F.col("funnel")["done"].alias("done"), F.col("funnel")["harvested"].alias("harvested"), F.array_join(F.transform("quarantine_reasons", lambda r: F.concat_ws("=", r["reason"], r["count"].cast("string"))), ",").alias("reasons"), "stage", "run_done", F.round("papers_per_hour", 9).alias("papers_per_hour"), "cached")
+
+
 def aimd_batch_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int")
@@ -176,7 +183,7 @@ def note_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.rendered(p.join(sections, "paper_id", "left")).select("paper_id", "file", F.md5("note").alias("note_md5"))
 
 
-QUERIES = {f.__name__: f for f in (checkpoint_merge, upsert_replace, cascade_delete_ids, quarantine_first_wins, resume_worklist, stage_funnel, quarantine_reasons, run_summary, gpu_by_stage, benchmark_stats, throughput_eta, done_count_filtered, integrity_offenders, known_ids_union, cached_not_done, stranded_policy, relevance_order, round_robin_shards, prefetch_list, latest_run_events, current_stage, wall_clock, aimd_batch_sizes, snapshot_counts, note_export)}
+QUERIES = {f.__name__: f for f in (checkpoint_merge, upsert_replace, cascade_delete_ids, quarantine_first_wins, resume_worklist, stage_funnel, quarantine_reasons, run_summary, gpu_by_stage, benchmark_stats, throughput_eta, done_count_filtered, integrity_offenders, known_ids_union, cached_not_done, stranded_policy, relevance_order, round_robin_shards, prefetch_list, latest_run_events, current_stage, wall_clock, status_view, aimd_batch_sizes, snapshot_counts, note_export)}
 
 _STAGES = "['harvested', 'parsed', 'chunked', 'summarized', 'embedded', 'stored', 'done']"
 _OPEN = """cached AS (SELECT DISTINCT cast(doc_id AS VARCHAR) AS paper_id FROM documents),
@@ -216,6 +223,13 @@ FROM state JOIN documents d ON paper_id = cast(doc_id AS VARCHAR) WHERE stage =
         """walk AS (SELECT run_id, n, total, CASE event WHEN 'STAGE_START' THEN stage WHEN 'RUN_END' THEN 'done' END AS s FROM steps WHERE n = 1
   UNION ALL SELECT t.run_id, t.n, t.total, CASE WHEN event = 'STAGE_START' THEN stage WHEN event = 'STAGE_END' AND stage IS NOT DISTINCT FROM s THEN NULL WHEN event = 'RUN_END' THEN 'done' ELSE s END FROM walk w JOIN steps t ON t.run_id = w.run_id AND t.n = w.n + 1)""", recursive=True) + "SELECT run_id, s AS stage FROM walk WHERE n = total",
     "wall_clock": with_(_LOG) + "SELECT run_id, CASE WHEN count(*) FILTER (event = 'RUN_START') > 0 THEN round(coalesce(arg_min(wall_clock_s, line_no) FILTER (event = 'RUN_END'), 1706745600.0::DOUBLE - arg_min(ts, line_no) FILTER (event = 'RUN_START')), 6) END AS seconds FROM log GROUP BY 1",
+    "status_view": with_(STATE, QUARANTINE, _LOG, "q AS (SELECT * FROM quarantine ANTI JOIN (SELECT paper_id FROM state WHERE stage = 'done') USING (paper_id))", "d AS (SELECT error_type AS reason, count(*) AS n FROM diagnostics SEMI JOIN q USING (paper_id) GROUP BY 1)",
+        "r AS (SELECT reason, n FROM d UNION ALL SELECT 'unknown (quarantined before diagnostics were recorded)', (SELECT count(*) FROM q) - (SELECT cast(coalesce(sum(n), 0) AS BIGINT) FROM d))",
+        "steps AS (SELECT *, row_number() OVER (ORDER BY line_no) AS n, count(*) OVER () AS total FROM log WHERE event IN ('STAGE_START', 'STAGE_END', 'RUN_END') AND run_id = (SELECT arg_max(run_id, line_no) FROM log))",
+        """walk AS (SELECT n, total, CASE event WHEN 'STAGE_START' THEN stage WHEN 'RUN_END' THEN 'done' END AS s FROM steps WHERE n = 1
+  UNION ALL SELECT t.n, t.total, CASE WHEN event = 'STAGE_START' THEN stage WHEN event = 'STAGE_END' AND stage IS NOT DISTINCT FROM s THEN NULL WHEN event = 'RUN_END' THEN 'done' ELSE s END FROM walk w JOIN steps t ON t.n = w.n + 1)""", recursive=True)
+    + """SELECT (SELECT count(*) FROM state WHERE stage = 'done') AS done, (SELECT count(*) FROM state) AS harvested, (SELECT string_agg(reason || '=' || n, ',' ORDER BY n DESC, reason) FROM r WHERE n > 0) AS reasons, (SELECT s FROM walk WHERE n = total) AS stage,
+  (SELECT count(*) FROM state WHERE stage = 'done' AND updated_at >= TIMESTAMP '2024-01-29') AS run_done, (SELECT CASE WHEN count(*) > 0 THEN round(count(*) / 48.0::DOUBLE, 9) END FROM state WHERE stage = 'done' AND updated_at >= TIMESTAMP '2024-01-29') AS papers_per_hour, (SELECT count(*) FROM documents) AS cached""",
     "aimd_batch_sizes": with_(f"probes AS (SELECT user_id, event_id, CASE WHEN {_K} % 13 <> 0 THEN {_K} * 80 END AS free, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)",
         """walk AS (SELECT user_id, 0::BIGINT AS event_id, 0::BIGINT AS n, 4 AS size FROM (SELECT DISTINCT user_id FROM events)
   UNION ALL SELECT p.user_id, p.event_id, p.n, CASE WHEN free IS NULL THEN size WHEN free <= 2048 THEN greatest(size // 2, 1) WHEN free >= 4096 THEN least(size + 1, 32) ELSE size END FROM walk w JOIN probes p ON p.user_id = w.user_id AND p.n = w.n + 1)""", recursive=True) + "SELECT user_id, event_id, cast(size AS BIGINT) AS size FROM walk WHERE n > 0",

@@ -91,3 +91,20 @@ def test_bad_documents(spark):
     rows = [(1, b"%PDF-1.4 ..."), (2, b"\x1f\x8b..."), (3, bytes(257) + b"ustar"), (4, b"<html>")]
     got = spark.createDataFrame(rows, "n int, content binary").select("n", parsing.bad_document(F.col("content")).alias("bad")).collect()
     assert {r.n: r.bad for r in got} == {1: None, 2: "gzip", 3: "tar", 4: "not a pdf"}
+
+
+def test_markup(spark):
+    from folioflow.functions.markup import normal, normalized, table_markdown
+
+    assert table_markdown("<table><tr><th>a</th><th>b</th></tr><tr><td>1 <b>2</b>|</td></tr></table>") == "| a | b |\n| --- | --- |\n| 1 2\\| |  |"
+    assert table_markdown(None) == table_markdown("<p>none</p>") == ""
+    assert normal("ﬁne  x\n") == "fine x" and normal(None) is None
+    assert [r.x for r in spark.createDataFrame([("①",), (None,)], "t string").select(normalized("t").alias("x")).collect()] == ["1", None]
+
+
+def test_assembly(spark):
+    md = spark.createDataFrame([("a", " "), ("b", "text"), ("c", "text")], "paper_id string, markdown string")
+    b = spark.createDataFrame([("a", 1, "two"), ("a", 0, "one"), ("b", 0, "x")], "paper_id string, idx int, text string")
+    good, bad = parsing.assembled(md, b)
+    assert {r.paper_id: r.markdown for r in good.collect()} == {"a": "one\n\ntwo", "b": "text"}
+    assert [r.paper_id for r in bad.collect()] == ["c"]

@@ -111,3 +111,11 @@ def test_bounds():
 def test_ranked_limits_each_list(spark):
     df = spark.createDataFrame([("q", i, float(i % 3)) for i in range(9)], "q string, id int, score double")
     assert [r.id for r in ranked(df, most=2).orderBy("rank").collect()] == [2, 5]
+
+
+def test_request_filters():
+    f = search.request_filters("a, b,", "20240102", "never")
+    assert f == Filters(("a", "b"), date(2024, 1, 2), None)
+    assert search.request_filters() == Filters()
+    with pytest.raises(ValueError):
+        search.request_filters(None, "2024-02-01", "2024-01-01")
