@@ -23,15 +23,16 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(e, b["item_id"] == e["vec_id"]).select(F.col("item_id").alias("query_id"), "text", F.col("embedding").alias("vector"))
 
 
-_out = ("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
+def _out(df: DataFrame) -> DataFrame:
+    return df.select("query_id", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.dense(tables.collection(spark, sf_dir), questions(spark, sf_dir), 10).select(*_out)
+    return _out(search.dense(tables.collection(spark, sf_dir), questions(spark, sf_dir), 10))
 
 
 def sparse_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.sparse(search.overlap_scores(tables.collection(spark, sf_dir), questions(spark, sf_dir)), 10).select(*_out)
+    return _out(search.sparse(search.overlap_scores(tables.collection(spark, sf_dir), questions(spark, sf_dir)), 10))
 
 
 def sparse_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.hybrid(tables.collection(spark, sf_dir), questions(spark, sf_dir), FILTERS, 0.6, 10, "overlap").select(*_out)
+    return _out(search.hybrid(tables.collection(spark, sf_dir), questions(spark, sf_dir), FILTERS, 0.6, 10, "overlap"))
 
 
 def _pool(spark: SparkSession, sf_dir: str, kind: str = "chunk", most: int = 32) -> DataFrame:
@@ -53,7 +54,7 @@ def _pool(spark: SparkSession, sf_dir: str, kind: str = "chunk", most: int = 32)
 
 
 def rerank_pool_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.reranked(_pool(spark, sf_dir)).filter("rank <= 10").select(*_out)
+    return _out(retrieval.reranked(_pool(spark, sf_dir)).filter("rank <= 10"))
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
