@@ -31,7 +31,7 @@ FOLDS, HELD_OUT = 4, 2
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words and their vectors that a worker keeps at once; it starts anew beyond.
-MEMO = 100_000
+MEMO = 300_000
 
 
 def training_rows(docs: DataFrame, usable: Column) -> DataFrame:

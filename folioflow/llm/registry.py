@@ -11,6 +11,7 @@ from folioflow.llm.pii import op4_pii
 from folioflow.llm.quality_classifier import op10_quality_classifier
 from folioflow.llm.quality_rules import op8_quality_rules
 from folioflow.llm.secrets import op5_secrets
+from folioflow.llm.sql import OP3_SQL, OP6_SQL
 from folioflow.llm.suffix_dedup import op3_suffix_dedup
 
 QUERIES = {
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL = {"op9_mixing": OP9_SQL}
+SQL = {"op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
