@@ -254,12 +254,13 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows, own = classes(docs)
     with_sets = own.filter("n_shingles > 0")
     banded = with_sets.select("key", F.explode(_bands("sig")).alias("band"))
-    shared = banded.groupBy("band").count().filter("count > 1")
+    # written, so that the joins meet plain exchanges, or a small table, and a band or group that many have is split
+    shared = written(banded.groupBy("band").count().filter("count > 1"), "join-shared")
     met = banded.join(shared, "band").join(with_sets.select("key", "sig"), "key").select("band", "count", "key", "sig")
     loose = blocks(met, F.col("count") / BLOCK, ["band"]).select("band", "i", "j", "own", "key", "sig").mapInArrow(_loose, _EDGES)
     groups = components(loose, "join-loose").withColumnRenamed("label", "grp")
 
-    size = groups.join(own.select("key", "n_shingles"), "key").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"))
+    size = written(groups.join(own.select("key", "n_shingles"), "key").groupBy("grp").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total")), "join-sizes")
     chosen = groups.join(size, "grp").join(own.select("key", "id", "copies", "sig"), "key")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_key().alias("key"), "text")
     texts = texts.join(chosen.select("key", "id"), (texts["key"] == chosen["key"]) & texts["id"].eqNullSafe(chosen["id"]), "left_semi")
