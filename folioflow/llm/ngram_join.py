@@ -113,7 +113,7 @@ def blocks(df: DataFrame, chunks: Column, by: list[str], member: str = "key") ->
     df = df.withColumn("c", F.greatest(F.lit(1), F.ceil(chunks)).cast("int")).withColumn("own", F.pmod(F.xxhash64(member, F.lit(1)), F.col("c")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     dealt = df.withColumn("ij", F.explode(pairs)).select("*", "ij.i", "ij.j").drop("ij")
-    return dealt.repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j")
+    return dealt.repartition(*by, "i", "j").sortWithinPartitions(*by, "i", "j", member)
 
 
 def _groups(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
@@ -232,7 +232,9 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(key, label): the least key that each key of the edges (a, b) reaches. Rounds of least neighbour and pointer jumping, each written."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), f"{name}-edges")
+    # written first: each reading of a plan may choose other spanning edges, and the two directions must be of the same ones
+    half = written(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-half")
+    both = written(half.union(half.select("b", "a")).distinct(), f"{name}-edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
