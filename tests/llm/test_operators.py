@@ -323,12 +323,13 @@ def test_quality_rules(spark, sf_dir, docs):
     assert not (r.kept & r.base_failed).any()
 
 
-def test_mixing_equals_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", ["op3_suffix_dedup", "op6_ngram_join", "op9_mixing"])
+def test_query_equals_sql(spark, sf_dir, name):
     from oracle import compare, connect
 
     from folioflow.llm.registry import QUERIES, SQL
 
-    compare(spark, connect(sf_dir), QUERIES["op9_mixing"], SQL["op9_mixing"], sf_dir)
+    compare(spark, connect(sf_dir), QUERIES[name], SQL[name], sf_dir)
 
 
 def test_mixing_stays_within_a_block(spark):
