@@ -99,27 +99,24 @@ def plan(lengths: list[int]) -> list[tuple[int, int, int, int, int]]:
     if total % LENGTH:
         size[-1] = total % LENGTH  # so that the others are full
     used = [0] * count
-    heap = [(0.0, s) for s in range(count)]
-    spare = []
+    # lengths descend, so a sequence with room for one document has it for all later ones: it waits by room
+    # until a document fits, then by cost until it is chosen
+    waiting, fit, spare = [(-z, s) for s, z in enumerate(size)], [], []
+    heapq.heapify(waiting)
+    spent = [0.0] * count
     for n, d, start in sorted(rest, key=lambda r: (-r[0], r[1])):
-        passed, found = [], None
-        # a sequence without room for this one may have it for a later, shorter one
-        while heap and len(passed) < 64:
-            c, s = heapq.heappop(heap)
-            if size[s] - used[s] >= n:
-                found = (c, s)
-                break
-            if used[s] < size[s]:
-                passed.append((c, s))
-        for x in passed:
-            heapq.heappush(heap, x)
-        if found is None:
+        while waiting and -waiting[0][0] >= n:
+            s = heapq.heappop(waiting)[1]
+            heapq.heappush(fit, (spent[s], s))
+        if not fit:
             spare.append((n, d, start))
             continue
-        c, s = found
+        s = heapq.heappop(fit)[1]
         out.append((d, start, n, sequences + s, used[s]))
         used[s] += n
-        heapq.heappush(heap, (c + cost(n), s))
+        spent[s] += cost(n)
+        if used[s] < size[s]:
+            heapq.heappush(waiting, (used[s] - size[s], s))
     room = sorted((s for s in range(count) if used[s] < size[s]), key=lambda s: (used[s] - size[s], s))
     for n, d, start in spare:
         while n:

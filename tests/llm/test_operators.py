@@ -286,6 +286,30 @@ def test_packing_plan():
             assert sum(p[2] for p in pieces if p[0] == d) == length
 
 
+
+def test_packing_plan_finds_the_cheapest_sequence_with_room():
+    from folioflow.llm.packing import LENGTH, cost, plan
+
+    rng = np.random.default_rng(5)
+    # few long remainders among many short ones: the cheapest sequences are nearly full
+    for lengths in ([int(x) for x in rng.lognormal(5.5, 1.2, 4000)], [1500] * 200 + [400] * 400 + [147] * 200 + [100] * 400, [int(x) for x in rng.integers(1, 5000, 900)]):
+        rest = sorted(((n % LENGTH, d) for d, n in enumerate(lengths) if n % LENGTH), key=lambda r: (-r[0], r[1]))
+        total, first = sum(n for n, _ in rest), sum(n // LENGTH for n in lengths)
+        left = [LENGTH] * (total // LENGTH) + ([total % LENGTH] if total % LENGTH else [])
+        spent, want, cut = [0.0] * len(left), {}, set()
+        for n, d in rest:
+            fits = [s for s in range(len(left)) if left[s] >= n]
+            if fits:
+                s = min(fits, key=lambda s: (spent[s], s))
+                want[d], left[s], spent[s] = s + first, left[s] - n, spent[s] + cost(n)
+            else:
+                cut.add(d)
+        dealt = [p for p in plan(lengths) if p[1] >= lengths[p[0]] // LENGTH * LENGTH]
+        whole = {d: s for d, _, n, s, _ in dealt if n == lengths[d] % LENGTH}
+        assert whole.keys() == want.keys() and cut == {p[0] for p in dealt} - want.keys()
+        assert whole == want
+
+
 def stats_by_hand(t):
     w = WORD.findall(t or "")
     seen, dup = set(), 0
