@@ -15,7 +15,7 @@ from folioflow.llm.common import documents
 
 #: Two noncharacters set around matches; where a text has them they count as a third.
 OPEN, CLOSE, OTHER = "﷐", "﷑", "﷒"
-#: Characters before a match in which context words count.
+#: Characters before and after a match in which context words count.
 NEAR = 40
 #: A span is reported from this score on.
 LEAST_SCORE = 0.6
@@ -47,7 +47,7 @@ BASE_KINDS = [
 MORE_KINDS = [
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{10}", True, 0.9, r"iban|konto|account|compte|cuenta", 0.1),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", True, 0.4, r"\bssn\b|social security", 0.5),
-    Kind("local_phone", r"(?<![0-9+.() -])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", True, 0.3, r"\btel|phone|call|mobil", 0.4),
+    Kind("local_phone", r"(?<![0-9+])(?<![0-9+][\x20.)-])(?<![0-9+][\x20.-]?\()(?:\([0-9]{3}\)|[0-9]{3}\)?)[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}", True, 0.3, r"\btel|phone|call|mobil", 0.4),
 ]
 KINDS = BASE_KINDS + MORE_KINDS
 
@@ -158,7 +158,9 @@ def _scored(kind: Kind, text: str):
         s = F.lit(kind.score)
         if kind.context:
             at = F.greatest(m["start"] - NEAR, F.lit(0))
-            s = s + F.when(F.lower(F.substring(F.col(text), at + 1, m["start"] - at)).rlike(kind.context), kind.bonus).otherwise(0.0)
+            c = F.col(text)
+            near = F.concat_ws("\n", F.substring(c, at + 1, m["start"] - at), F.substring(c, m["end"] + 1, F.lit(NEAR)))
+            s = s + F.when(F.lower(near).rlike(kind.context), kind.bonus).otherwise(0.0)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), s.alias("score"))
 
     return score

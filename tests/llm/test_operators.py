@@ -139,6 +139,22 @@ def test_pii_method_adds_spans(spark):
     assert got[4] == [] or got[4][0][0] == "local_phone"
 
 
+def test_pii_context_on_both_sides(spark):
+    from folioflow.llm import pii
+
+    local = {
+        "call me: 555-123-4567": "555-123-4567", "phone (555) 123-4567": "(555) 123-4567", "mobile - 555-123-4567": "555-123-4567", "tel:555-123-4567": "555-123-4567", "(tel. 555.123.4567)": "555.123.4567",
+        "555-123-4567 phone": "555-123-4567", "call (555-123-4567)": "555-123-4567", "Call us in 2024. 555 123 4567": "555 123 4567", "😀 (555) 123-4567 (mobile)": "(555) 123-4567",
+    }
+    none = ["call 1-555-123-4567", "call +1 (555) 123-4567", "call 1 (555) 123-4567", "call 1(555) 123-4567", "call 22 555-123-4567", "call +555-123-4567", "call 555-123-45678", "code 555-123-4567", "555-123-4567" + " " * 41 + "phone", "call" + " " * 41 + "555-123-4567"]
+    ssn = ["123-45-6789 (SSN)", "123-45-6789 is my social security number", "my ssn: 123-45-6789"]
+    texts = [*local, *none, *ssn]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: [(s.kind, s.match) for s in r.pii if s.kind in ("local_phone", "ssn")] for r in pii.find_personal_data(df).collect()}
+    assert got == {t: [("local_phone", m)] for t, m in local.items()} | dict.fromkeys(none, []) | {t: [("ssn", "123-45-6789")] for t in ssn}
+
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
