@@ -32,6 +32,19 @@ class Rule:
     least: int = 1
 
 
+#: What quotes, comments and lists set around a line; one end of a line, in a text or escaped in a string; a base64 digit.
+_EDGE, _END, _DIGIT = r"""[\x20\t"'`>#*|,;+]*+""", r"(?:\r?\n|\r|\\r\\n|\\n)", r"(?:[A-Za-z0-9+/]|\\/)"
+_LINE, _BREAK = _EDGE + _END + _EDGE, rf"(?:{_EDGE}(?:{_END}{_EDGE})++|[\x20\t]++)"
+#: A private key: its header; then all to its END line, unless another begins or ends first; or else the attributes that
+#: may precede a body, and of the body lines of base64 alone and runs of it that no word is.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:(?:{_LINE}[A-Z][A-Za-z-]*+:\x20(?:[^\r\n\\]|\\(?![rn]))*+)++(?:{_LINE})?)?"
+    rf"(?:{_LINE}{_DIGIT}++=*+(?=[\x20\t\"'`|,;+]*+(?:{_END}|\Z))|{_BREAK}(?:(?=[A-Za-z+/]*[0-9+/]){_DIGIT}{{16,}}+=*+|{_DIGIT}++=++(?![A-Za-z0-9])))++"
+    r"|)"
+)
+
 #: The base kinds, in the order in which they are listed.
 BASE_RULES = [
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -44,7 +57,7 @@ MORE_RULES = [
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", PEM),
 ]
 RULES = BASE_RULES + MORE_RULES
 
