@@ -33,8 +33,13 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents with their sequences, numbered in the order of the mixture.
+
+    Files are not read in the order in which they were written, so the rows are placed anew. Places are written before
+    rows move by them, so that a task that is run again packs the same rows.
+    """
+    mix = written(mixing.placed(docs.select("doc_id", "text", "source")), "mix-placed")
+    return packing.pack(mix.repartitionByRange("mix.position").sortWithinPartitions("mix.position"))
 
 
 STAGES = [

@@ -129,6 +129,15 @@ def plan(lengths: list[int]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def in_order(pieces: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """`pieces` with their sequences numbered in the order of the documents of which they hold most."""
+    lead: dict[int, tuple[int, int, int]] = {}
+    for d, start, n, s, _ in pieces:
+        lead[s] = min(lead.get(s, (0, 0, 0)), (-n, d, start))
+    place = {s: i for i, s in enumerate(sorted(lead, key=lambda s: lead[s][1:]))}
+    return [(d, start, n, place[s], offset) for d, start, n, s, offset in pieces]
+
+
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 WITH_IDS = T.StructType([*PIECES, T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
@@ -138,7 +147,7 @@ def _packer(ranks: bytes, schema: T.StructType):
 
     def flush(held: list[tuple], first: int) -> tuple[pa.RecordBatch, int]:
         rows, most = [], 0
-        for d, start, n, s, offset in plan([len(ids) for _, ids in held]):
+        for d, start, n, s, offset in in_order(plan([len(ids) for _, ids in held])):
             doc_id, ids = held[d]
             part = ids[start : start + n].astype("<u4")
             rows.append((doc_id, start, n, zlib.crc32(part.tobytes()), len(ids), first + s, offset, part))
@@ -171,7 +180,7 @@ def pack(docs: DataFrame, with_ids: bool = False, vocabulary: str = VOCABULARY)
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids: the ids too.
 
     Null or empty text is the end id alone. Repeated rows are packed each for itself; a null doc_id stays
-    null. Sequences are numbered by partition and block, so `docs` must give a partition the same rows in the
+    null. Sequences are numbered by partition and block, in a block in the order of its rows, so `docs` must give a partition the same rows in the
     same order when a task is run again, as any table read from files does. An empty table gives no piece.
     """
     ship(docs.sparkSession)

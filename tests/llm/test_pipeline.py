@@ -65,3 +65,38 @@ def test_run_equals_its_stages(spark, sf_dir, stages):
 
     ids = lambda df: sorted({r.doc_id for r in df.select("doc_id").collect()})
     assert ids(corpus_pipeline.run(spark, sf_dir)) == ids(stages[5])
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
+    """Shares of run()'s result by sequence_id, over files of unequal size and sources of unequal lengths."""
+    import numpy as np
+
+    import corpus_pipeline
+    from folioflow.llm import mixing
+
+    rng = np.random.default_rng(7)
+    rows = [(i, " the" * int(rng.integers(2200, 5000) if i % 5 else rng.integers(100, 1500)), "en", "long" if i % 5 else "short", 0) for i in range(2000)]
+    for part in (rows[:1400], rows[1400:1500], rows[1500:]):
+        df = spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+        df.write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+        place = {r.doc_id: r.mix.position for r in mixing.placed(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pieces.groupby("doc_id").length.sum().to_dict() == {r[0]: len(r[1]) // 4 + 1 for r in rows}
+    ordered = sorted(rows, key=lambda r: place[r[0]])
+    tokens = np.array([len(r[1]) // 4 + 1 for r in ordered])
+    short = np.append(0, np.cumsum(tokens * np.array([r[3] == "short" for r in ordered])))
+    at = np.append(0, np.cumsum(tokens))
+    pieces = pieces.sort_values("sequence_id")
+    run = pieces.sequence_id.rank(method="dense").astype(int).sub(1) // 184
+    assert run.max() > 10
+    end = 0
+    for _, g in pieces.groupby(run):
+        begin, end = end, end + g.length.sum()
+        want = (np.interp(end, at, short) - np.interp(begin, at, short)) / (end - begin)
+        got = g.length[g.doc_id % 5 == 0].sum() / (end - begin)
+        assert abs(got - want) < 0.05
