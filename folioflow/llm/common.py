@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,13 +31,39 @@ def fold(doc_id: str | Column, k: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % F.lit(k)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    def clear() -> None:
+        try:
+            if spark.sparkContext._jsc is not None:
+                _remove(spark, path)
+        except Exception:  # the session has gone; whoever owns the shared folder clears it
+            return
+
+    atexit.register(clear)
+
+
+_own_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="folioflow-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+    """This application's folder, removed at its end, in the one that driver and executors share. Where none is named a local one is made, as in tests; on a cluster that is an error."""
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not named:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="folioflow-")
+            spark.sparkContext.setCheckpointDir(named)
+        _own_folders[app] = f"{named.rstrip('/')}/folioflow-{uuid.uuid4().hex}"
+        _remove_at_exit(spark, _own_folders[app])
+    return _own_folders[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +71,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of `written` that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.written_at)
 
 
 def own_name(df: DataFrame, base: str) -> str:

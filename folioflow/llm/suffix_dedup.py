@@ -2,12 +2,17 @@
 
 Every LENGTH-byte window of a text is given to an anchor, the GRAM-byte string in it of least hash; equal
 windows have equal anchors. Neighbouring windows of one anchor make a segment. An anchor that occurs once
-leaves nothing equal; one whose segments are all equal settles them without a comparison. The distinct
-segments of the other anchors are laid end to end, anchor by anchor, in blocks of bounded size, and each
-block is sorted in two stages: suffixes smaller than their successors directly, the rest induced from them
-by one scan over the buckets of first bytes. Windows whose adjacent common prefixes reach LENGTH are
-equal. Anchors with more than MOST distinct segments are split by the hashes of their windows instead, so
-that no task holds an unbounded group.
+leaves nothing equal. The distinct segments of the others, each with the number of its occurrences, are
+laid end to end, anchor by anchor, in blocks of bounded size, and each block is sorted in two stages:
+suffixes smaller than their successors directly, the rest induced from them by one scan over the buckets
+of first bytes. Windows whose adjacent common prefixes reach LENGTH are equal.
+
+An anchor with more than MOST distinct segments is too much for a block (a line that very many texts
+have). Its segments are cut into chunks of WIDTHS[0] neighbouring windows; the bytes that all windows of
+a chunk cover, with the anchor and the chunk's place beside it, are the chunk's own anchor, so equal
+windows meet again, among far fewer. What is still too much is cut to the next width, at last to single
+windows, of which equal ones alone meet. Each width is sorted like the first: every removed byte comes
+from a suffix array, and no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -21,13 +26,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import arrow_schema, documents, own_name, ship, written
-from folioflow.llm.text import prefix_hash, slices, span_hash
+from folioflow.llm.common import arrow_schema, discard, documents, own_name, ship, written
+from folioflow.llm.text import mix, prefix_hash, slices, span_hash
 
 LENGTH, GRAM = 400, 50
 WINDOW = LENGTH - GRAM + 1
 #: Distinct segments of an anchor that are sorted together; bytes of a block.
 MOST, BLOCK = 512, 1 << 18
+#: Windows of a chunk, where an anchor has more: each width is for what the one before leaves too large.
+WIDTHS = (100, 25, 5, 1)
+#: Bytes of a longer text that are cut into segments at once.
+PIECE = 1 << 24
 SECOND = 0xC2B2AE3D27D4EB4F
 _POSITION = np.uint64((1 << 28) - 1)
 
@@ -44,9 +53,10 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor hash, two hashes of the content) of every segment; start in its text."""
+    """(text, start, windows, lead, anchor hash, two hashes of the content) of every segment; start in its text, the anchor `lead` bytes on."""
+    none = (*[np.zeros(0, np.int64)] * 4, *[np.zeros(0, np.uint64)] * 3)
     if len(buf) < LENGTH:
-        return (np.zeros(0, np.int64),) * 6
+        return none
     starts = np.arange(len(buf) - LENGTH + 1)
     long = np.diff(offsets) >= LENGTH
     edge = np.zeros(len(buf) + 1, np.int32)
@@ -54,7 +64,7 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(edge, offsets[1:][long] - LENGTH + 1, -1)
     valid = np.flatnonzero(np.cumsum(edge)[: len(starts)])
     if not len(valid):
-        return (np.zeros(0, np.int64),) * 6
+        return none
     prefix = prefix_hash(buf)
     at = np.arange(len(buf) - GRAM + 1)
     gram = span_hash(prefix, at, at + GRAM)
@@ -67,22 +77,68 @@ def segments(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     windows = np.diff(np.append(first, len(valid)))
     end = start + windows - 1 + LENGTH
     text = np.searchsorted(offsets, start, side="right") - 1
-    return text, start - offsets[text], windows, gram[anchor[first]], span_hash(prefix, start, end), span_hash(prefix_hash(buf, SECOND), start, end, SECOND)
+    return text, start - offsets[text], windows, anchor[first] - start, gram[anchor[first]], span_hash(prefix, start, end), span_hash(prefix_hash(buf, SECOND), start, end, SECOND)
 
 
-SEGMENTS = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("start", T.LongType()), T.StructField("windows", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+_LONG, _INT = T.LongType(), T.IntegerType()
+#: Whose bytes a segment is cut from: a text, or a segment of the width before.
+OWNER, UNIT = ["p1", "p2", "p3"], ["anchor", "h1", "h2"]
+SEGMENTS = _struct(p1=_LONG, p2=_LONG, p3=_LONG, start=_LONG, windows=_INT, lead=_INT, anchor=_LONG, h1=_LONG, h2=_LONG, n=_LONG)
 
 
 def _segment_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = arrow_schema(SEGMENTS)
     for batch in batches:
         for rows, buf, offsets in slices(batch):
-            text, start, windows, anchor, h1, h2 = segments(buf, offsets)
-            if len(text):
-                take = pa.array(text)
-                columns = [rows["k1"].take(take), rows["k2"].take(take), pa.array(start), pa.array(windows, pa.int32()), *(pa.array(x.view(np.int64)) for x in (anchor, h1, h2))]
+            # a text of more than a piece comes alone; windows belong to the piece in which they start
+            for at in range(0, max(1, len(buf)), PIECE) if len(offsets) == 2 else [0]:
+                part, cuts = (buf[at : at + PIECE + LENGTH - 1], None) if len(offsets) == 2 else (buf, offsets)
+                text, start, windows, lead, anchor, h1, h2 = segments(part, np.array([0, len(part)]) if cuts is None else cuts)
+                if len(text):
+                    take = pa.array(text)
+                    zero = np.zeros(len(text), np.int64)
+                    columns = [rows["p1"].take(take), rows["p2"].take(take), pa.array(zero), pa.array(start + at), pa.array(windows, pa.int32()), pa.array(lead, pa.int32()), *(pa.array(x.view(np.int64)) for x in (anchor, h1, h2)), pa.array(zero + 1)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def chunks(contents: list[bytes], windows: np.ndarray, lead: np.ndarray, anchor: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """(segment, start, windows, lead, anchor, two hashes) of the chunks of these segments.
+
+    A window's place is its anchor's offset in it, equal for equal windows; a chunk holds `width` neighbouring places.
+    """
+    buf = np.frombuffer(b"".join(contents), np.uint8)
+    begin = np.cumsum([0] + [len(c) for c in contents])[:-1]
+    low, high = (lead - windows + 1) // width, lead // width
+    count = high - low + 1
+    owner = np.repeat(np.arange(len(contents)), count)
+    place = high[owner] - (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count))
+    start = lead[owner] - np.minimum(place * width + width - 1, lead[owner])
+    last = lead[owner] - np.maximum(place * width, (lead - windows + 1)[owner])
+    core = begin[owner] + lead[owner] - place * width
+    a, z = begin[owner] + start, begin[owner] + last + LENGTH
+    one, two = prefix_hash(buf), prefix_hash(buf, SECOND)
+    key = mix(anchor[owner] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ span_hash(one, core, core + LENGTH + 1 - width)
+    return owner, start, last - start + 1, lead[owner] - start, mix(key), span_hash(one, a, z), span_hash(two, a, z, SECOND)
+
+
+def _chunk_rows(width: int):
+    schema = arrow_schema(SEGMENTS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, 1000) for i in range(0, whole.num_rows, 1000)):
+                whole_numbers = [batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("windows", "lead", "anchor")]
+                owner, start, windows, lead, *keys = chunks(batch["content"].to_pylist(), whole_numbers[0], whole_numbers[1], whole_numbers[2].view(np.uint64), width)
+                take = pa.array(owner)
+                columns = [*(batch[c].take(take) for c in UNIT), pa.array(start), pa.array(windows, pa.int32()), pa.array(lead, pa.int32()), *(pa.array(x.view(np.int64)) for x in keys), batch["n"].take(take)]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
+    return run
+
 
 def suffix_array(data: bytes, depth: int) -> np.ndarray:
     """Suffixes of `data` in order of at least their first `depth` bytes, by two-stage sorting.
@@ -177,85 +233,81 @@ def repeated_windows(units: list[tuple[bytes, int]]) -> list[np.ndarray]:
     return [hit[a:z] - b for b, a, z in zip(begin.tolist(), np.searchsorted(hit, begin).tolist(), np.searchsorted(hit, begin + windows).tolist(), strict=True)]
 
 
-RUNS = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+_SPAN = T.ArrayType(_struct(first=_LONG, last=_LONG))
+RUNS = _struct(anchor=_LONG, h1=_LONG, h2=_LONG, runs=_SPAN)
 
 
 def _run_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by anchor to runs of repeated windows; whole anchors are gathered to blocks."""
+    """Segments, in order of their anchors, to the runs of repeated windows in each; whole anchors are gathered to blocks."""
     schema = arrow_schema(RUNS)
 
     def rows():
         for b in batches:
-            yield from zip(*(b[c].to_pylist() for c in ("anchor", "h1", "h2", "n", "content")), strict=True)
+            yield from zip(*(b[c].to_pylist() for c in (*UNIT, "n", "content")), strict=True)
 
     def flush(block: list[tuple]) -> pa.RecordBatch:
         out = []
         for (anchor, h1, h2, _, _), hit in zip(block, repeated_windows([(u[4], u[3]) for u in block]), strict=True):
             if len(hit):
                 cut = np.flatnonzero(np.diff(hit) > 1)
-                out += [(anchor, h1, h2, int(a), int(z)) for a, z in zip(hit[np.append(0, cut + 1)], hit[np.append(cut, len(hit) - 1)], strict=True)]
+                ends = zip(hit[np.append(0, cut + 1)].tolist(), hit[np.append(cut, len(hit) - 1)].tolist(), strict=True)
+                out.append((anchor, h1, h2, [{"first": a, "last": z} for a, z in ends]))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
     block, size = [], 0
     for _, group in groupby(rows(), key=lambda r: r[0]):
-        # rows repeated with one id and text give one segment twice
-        group = list({(r[1], r[2]): r for r in group}.values())
-        if block and size + sum(len(r[4]) for r in group) > BLOCK:
+        group = list(group)
+        more = sum(len(r[4]) for r in group)
+        if block and size + more > BLOCK:
             yield flush(block)
             block, size = [], 0
         block += group
-        size += sum(len(r[4]) for r in group)
+        size += more
     if block:
         yield flush(block)
 
 
-WINDOWS = T.StructType([*RUNS.fields[:3], T.StructField("n", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("w1", T.LongType()), T.StructField("w2", T.LongType())])
-
+def _keys() -> list[Column]:
+    """What tells rows apart: rows equal in both are equal in all that counts."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("p1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("p2")]
 
-def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row with two hashes for each window of segments of very common anchors."""
-    schema = arrow_schema(WINDOWS)
-    for batch in batches:
-        for anchor, h1, h2, n, content in zip(*(batch[c].to_pylist() for c in ("anchor", "h1", "h2", "n", "content")), strict=True):
-            x = np.frombuffer(content, np.uint8)
-            at = np.arange(len(x) - LENGTH + 1)
-            w = [span_hash(prefix_hash(x, base), at, at + LENGTH, base).view(np.int64) for base in (SECOND, 0x9E3779B97F4A7C15)]
-            m = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, v), f.type) for v, f in zip((anchor, h1, h2, n), schema, strict=False)] + [pa.array(at, pa.int32()), pa.array(w[0]), pa.array(w[1])], schema=schema)
 
+def repeated_runs(cut: DataFrame, sources: DataFrame, widths: tuple[int, ...], most: int) -> DataFrame:
+    """p1, p2, p3, runs: the runs of repeated windows in each segment of `cut`, whose bytes are in `sources` (p1, p2, p3, bytes).
 
-def _keys() -> list[Column]:
-    """What tells rows apart: rows equal in both are equal in all that counts."""
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k2")]
+    Every join is between tables and plain exchanges, so that one with a very common key is split.
+    """
+    depth = f"suffix{len(WIDTHS) - len(widths)}"
+    shared = written(cut.groupBy("anchor").agg(F.sum("n").alias("total")).filter("total > 1").select("anchor"), f"{depth}-shared")
+    met = written(cut.join(shared, "anchor"), f"{depth}-met")
+    units = met.groupBy(*UNIT).agg(F.sum("n").alias("n"), F.min(F.struct(*OWNER, "start", "windows", "lead")).alias("at"))
+    units = written(units, f"{depth}-units")
+    crowd = written(units.groupBy("anchor").count(), f"{depth}-crowd")
+    content = F.expr(f"substring(bytes, cast(at.start + 1 as int), at.windows + {LENGTH - 1})")
+    spelled = units.join(crowd, "anchor").select("*", *[F.col(f"at.{p}").alias(p) for p in OWNER]).join(sources, OWNER)
+    spelled = written(spelled.select(*UNIT, "n", "count", "at.windows", "at.lead", content.alias("content")), f"{depth}-spelled")
+    discard(shared, units, crowd)
+
+    few = spelled.filter(F.col("count") <= most) if widths else spelled
+    found = few.select(*UNIT, "n", "content").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_run_rows, RUNS)
+    many = spelled.filter(F.col("count") > most)
+    if widths and many.limit(1).count():
+        finer = written(many.mapInArrow(_chunk_rows(widths[0]), SEGMENTS), f"{depth}-chunks")
+        below = repeated_runs(finer, many.select(*[F.col(u).alias(p) for u, p in zip(UNIT, OWNER, strict=True)], F.col("content").alias("bytes")), widths[1:], most)
+        found = found.unionByName(below.select(*[F.col(p).alias(u) for u, p in zip(UNIT, OWNER, strict=True)], "runs"))
+    found = written(found, f"{depth}-runs")
+    shifted = F.transform("runs", lambda r: F.struct((F.col("start") + r["first"]).alias("first"), (F.col("start") + r["last"]).alias("last")))
+    # rows repeated have the same runs: one set of them is kept
+    return met.join(found, UNIT).select(*OWNER, shifted.alias("runs")).groupBy(*OWNER).agg(F.flatten(F.collect_set("runs")).alias("runs"))
 
 
 def covered(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """k1, k2, first, last: runs of window starts, in bytes, that are repeated."""
-    spark = docs.sparkSession
-    ship(spark)
+    """p1, p2, p3, runs: runs of window starts, in bytes, that are repeated."""
+    ship(docs.sparkSession)
     cut = written(docs.select(*_keys(), "text").mapInArrow(_segment_rows, SEGMENTS), "suffix-segments")
-    anchors = cut.groupBy("anchor").agg(F.count("*").alias("total"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("h1", "h2")])
-    anchors = anchors.filter("total > 1").select("anchor", F.expr("min_h1 = max_h1 and min_h2 = max_h2").alias("alike"))
-    met = written(cut.join(anchors, "anchor"), "suffix-met")
-    whole = met.filter("alike").select("k1", "k2", F.col("start").alias("first"), (F.col("start") + F.col("windows") - 1).alias("last"))
-
-    mixed = met.filter("not alike")
-    units = mixed.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "start", "windows")).alias("at"))
-    units = written(units, "suffix-units")
-    crowd = units.groupBy("anchor").agg(F.count("*").alias("distinct"))
-    texts = docs.select(*_keys(), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
-    content = F.expr(f"substring(bytes, cast(at.start + 1 as int), at.windows + {LENGTH - 1})")
-    spelled = units.join(crowd, "anchor").select("*", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2")).join(texts, ["k1", "k2"]).select("anchor", "h1", "h2", "n", "distinct", content.alias("content"))
-    spelled = written(spelled, "suffix-spelled")
-
-    few = spelled.filter(F.col("distinct") <= most).drop("distinct")
-    runs = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_run_rows, RUNS)
-    many = written(spelled.filter(F.col("distinct") > most).drop("distinct").dropDuplicates(["anchor", "h1", "h2"]).mapInArrow(_window_rows, WINDOWS), "suffix-windows")
-    often = many.groupBy("anchor", "w1", "w2").agg(F.sum("n").alias("times")).filter("times > 1").drop("times")
-    points = many.join(often, ["anchor", "w1", "w2"]).select("anchor", "h1", "h2", F.col("at").alias("first"), F.col("at").alias("last"))
-    found = written(runs.unionByName(points), "suffix-runs")
-    part = mixed.join(found, ["anchor", "h1", "h2"]).select("k1", "k2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
-    return whole.unionByName(part)
+    texts = docs.select(*_keys(), F.lit(0).cast("long").alias("p3"), F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    # a row repeated must not give its segments once more
+    return repeated_runs(cut, texts.dropDuplicates(OWNER), WIDTHS, most)
 
 
 CUT = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
@@ -283,13 +335,16 @@ def remove_repeats(docs: DataFrame, name: str = "cut", most: int = MOST) -> Data
     """`docs` with a struct: n_bytes, spans (maximal removed runs of bytes), kept (the bytes that remain).
 
     A byte goes that is covered by a LENGTH-byte string that also starts anywhere else, in the same text or
-    another, judged on the input. Null text counts as empty; texts shorter than LENGTH keep all. Rows repeated
-    are each other's copies. Extra columns pass through; a column of that name is replaced.
+    another, judged on the input. Null text counts as empty; texts shorter than LENGTH keep all; texts of any
+    length are cut in pieces of bounded size. Rows repeated are each other's copies; ties of hashes only gather
+    more for one sort. Extra columns pass through; a column of that name is replaced. An empty table gives an
+    empty one.
     """
-    runs = covered(docs, most).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
-    k1, k2, r = (own_name(docs, x) for x in ("k1", "k2", "runs"))
+    k1, k2, r = (own_name(docs, x) for x in ("p1", "p2", "runs"))
+    # written, so that the rows of one id and text, however many, are split in the join
+    runs = written(covered(docs, most), "suffix-covered").select(F.col("p1").alias(k1), F.col("p2").alias(k2), F.col("runs").alias(r))
     a, b = _keys()
-    joined = docs.withColumns({k1: a, k2: b}).join(runs.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("runs").alias(r)), [k1, k2], "left")
+    joined = docs.withColumns({k1: a, k2: b}).join(runs, [k1, k2], "left")
     return joined.withColumn(name, _cut.asNondeterministic()("text", r)).drop(k1, k2, r)
 
 
