@@ -71,11 +71,57 @@ def test_suffix_dedup(spark, sf_dir, docs):
         want.append((len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
     r = by_id(s.op3_suffix_dedup(spark, sf_dir))
     assert list(zip(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, strict=True)) == want
-    # anchors of more than two segments split by windows: the same bytes go
+    # anchors of more than two segments are cut to chunks of every width: the same bytes go
     again = by_id(s.remove_repeats(spark.createDataFrame(docs[["doc_id", "text"]]), most=2).select("doc_id", "cut.kept"))
     assert [hashlib.sha256(bytes(k)).hexdigest() for k in again.kept] == [w[3] for w in want]
 
 
+def removed(texts, n):
+    """The bytes that stay, by brute force."""
+    raw = [t.encode() for t in texts]
+    counts = collections.Counter(b[i : i + n] for b in raw for i in range(len(b) - n + 1))
+    out = []
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - n + 1):
+            if counts[b[i : i + n]] > 1:
+                gone[i : i + n] = True
+        out.append(np.frombuffer(b, np.uint8)[~gone].tobytes())
+    return out
+
+
+def test_suffix_dedup_of_crowded_anchors(spark, monkeypatch):
+    """A line in 700 texts, and passages just short of and just beyond the length in them: more distinct segments of an anchor than are sorted together."""
+    from folioflow.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(5)
+    own = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, passage, short = own(120), own(460), own(395)
+    texts = [own(500) + line + own(500) for _ in range(700)] + [own(300) + passage + own(300) for _ in range(650)] + [own(300) + short + own(300) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    depths = []
+    monkeypatch.setattr(s, "_chunk_rows", (lambda f: lambda width: depths.append(width) or f(width))(s._chunk_rows))
+    got = by_id(s.remove_repeats(docs).select("doc_id", "cut.kept"))
+    assert [bytes(k) for k in got.kept] == removed(texts, s.LENGTH)
+    assert len(depths) >= 3 and depths == list(s.WIDTHS)[: len(depths)]
+
+
+def test_suffix_dedup_of_repeated_rows_and_long_texts(spark, monkeypatch):
+    from folioflow.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefgh "), n)) for n in (900, 700, 5000)]
+    texts[2] = texts[2] + texts[2][100:600]
+    docs = spark.createDataFrame([(None, texts[0])] * 1000 + [(7, texts[1])] * 2 + [(8, texts[2])], "doc_id long, text string")
+    monkeypatch.setattr(s, "PIECE", 1000)  # a long text is cut in pieces
+    runs = {r.p1: r.runs for r in s.covered(docs).collect()}
+    assert len(runs) == 3 and all(len(x) <= 60 for x in runs.values())
+    rows = s.remove_repeats(docs).collect()
+    assert len(rows) == 1003
+    want = removed([texts[2]], s.LENGTH)[0]
+    assert all(bytes(r.cut.kept) == (want if r.doc_id == 8 else b"") for r in rows)
+
+
 def test_suffix_array_equals_sorting():
     from folioflow.llm.suffix_dedup import common_prefixes, sliding_min, suffix_array
 
