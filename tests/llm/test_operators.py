@@ -29,6 +29,42 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_language_id_letters_and_backoff(spark):
+    """One definition of a letter, for learning and scoring; the model against a plain one; hot ids; ties."""
+    from folioflow.llm import language_id as m
+
+    assert m.words_of("a²b ½ Ⅷ x_y 7z ünï 𝔘q") == {"a": 1, "b": 1, "x": 1, "y": 1, "z": 1, "ünï": 1, "𝔘q": 1}
+    texts = {"aa": "la luna mara luna tola", "bb": "der hund und der ochs", "cc": "the dog the ox the zebra"}
+    rows = [(i, texts[k] + f" {chr(97 + i % 26) * 3}", k) for i, k in enumerate(list(texts) * 40)] + [(9000, texts["aa"], "aa")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = m.training_rows(docs, m.F.lit(True)).collect()
+    assert len(sample) == 121  # rows of one id and language are one
+    model = m.train(docs)
+    words = {k: collections.Counter() for k in texts}
+    for r in sample:
+        words[r.lang].update(m.words_of(r.text))
+    known = set().union(*words.values())
+    assert set(model.words[0]) == known
+    n = np.array([[words[k][w] for k in texts] for w in ["luna", "der", "the", "zebra"]])
+    log = np.log(n + 0.2) - np.log(np.array([words[k].total() for k in texts]) + 0.2 * len(known))
+    assert np.allclose([model.word(w) for w in ["luna", "der", "the", "zebra"]], np.maximum(log - log.max(axis=1, keepdims=True), -m.WORST), atol=1e-4)
+    grams = {k: collections.Counter() for k in texts}
+    for k, c in words.items():
+        for w, x in c.items():
+            for i in range(len(w) + 3 - 3):
+                grams[k][f" {w} "[i : i + 3]] += x
+    kept = {g for g in set().union(*grams.values()) if sum(c[g] for c in grams.values()) >= m.LEAST_SEEN}
+    assert set(model.grams[2][0]) == kept
+    assert model.word("lunch")[list(texts).index("aa")] == 0  # unseen: the longest known n-gram, " lun"
+    odd = spark.createDataFrame([(1, "²³"), (2, "½"), (3, "Ⅷ Ⅸ"), (4, "12 _ !"), (5, "²luna²"), (6, "qqq qqq")], "doc_id long, text string")
+    said = {r.doc_id: r.language for r in m.with_language(odd, model).collect()}
+    assert [said[i].lang_pred for i in (1, 2, 3, 4, 5)] == ["und"] * 4 + ["aa"] and said[1].score == 0
+    tie = m.Model({"words": m.counts(docs.limit(0))["words"], "grams": m.counts(docs.limit(0))["grams"]})
+    assert m.Scorer(tie).of("luna") == ("und", 0.0)
+    same = spark.createDataFrame([(1, "same", "bb"), (2, "same", "aa")], "doc_id long, text string, lang string")
+    assert m.with_language(same, m.train(same)).first().language == ("aa", 0.5)
+
+
 def test_language_id(spark, sf_dir, docs):
     from folioflow.llm.language_id import op1_language_id
 
@@ -459,25 +495,50 @@ def test_query_equals_sql(spark, sf_dir, name):
     compare(spark, connect(sf_dir), QUERIES[name], SQL[name], sf_dir)
 
 
-def test_mixing_stays_within_a_block(spark):
+@pytest.mark.parametrize("sources", [2, 4, 7, 60, 500])
+def test_mixing_stays_within_a_block_of_the_given_weights(spark, sources):
+    """Every slot is held against the weights as they were given, over several periods."""
     from folioflow.llm import mixing
 
-    rows = [(i, f"s{i % 7 if i % 3 else 0}") for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id long, source string")
-    weights = {"s0": 5.0, "s1": 1.0, "s2": 0.3, "s3": 2.0, "s4": 1.0, "s5": 1.0, "s6": 0.1}
-    plan = mixing.schedule(mixing.targets(df.groupBy(mixing.source_tag().alias("tag")).count().withColumnRenamed("count", "n"), weights)).collect()
-    period = plan[0].period
-    at = {s: r.tag for r in plan for s in r.slots}
+    rng = np.random.default_rng(sources)
+    weights = {f"s{i}": float(w) for i, w in enumerate({2: [0.37, 0.63], 4: [0.7, 0.1, 0.1, 0.1]}.get(sources, rng.integers(1, 8, sources)))}
+    if sources == 500:
+        weights["s0"] = 1000.0
+    if sources == 7:
+        weights |= {"s3": 0.0, "s4": 0.5}
+        del weights["s6"]  # no weight at all
+    counts = spark.createDataFrame([(f"=s{i}", 50) for i in range(sources)], "tag string, n long")
+    plan = mixing.schedule(mixing.targets(counts, weights)).collect()
+    mixed = {r.tag[1:]: r for r in plan if not r.shift}
+    late = [r for r in plan if r.shift]
+    assert sorted(mixed) == sorted(k for k, w in weights.items() if w)
+    period, total = next(iter(mixed.values())).period, sum(weights.values())
+    at = {s: k for k, r in mixed.items() for s in r.slots}
     assert sorted(at) == list(range(period))
     done = collections.Counter()
-    for t in range(period):
-        done[at[t]] += 1
-        assert all(abs(done[r.tag] - (t + 1) * r.quota / period) < 1 for r in plan)
-    got = mixing.placed(df, weights).select("doc_id", "mix.*").collect()
+    for t in range(3 * period if sources < 500 else period):
+        done[at[t % period]] += 1
+        held = mixed if sources < 500 and t < 2000 else {at[t % period]: 0, "s0": 0}
+        assert all(abs(done[k] - (t + 1) * weights[k] / total) < 1 - 1e-9 for k in held)
+    assert [r.tag for r in sorted(late, key=lambda r: r.shift)] == (["=s3", "=s6"] if sources == 7 else [])
+
+
+def test_mixing_places_every_document_once(spark):
+    from folioflow.llm import mixing
+
+    rows = [(i if i % 50 else None, f"s{i % 7 if i % 3 else 0}") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"s0": 5.0, "s1": 1.0, "s2": 0.3, "s3": 2.0, "s4": 1.0, "s5": 0, "s9": 3}
+    got = mixing.placed(df, weights).select("doc_id", "source", "mix.*").collect()
     assert len({r.position for r in got}) == 4000
     assert all(r.release <= r.slot < r.deadline for r in got)
-    ordered = mixing.mixed(df, weights).collect()
-    assert [r.doc_id for r in ordered] == [r.doc_id for r in sorted(got, key=lambda r: r.position)]
+    assert max(r.slot for r in got if r.source not in ("s5", "s6")) < min(r.slot for r in got if r.source in ("s5", "s6"))
+    ordered = mixing.mixed(df.filter("doc_id is not null"), weights).collect()
+    alone = mixing.placed(df.filter("doc_id is not null"), weights).collect()
+    assert [r.doc_id for r in ordered] == [r.doc_id for r in sorted(alone, key=lambda r: r.mix.position)]
+    assert len(mixing.placed(df, {"s0": 0}).select("mix.position").distinct().collect()) == 4000
+    with pytest.raises(ValueError):
+        mixing.whole_weights({"a": 0.1234567891, "b": 1})
 
 
 def test_quality_classifier(spark, sf_dir):
