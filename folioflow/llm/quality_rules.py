@@ -2,8 +2,11 @@
 
 Each text gets a vector of transformed statistics. For each language and source a minimum covariance
 determinant estimate is fitted over all its texts: from several deterministic starts, concentration
-steps keep the `SUPPORT` nearest share and refit, and the start with the least determinant wins.
-A text whose Mahalanobis distance from its group's estimate passes `CUTOFF` is rejected.
+steps keep the `SUPPORT` nearest share and refit, and the start with the least determinant wins. The same is
+done for each language and for all texts, and a group's estimate is drawn towards its language's, and that
+towards the one of all: the wider one weighs as `PRIOR` texts, the own one as the texts kept beyond the number
+of dimensions, so that a few texts say little and many say all. A text whose Mahalanobis distance from its group's estimate passes `CUTOFF`
+is rejected.
 """
 
 from __future__ import annotations
@@ -14,13 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import documents, own_name, ship, text_udf, written
+from folioflow.llm.common import discard, documents, own_name, ship, text_udf, written
 from folioflow.llm.text import code_points, combine, is_space, mix, prefix_hash, segment_sums, span_hash, words
 
 #: Share of a group that a concentration step keeps, and the number of steps.
 SUPPORT, STEPS = 0.7, 4
-#: A language and source of fewer texts is pooled by language; a language of fewer, with all.
-LEAST_GROUP = 200
+#: Texts that the estimate of the wider group counts for.
+PRIOR = 100
 #: Rejected beyond this Mahalanobis distance.
 CUTOFF = 9.0
 #: A statistic's standard deviation counts as at least this; a repeated line or passage alone isn't far out.
@@ -114,27 +117,51 @@ def distance(mean: str = "mean", inverse: str = "inverse") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-_FIT = T.StructType([T.StructField("grp", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType())])
+_D = T.ArrayType(T.DoubleType())
+_DRAWN = T.StructType([T.StructField("grp", T.StringType()), T.StructField("n", T.DoubleType()), T.StructField("mean", _D), T.StructField("inverse", _D), T.StructField("cov", _D)])
+_FIT = T.StructType([*_DRAWN, T.StructField("start", T.IntegerType()), T.StructField("logdet", T.DoubleType())])
+
+
+def _square(upper: list[float]) -> np.ndarray:
+    out = np.zeros((len(VECTOR),) * 2)
+    for (i, j), x in zip(PAIRS, upper, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
+
+
+def _upper(a: np.ndarray) -> list[float]:
+    return [float(a[i, j]) for i, j in PAIRS]
+
+
+def _invertible(cov: np.ndarray) -> np.ndarray:
+    low = np.linalg.eigvalsh(cov)[0]
+    return cov + np.eye(len(cov)) * (1e-8 - low) if low < 1e-8 else cov
 
 
 def _refit(batches):
     """Means, sums of products and counts to estimates; one row for each group and start."""
-    p = len(VECTOR)
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
             n, mean = max(r.n, 1.0), np.array(r.sums) / max(r.n, 1.0)
-            cov = np.zeros((p, p))
-            for (i, j), x in zip(PAIRS, r.products, strict=True):
-                cov[i, j] = cov[j, i] = x / n - mean[i] * mean[j]
             # the kept share of a normal cloud is narrower than the whole; 1.4 brings six dimensions at 0.7 about back
-            cov = cov * 1.4 + np.diag([LEAST_SPREAD[v] ** 2 for v in VECTOR])
-            low = np.linalg.eigvalsh(cov)[0]
-            if low < 1e-8:
-                cov += np.eye(p) * (1e-8 - low)
-            inv = np.linalg.inv(cov)
-            out.append((r.grp, r.start, mean.tolist(), [float(inv[i, j]) for i, j in PAIRS], float(np.linalg.slogdet(cov)[1])))
-        yield pd.DataFrame(out, columns=["grp", "start", "mean", "inverse", "logdet"])
+            cov = (_square(np.array(r.products) / n) - np.outer(mean, mean)) * 1.4 + np.diag([LEAST_SPREAD[v] ** 2 for v in VECTOR])
+            cov = _invertible(cov)
+            out.append((r.grp, n, mean.tolist(), _upper(np.linalg.inv(cov)), _upper(cov), r.start, float(np.linalg.slogdet(cov)[1])))
+        yield pd.DataFrame(out, columns=[f.name for f in _FIT])
+
+
+def _draw(batches):
+    """A group's estimate and the wider group's, weighed by the group's degrees of freedom and PRIOR."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            mean, wide = np.array(r.mean), np.array(r.wide_mean)
+            # as many texts as dimensions only span them; those beyond tell of the spread
+            n = max(r.n - len(mean), 0.0)
+            cov = _invertible((n * _square(r.cov) + PRIOR * _square(r.wide_cov)) / (n + PRIOR))
+            out.append((r.grp, r.n, ((n * mean + PRIOR * wide) / (n + PRIOR)).tolist(), _upper(np.linalg.inv(cov)), _upper(cov)))
+        yield pd.DataFrame(out, columns=[f.name for f in _DRAWN])
 
 
 def _moments(df: DataFrame) -> DataFrame:
@@ -142,48 +169,62 @@ def _moments(df: DataFrame) -> DataFrame:
     return df.groupBy("grp", "start").agg(F.count("*").cast("double").alias("n"), F.array(*[F.sum(x) for x in v]).alias("sums"), F.array(*[F.sum(v[i] * v[j]) for i, j in PAIRS]).alias("products"))
 
 
-def groups(stats: DataFrame) -> DataFrame:
-    """__lang, __source -> grp, whose estimate holds: the pair, or if that has few texts the language, or all. by_lang: whether the language needs an estimate."""
-    n = stats.groupBy("__lang", "__source").count()
-    n = n.join(n.groupBy("__lang").agg(F.sum("count").alias("n_lang")), "__lang")
-    grp = F.when(F.col("count") >= LEAST_GROUP, F.concat_ws("\x1f", "__lang", "__source")).when(F.col("n_lang") >= LEAST_GROUP, F.col("__lang")).otherwise("all")
-    n = n.select("__lang", "__source", grp.alias("grp"))
-    return n.join(n.groupBy("__lang").agg(F.max(F.col("grp") == F.col("__lang")).alias("by_lang")), "__lang")
+#: Between the names of a language and of a source.
+_SEP = "\x1f"
+ALL = "all"
 
 
-def estimates(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(__lang, __source -> grp; grp -> mean, inverse): minimum-covariance-determinant estimates over all rows of `stats`.
+def concentrated(rows: DataFrame) -> DataFrame:
+    """grp -> n, mean, inverse, cov: each group's minimum-covariance-determinant estimate over all of its rows (grp, *VECTOR).
 
-    A text without words takes no part. Pooled estimates are over all texts of the language, or all texts.
+    Rows meet estimates and cuts in tables of one row a group, so no group gathers in a task. Ties in
+    distance are kept together; starts of equal determinant go to the first.
     """
-    named = written(groups(stats), "mcd-groups")
-    pair, lang = F.when(F.col("grp").contains("\x1f"), F.col("grp")), F.when(F.col("by_lang"), F.col("__lang"))
-    everything = F.lit("all") if named.filter("grp = 'all'").limit(1).count() else F.lit(None).cast("string")
-    rows = stats.filter("n_words > 0").join(named, ["__lang", "__source"]).select(F.explode(F.array_compact(F.array(pair, lang, everything))).alias("grp"), *VECTOR)
-
     # starts: 0 medians and absolute deviations, 1 means and variances
-    med = rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in VECTOR])
+    med = written(rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in VECTOR]), "mcd-medians")
     mad = rows.join(med, "grp").groupBy("grp").agg(*[F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in VECTOR])
     spread = [F.pow(F.greatest(F.lit(1.4826) * F.col(f"d_{v}"), F.lit(LEAST_SPREAD[v])), F.lit(-2.0)) for v in VECTOR]
-    robust = mad.select("grp", F.lit(0).alias("start"), F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.lit(0.0).alias("logdet"))
+    robust = mad.select("grp", F.lit(0).alias("start"), F.lit(0.0).alias("n"), F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.array(*[F.lit(0.0)] * len(PAIRS)).alias("cov"), F.lit(0.0).alias("logdet"))
     plain = _moments(rows.withColumn("start", F.lit(1))).mapInPandas(_refit, _FIT)
     fit = written(robust.unionByName(plain), "mcd-start")
+    discard(med)
     for step in range(STEPS):
-        near = rows.join(fit.select("grp", "start", "mean", "inverse"), "grp").select("grp", "start", *VECTOR, distance().alias("d2"))
-        cut = near.groupBy("grp", "start").agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("cut"))
-        kept = near.join(cut, ["grp", "start"]).filter("d2 <= cut")
-        fit = written(_moments(kept).mapInPandas(_refit, _FIT), f"mcd-{step}")
-    best = fit.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse"), F.struct("logdet", "start")).alias("best")).select("grp", "best.mean", "best.inverse")
-    return named, written(best, "mcd")
+        cut = rows.join(fit.select("grp", "start", "mean", "inverse"), "grp").groupBy("grp", "start").agg(F.percentile_approx(distance(), SUPPORT, 10_000).alias("cut"))
+        cuts = written(cut.join(fit.select("grp", "start", "mean", "inverse"), ["grp", "start"]), f"mcd-cut{step}")
+        kept = rows.join(cuts, "grp").filter(distance() <= F.col("cut"))
+        new = written(_moments(kept).mapInPandas(_refit, _FIT), f"mcd-{step}")
+        discard(fit, cuts)
+        fit = new
+    best = fit.groupBy("grp").agg(F.min_by(F.struct("n", "mean", "inverse", "cov"), F.struct("logdet", "start")).alias("best"))
+    return best.select("grp", "best.*")
+
+
+def drawn(own: DataFrame, wide: DataFrame, to: Column) -> DataFrame:
+    """grp -> n, mean, inverse, cov: `own` drawn towards the estimate of the wider group that `to` names."""
+    pairs = own.withColumn("to", to).join(wide.select(F.col("grp").alias("to"), F.col("mean").alias("wide_mean"), F.col("cov").alias("wide_cov")), "to")
+    return pairs.mapInPandas(_draw, _DRAWN)
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """__lang, __source -> mean, inverse: estimates over all rows of `stats`, each drawn towards those of wider groups.
+
+    A text without words takes no part; a language and source of such texts alone has no estimate.
+    """
+    lang, pair = F.col("__lang"), F.concat_ws(_SEP, "__lang", "__source")
+    rows = stats.filter("n_words > 0").select(F.explode(F.array(pair, lang, F.lit(ALL))).alias("grp"), *VECTOR)
+    fit = written(concentrated(rows), "mcd-groups")
+    all_ = fit.filter(F.col("grp") == ALL)
+    langs = written(drawn(fit.filter(~F.col("grp").contains(_SEP) & (F.col("grp") != ALL)), all_, F.lit(ALL)), "mcd-languages")
+    own = drawn(fit.filter(F.col("grp").contains(_SEP)), langs, F.substring_index("grp", _SEP, 1))
+    return written(own.select(F.substring_index("grp", _SEP, 1).alias("__lang"), F.expr(f"substring(grp, locate('{_SEP}', grp) + 1)").alias("__source"), "mean", "inverse"), "mcd")
 
 
 _stats_udf = text_udf(statistics, STATS)
 
 
-def judge(rows: DataFrame, s: Column, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
+def judge(rows: DataFrame, s: Column, best: DataFrame) -> DataFrame:
     """`rows` with __failed and __kept; `s` is their struct of statistics."""
-    named, best = fitted
-    keys = named.join(best, "grp", "left").select("__lang", "__source", F.col("mean").alias("__mean"), F.col("inverse").alias("__inverse"))
+    keys = best.select("__lang", "__source", F.col("mean").alias("__mean"), F.col("inverse").alias("__inverse"))
     j = tags(rows).select("*", failed(s).alias("__failed"), *vector(s)).join(keys, ["__lang", "__source"], "left")
     far = F.coalesce(distance("__mean", "__inverse") > CUTOFF**2, F.lit(False))
     return j.withColumn("__kept", ~F.col("__failed") & ~far)
@@ -193,7 +234,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that pass, with its columns.
 
     Null or empty text has no words and fails. Null lang or source is a value of its own. Repeated rows are
-    judged alike. Extra columns pass through. An empty table gives an empty table.
+    judged alike, and texts of any length whole. Extra columns pass through. An empty table gives an empty table.
     The text is read twice: once for the estimates, once for the verdicts.
     """
     ship(docs.sparkSession)

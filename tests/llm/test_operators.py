@@ -541,6 +541,54 @@ def test_mixing_places_every_document_once(spark):
         mixing.whole_weights({"a": 0.1234567891, "b": 1})
 
 
+def test_estimates_by_hand(spark):
+    """Groups of 30, 300 and 3,000 texts with a fifth of outliers, and tiny ones: every group has its own estimate, equal to one made plainly."""
+    from folioflow.llm import quality_rules as q
+
+    rng, p = np.random.default_rng(4), len(q.VECTOR)
+    floor = np.array([q.LEAST_SPREAD[v] for v in q.VECTOR])
+    rows = {}
+    for g, n in {("=a", "=x"): 3000, ("=a", "=y"): 300, ("=b", "=x"): 30, ("=b", "null"): 1, ("=c", "=x"): 4}.items():
+        mix = rng.normal(size=(p, p)) * 0.2
+        x = rng.normal(size=(n, p)) @ mix + rng.normal(size=p)
+        x[: n // 5] += 9
+        rows[g] = np.round(x, 6)
+    data = [(*g, 60, *map(float, v)) for g, x in rows.items() for v in x] + [("=d", "=x", 0, *[0.0] * p)]
+    stats = spark.createDataFrame(data, "__lang string, __source string, n_words long, " + ", ".join(f"{v} double" for v in q.VECTOR))
+    got = {(r["__lang"], r["__source"]): r for r in q.estimates(stats).collect()}
+    assert set(got) == set(rows)
+
+    def nth(values, share):
+        return np.sort(values)[max(0, int(np.ceil(share * len(values))) - 1)]
+
+    def mcd(x):
+        med = np.array([nth(c, 0.5) for c in x.T])
+        mad = np.array([nth(np.abs(c - m), 0.5) for c, m in zip(x.T, med, strict=True)])
+        ends = []
+        for mean, cov in ((med, np.diag(np.maximum(1.4826 * mad, floor) ** 2)), (x.mean(axis=0), np.cov(x.T, bias=True).reshape(p, p) * 1.4 + np.diag(floor**2))):
+            for _ in range(q.STEPS):
+                d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+                kept = x[d2 <= nth(d2, q.SUPPORT) + 1e-12]
+                mean, cov = kept.mean(axis=0), np.cov(kept.T, bias=True).reshape(p, p) * 1.4 + np.diag(floor**2)
+            ends.append((np.linalg.slogdet(cov)[1], len(kept), mean, cov))
+        return min(ends, key=lambda e: e[0])[1:]
+
+    def drawn(own, wide):
+        (n, m, c), (_, wm, wc) = own, wide
+        k = max(n - p, 0)
+        return n, (k * m + q.PRIOR * wm) / (k + q.PRIOR), (k * c + q.PRIOR * wc) / (k + q.PRIOR)
+
+    everything = mcd(np.concatenate(list(rows.values())))
+    for g, x in rows.items():
+        lang = drawn(mcd(np.concatenate([v for k, v in rows.items() if k[0] == g[0]])), everything)
+        _, mean, cov = drawn(mcd(x), lang)
+        assert np.allclose(got[g]["mean"], mean, atol=1e-4), g
+        assert np.allclose(q._square(got[g]["inverse"]), np.linalg.inv(cov), rtol=1e-3, atol=1e-3), g
+        if len(x) >= 3000:  # outliers move neither
+            clean = x[len(x) // 5 :]
+            assert np.abs(mean - clean.mean(axis=0)).max() < 0.1
+
+
 def test_quality_classifier(spark, sf_dir):
     from folioflow.llm.quality_classifier import op10_quality_classifier
 
