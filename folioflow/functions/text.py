@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
 
 SNIPPET_CHARS = 200
-ARXIV_ID = r"(\d{4}\.\d{4,5})(v\d+)?"
-DOI = r"(10\.\d{4,9}/[^\s\"<>]+)"
-SECTION_NUMBER = r"^([0-9]+(?:\.[0-9]+)*|[A-Z](?:\.[0-9]+)+)[.\s]"
+#: An arXiv id after its prefix, a DOI, a heading's number, headings that a summary can do without.
+ARXIV_ID = r"(?i)\barxiv:\s*(\d{4}\.\d{4,5})(?:v\d+)?\b"
+DOI = r"\b(10\.\d{4,9}/[^\s\"<>]+)\b"
+SECTION_NUMBER = r"^([A-Za-z]?\d+(?:\.\d+)*|[A-Z](?:\.\d+)+)\b"
+LOW_VALUE = r"(?i)\n#{1,3}\s*(references|bibliography|appendix|supplementary)\b"
 
 
 def words(text: Column) -> Column:
@@ -76,8 +78,8 @@ def heading_depth(heading: Column) -> Column:
     return F.when(number == "", 1).otherwise(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1)
 
 
-def before_low_value_sections(text: Column, headings: str = r"(?im)^#+\s*(references|bibliography|acknowledge?ments?|appendix)\b") -> Column:
-    """The text before the first heading of a section that a summary can do without."""
+def before_low_value_sections(text: Column, headings: str = LOW_VALUE) -> Column:
+    """The text before the line break of the first heading of a section that a summary can do without."""
     at = F.regexp_instr(text, F.lit(headings))
     return F.when(at > 0, F.substring(text, F.lit(1), at - 1)).otherwise(text)
 

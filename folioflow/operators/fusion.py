@@ -4,18 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K = 60
 
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+
+
+def keep_partial_limits(spark: SparkSession, most: int) -> None:
+    """Let each task cut every list to its own first `most` rows before they move; beyond this setting Spark moves and sorts them all in one task a list."""
+    if int(spark.conf.get(GROUP_LIMIT)) < most:
+        spark.conf.set(GROUP_LIMIT, str(most))
+
+
 def ranked(scored: DataFrame, by: Sequence[str] = (), most: int | None = None, score: str = "score", identifier: str = "id") -> DataFrame:
     """`scored` with a 1-based rank by score descending, then id; the first `most` of each `by`."""
     w = Window.partitionBy(*by or [F.lit(0)]).orderBy(F.desc(score), F.asc(identifier))
     if most is not None and not by:
         # one list: each task keeps its own first rows, so the window sees `most` at most
         scored = scored.orderBy(F.desc(score), F.asc(identifier)).limit(most)
+    if most is not None and by:
+        keep_partial_limits(scored.sparkSession, most)
     out = scored.withColumn("rank", F.row_number().over(w))
     return out if most is None else out.filter(F.col("rank") <= most)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -66,15 +67,15 @@ def reranker(call: Callable[[str, list[str]], list[float]]):
     return F.pandas_udf(score, T.DoubleType())
 
 
-RESULT = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", T.StringType()), T.StructField("error_type", T.StringType()), T.StructField("error", T.StringType())])
-
-
-def guarded(call: Callable[[list[str]], list[str]], attempts: int = 3, permanent: tuple[type[BaseException], ...] = (ValueError,)):
-    """text -> (ok, value, error_type, error). A batch that fails is done one by one; each is tried `attempts` times unless its error is permanent."""
+def guarded(call: Callable[[list[str]], list], attempts: int = 3, permanent: tuple[type[BaseException], ...] = (ValueError,), value: T.DataType = T.StringType(), wait_s: float = 0.0):  # noqa: B008
+    """text -> (ok, value, error_type, error). A batch that fails is done one by one; each is tried `attempts` times unless its error is permanent, with waits that double from `wait_s`."""
+    result = T.StructType([T.StructField("ok", T.BooleanType()), T.StructField("value", value), T.StructField("error_type", T.StringType()), T.StructField("error", T.StringType())])
 
     def one(text: str) -> tuple:
         error: BaseException | None = None
-        for _ in range(attempts):
+        for n in range(attempts):
+            if n and wait_s:
+                time.sleep(wait_s * 2 ** (n - 1))
             try:
                 return True, call([text])[0], None, None
             except permanent as e:
@@ -95,7 +96,7 @@ def guarded(call: Callable[[list[str]], list[str]], attempts: int = 3, permanent
 
     ship(SparkSession.active())
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(run, RESULT)
+    return F.pandas_udf(run, result)
 
 
 def fake_summary(paper_id: Column, markdown: Column) -> Column:

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import ARXIV_ID, DOI, collapse, heading_depth, version_number
 
-#: Item types that aren't prose, and those that never become blocks.
-BLOCK_TYPES = {"equation": "equation", "code": "code", "algorithm": "code", "table": "table", "image": "caption", "chart": "caption"}
-FURNITURE = ("header", "footer", "page_number", "aside_text", "page_footnote")
+#: Item types that aren't prose, those that are never read, and those that become figures.
+BLOCK_TYPES = {"equation": "equation", "code": "code", "algorithm": "code", "table": "table"}
+FURNITURE = ("header", "footer", "page_number", "aside_text", "page_footnote", "footnote")
+FIGURES = ("image", "chart")
+REFERENCES = "ref_text"
+
+#: What items may have besides paper_id, pos, type, page_idx and bbox.
+OPTIONAL = {"sub_type": "string", "text": "string", "text_level": "int", "list_items": "array<string>", "table_body": "string", "table_caption": "array<string>", "img_path": "string", "image_caption": "array<string>", "chart_caption": "array<string>"}
 
 
 def block_type(item_type: Column) -> Column:
@@ -24,10 +29,22 @@ def rescaled(bbox: Column, width: Column, height: Column) -> Column:
     return F.struct((bbox[0] / 1000.0 * width).alias("x0"), (bbox[1] / 1000.0 * height).alias("y0"), (bbox[2] / 1000.0 * width).alias("x1"), (bbox[3] / 1000.0 * height).alias("y1"))
 
 
-def usable(items: DataFrame) -> DataFrame:
-    """Items with a page and a box of some area that aren't furniture."""
+def usable(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items on a known page with a box of some area that aren't furniture, with the box in points as `place`."""
+    for name, kind in OPTIONAL.items():
+        if name not in items.columns:
+            items = items.withColumn(name, F.lit(None).cast(kind))
     b = F.col("bbox")
-    return items.filter(F.col("page_idx").isNotNull() & (F.size("bbox") == 4) & (b[2] > b[0]) & (b[3] > b[1]) & ~F.coalesce("type", F.lit("")).isin(*FURNITURE))
+    some = items.filter(F.col("page_idx").isNotNull() & (F.size("bbox") == 4) & (b[2] > b[0]) & (b[3] > b[1]) & ~F.coalesce("type", F.lit("")).isin(*FURNITURE))
+    return some.join(pages, ["paper_id", "page_idx"]).withColumn("place", rescaled(b, F.col("width"), F.col("height")))
+
+
+def _is_references() -> Column:
+    return (F.col("type") == "list") & F.coalesce(F.col("sub_type") == REFERENCES, F.lit(False))
+
+
+def _lines(c: str) -> Column:
+    return F.array_join(F.coalesce(c, F.array().cast("array<string>")), "\n")
 
 
 #: Each heading pops what is as deep or deeper and stands on top; the path after every item.
@@ -51,21 +68,45 @@ def section_paths(items: DataFrame, by: str = "paper_id", at: str = "idx") -> Da
     return z.select(by, F.col("z.ordered.at").alias(at), F.col("z.path").alias("section_path"))
 
 
+def tables(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """paper_id, pos, markdown, caption, page, bbox of the table items."""
+    from folioflow.functions.markup import tables_as_markdown
+
+    t = usable(items, pages).filter("type = 'table'")
+    return t.select("paper_id", "pos", F.coalesce(tables_as_markdown("table_body"), F.lit("")).alias("markdown"), _lines("table_caption").alias("caption"), F.col("page_idx").alias("page"), F.col("place").alias("bbox"))
+
+
+def figures(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """paper_id, pos, image_path, caption, page, bbox of images and charts that have a picture."""
+    f = usable(items, pages).filter(F.col("type").isin(*FIGURES) & (F.coalesce("img_path", F.lit("")) != ""))
+    caption = F.when(F.col("type") == "image", _lines("image_caption")).otherwise(_lines("chart_caption"))
+    return f.select("paper_id", "pos", F.col("img_path").alias("image_path"), caption.alias("caption"), F.col("page_idx").alias("page"), F.col("place").alias("bbox"))
+
+
+def raw_references(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """paper_id, pos, raw: the lines of the lists of references that aren't blank, numbered in reading order."""
+    lists = usable(items, pages).filter(_is_references()).select("paper_id", F.col("pos").alias("at"), F.posexplode("list_items").alias("n", "raw"))
+    return lists.filter(F.trim("raw") != "").select("paper_id", (F.row_number().over(Window.partitionBy("paper_id").orderBy("at", "n")) - 1).alias("pos"), "raw")
+
+
 def blocks(items: DataFrame, pages: DataFrame) -> DataFrame:
-    """Blocks of layout items (paper_id, pos, type, text, text_level, list_items, page_idx, bbox) on pages (paper_id, page_idx, width, height).
+    """Blocks of layout items (paper_id, pos, type, page_idx, bbox, and what of OPTIONAL there is) on pages (paper_id, page_idx, width, height).
 
     Unusable items go first; a heading (text of level 2 or deeper) sets the path before its own block is labelled;
-    blank ones then go; what is left is numbered densely in reading order.
+    figures and lists of references make no blocks; a table's text is its Markdown, or else its caption; blank ones
+    then go; what is left is numbered densely in reading order.
     """
-    u = usable(items).join(pages, ["paper_id", "page_idx"])
+    u = usable(items, pages)
     heading = (F.col("type") == "text") & (F.coalesce("text_level", F.lit(0)) >= 2)
-    u = u.withColumn("heading", heading & F.col("text").isNotNull())
-    paths = section_paths(u, "paper_id", "pos")
-    text = F.coalesce(F.when(F.trim("text") != "", F.col("text")), F.array_join("list_items", "\n"), F.lit(""))
-    kept = u.join(paths, ["paper_id", "pos"]).withColumn("body", text).filter(F.trim("body") != "")
+    paths = section_paths(u.withColumn("heading", heading & F.col("text").isNotNull()), "paper_id", "pos")
+    text = F.coalesce(F.when(F.col("text") != "", F.col("text")), _lines("list_items"))
+    body = u.filter(~F.coalesce("type", F.lit("")).isin("table", *FIGURES) & ~_is_references()).select("paper_id", "pos", "type", text.alias("body"), "page_idx", "place")
+    t = tables(items, pages)
+    body = body.unionByName(t.select("paper_id", "pos", F.lit("table").alias("type"), F.coalesce(F.nullif("markdown", F.lit("")), F.col("caption")).alias("body"), F.col("page").alias("page_idx"), F.col("bbox").alias("place")))
+    kept = body.filter(F.trim("body") != "").join(paths, ["paper_id", "pos"])
     idx = F.row_number().over(Window.partitionBy("paper_id").orderBy("pos")) - 1
     out = kept.withColumn("idx", idx)
-    return out.select(F.concat(F.col("paper_id"), F.lit(":b"), F.col("idx").cast("string")).alias("block_id"), "paper_id", "idx", block_type(F.col("type")).alias("type"), F.col("body").alias("text"), F.col("page_idx").alias("page"), rescaled(F.col("bbox"), F.col("width"), F.col("height")).alias("bbox"), "section_path")
+    return out.select(F.concat(F.col("paper_id"), F.lit(":b"), F.col("idx").cast("string")).alias("block_id"), "paper_id", "idx", block_type(F.col("type")).alias("type"), F.col("body").alias("text"), F.col("page_idx").alias("page"), F.col("place").alias("bbox"), "section_path")
 
 
 def arxiv_id(text: Column) -> Column:

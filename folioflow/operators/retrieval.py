@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 DEFAULT_K, MOST_K, POOL = 10, 100, 32
 #: Results join as broadcasts while there are at most so many.
-MOST_HITS = 100_000
+MOST_HITS = 10_000
 
 
 def clamp_k(k: int | None) -> int:
@@ -33,14 +33,24 @@ def citation(url_id: Column) -> Column:
     return F.concat(F.lit("https://arxiv.org/abs/"), url_id)
 
 
-def grounded(hits: DataFrame, chunks: DataFrame, papers: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+def few(hits: DataFrame, bound: int | None) -> DataFrame:
+    """`hits`, sent to every task if they are known to be MOST_HITS at most: nothing that they join then moves."""
+    return hits if bound is None or bound > MOST_HITS else F.broadcast(hits)
+
+
+def grounded(hits: DataFrame, chunks: DataFrame, papers: DataFrame, blocks: DataFrame, k: int, bound: int | None = None) -> DataFrame:
     """Hits (query_id, id, score, rank) joined to their chunk, paper and anchor block; the first k of each query.
 
-    Hits without a chunk or paper drop out before the cut to k; a chunk whose block is missing is an error. The
+    `bound`: how many hits there are at most, where the caller knows. Hits without a chunk or paper drop out before the cut to k; a chunk whose block is missing is an error. The
     section is the block's own.
     """
-    j = hits.join(chunks, hits["id"] == chunks["chunk_id"]).join(papers, "paper_id")
+    hits = few(hits, bound)
+    j = chunks.join(hits, hits["id"] == chunks["chunk_id"])
+    # a hit meets one chunk: what was few stays few
+    j = papers.join(few(j, bound), "paper_id")
     b = blocks.select("block_id", F.col("section_path").alias("block_section"), F.col("text").alias("block_text"))
+    if bound is not None and bound <= MOST_HITS:
+        b = b.join(F.broadcast(j.select("block_id").distinct()), "block_id", "left_semi")
     j = j.join(b, "block_id", "left")
     section = F.when(F.col("block_text").isNull(), F.raise_error(F.lit("a chunk's block is missing")).cast("string")).otherwise(F.col("block_section"))
     j = j.select("query_id", "id", "score", "rank", "paper_id", "title", "block_id", "text", section.alias("section_path"), citation(F.col("paper_id")).alias("url"))

@@ -1,6 +1,7 @@
 """The ingest plan: references to chunks, summaries, vectors and scores, as tables in a folder.
 
-Stages write tables and resume from them: each works on what its stage lacks.
+Each stage writes its tables and then the stage that its papers have reached; a run goes on from there. A paper
+that a stage can't work on goes to quarantine, and the others go on.
 """
 
 from __future__ import annotations
@@ -9,23 +10,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.functions.text import first_heading
-from folioflow.operators import chunking, models, retrieval
-from folioflow.operators.state import upserted
-from folioflow.sinks.snapshots import replace
-from folioflow.streaming.ingest import _exists
+from folioflow.functions.text import before_low_value_sections, first_heading, first_words
+from folioflow.operators import chunking, models, parsing, retrieval
+from folioflow.operators.state import cascade_ids, quarantined, upserted, worklist
+from folioflow.sinks.snapshots import read, replace
+
+#: Words of a paper that a summary is made from, at most.
+SUMMARY_WORDS = 6_000
 
 
 class Store:
-    """Parquet tables of one folder: papers, blocks, chunks, summaries, vectors."""
+    """Tables of one folder: papers, blocks, chunks, summaries, vectors, state, quarantine."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def table(self, name: str) -> DataFrame | None:
-        p = f"{self.path}/{name}"
-        return self.spark.read.parquet(p) if _exists(self.spark, p) else None
+        return read(self.spark, f"{self.path}/{name}")
 
     def put(self, name: str, new: DataFrame, key: str = "paper_id") -> None:
         """Replace all rows of the new keys."""
@@ -33,41 +36,86 @@ class Store:
         replace(new if old is None else upserted(old, new, key), f"{self.path}/{name}")
 
     def delete(self, papers: DataFrame) -> DataFrame:
-        """Remove papers everywhere and give the ids of their chunks and summaries; unknown papers are no error."""
-        from folioflow.operators.state import cascade_ids
+        """Remove papers everywhere and give the ids of their chunks and summaries; unknown papers are no error.
 
-        gone = self.spark.createDataFrame(cascade_ids(self.table("chunks"), self.table("summaries"), papers).collect(), "id string")
-        for name in ("vectors", "chunks", "summaries", "blocks", "papers"):
+        The vectors go last: whatever is left behind by a stop is a vector without a row, which no result shows.
+        """
+        replace(cascade_ids(self.table("chunks"), self.table("summaries"), papers), f"{self.path}/deleted")
+        for name in ("papers", "blocks", "chunks", "summaries", "state", "vectors"):
             if (t := self.table(name)) is not None:
                 replace(t.join(papers, "paper_id", "left_anti"), f"{self.path}/{name}")
-        return gone
+        return self.table("deleted")
+
+    def reject(self, failures: DataFrame) -> None:
+        """Papers (paper_id, error_type, error) to quarantine; the first reason stays."""
+        new = failures.select("paper_id", "error_type", "error", F.current_timestamp().alias("ts"))
+        replace(quarantined(new, self.table("quarantine")), f"{self.path}/quarantine")
+
+    def reached(self, papers: DataFrame, stage: str) -> None:
+        self.put("state", papers.select("paper_id", F.lit(stage).alias("stage")).distinct())
 
+    def pending(self, todo: DataFrame, stage: str) -> DataFrame:
+        """paper_id of the papers that are neither there yet nor in quarantine, as a table: what follows changes both."""
+        out, state, dead = todo, self.table("state"), self.table("quarantine")
+        if state is not None:
+            out = worklist(out, state, stage).select("paper_id")
+        if dead is not None:
+            out = out.join(dead, "paper_id", "left_anti")
+        replace(out.select("paper_id").distinct(), f"{self.path}/pending")
+        return self.table("pending")
 
-def ingest(store: Store, papers: DataFrame, blocks: DataFrame, embed: Callable | None = None, topic: list[str] | None = None, by_section: bool = True) -> None:
+
+def ingest(store: Store, papers: DataFrame, blocks: DataFrame, embed: Callable | None = None, topic: list[str] | None = None, by_section: bool = True, summarize: Callable | None = None, attempts: int = 3, wait_s: float = 0.0) -> None:
     """Chunk, summarize, embed and score papers (paper_id, markdown, categories, published, ...) with their blocks.
 
-    Papers with vectors in the store are left alone. The topic vector is made once; a paper's relevance is the
-    cosine of its summary's vector with it.
+    Papers that are done, or in quarantine, are left alone; others go on from the stage that they have reached. A
+    paper without blocks, and one whose text the summarizer or the embedder refuses after `attempts`, goes to
+    quarantine. The topic vector is made once; a paper's relevance is the cosine of its summary's vector with it.
     """
-    done, todo = store.table("vectors"), papers.select("paper_id").distinct()
-    if done is not None:
-        todo = todo.join(done, "paper_id", "left_anti")
-    # the work is settled before the tables that it follows from change
-    replace(todo, f"{store.path}/todo")
-    todo = store.table("todo")
-    papers, blocks = papers.join(todo, "paper_id", "left_semi"), blocks.join(todo, "paper_id", "left_semi")
-    titled = papers.withColumn("title", F.coalesce(F.nullif(first_heading(F.col("markdown")), F.lit("")), F.col("title")) if "title" in papers.columns else first_heading(F.col("markdown")))
-    vector = models.embedder(embed or models.fake_vectors, models.DIM)
-    store.put("blocks", blocks)
-    store.put("chunks", chunking.chunks(blocks, titled, by_section))
-    store.put("summaries", titled.select(F.concat(F.col("paper_id"), F.lit(":summary")).alias("summary_id"), "paper_id", models.fake_summary(F.col("paper_id"), F.col("markdown")).alias("text")))
-    own = titled.select("paper_id")
-    rows = store.table("summaries").join(own, "paper_id", "left_semi").select(F.col("summary_id").alias("id"), F.lit("summary").alias("kind"), "paper_id", "text", F.lit("").alias("section_path"))
-    rows = rows.unionByName(store.table("chunks").join(own, "paper_id", "left_semi").select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("kind"), "paper_id", "text", "section_path"))
-    store.put("vectors", rows.join(titled.select("paper_id", "categories", "published"), "paper_id").withColumn("embedding", vector("text")))
-    scored = titled.withColumn("relevance_score", F.lit(None).cast("double"))
+    ids = papers.select("paper_id").distinct()
+    of = lambda name, some: store.table(name).join(some, "paper_id", "left_semi")
+
+    todo = store.pending(ids, "parsed")
+    own = papers.join(todo, "paper_id", "left_semi")
+    good, bad = parsing.assembled(own.select("paper_id", "markdown"), blocks.join(todo, "paper_id", "left_semi"))
+    store.reject(bad)
+    own = own.drop("markdown").join(good.select("paper_id", "markdown"), "paper_id")
+    title = first_heading(F.col("markdown"))
+    store.put("papers", own.withColumn("title", F.coalesce(F.nullif(title, F.lit("")), F.col("title")) if "title" in papers.columns else title).withColumn("relevance_score", F.lit(None).cast("double")))
+    store.put("blocks", blocks.join(good, "paper_id", "left_semi"))
+    store.reached(good, "parsed")
+
+    todo = store.pending(ids, "chunked")
+    store.put("chunks", chunking.chunks(of("blocks", todo), of("papers", todo), by_section))
+    store.reached(todo, "chunked")
+
+    todo = store.pending(ids, "summarized")
+    own = of("papers", todo).select("paper_id", "markdown")
+    if summarize is None:
+        said = own.select("paper_id", F.lit(True).alias("ok"), models.fake_summary(F.col("paper_id"), F.col("markdown")).alias("value"), F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error"))
+    else:
+        said = own.select("paper_id", models.guarded(summarize, attempts, wait_s=wait_s)(first_words(before_low_value_sections(F.col("markdown")), SUMMARY_WORDS)).alias("r")).select("paper_id", "r.*")
+    replace(said, f"{store.path}/said")
+    said = store.table("said")
+    store.reject(said.filter("not ok"))
+    store.put("summaries", said.filter("ok").select(F.concat("paper_id", F.lit(":summary")).alias("summary_id"), "paper_id", F.col("value").alias("text")))
+    store.reached(said.filter("ok"), "summarized")
+
+    todo = store.pending(ids, "embedded")
+    rows = of("summaries", todo).select(F.col("summary_id").alias("id"), F.lit("summary").alias("kind"), "paper_id", "text", F.lit("").alias("section_path"))
+    rows = rows.unionByName(of("chunks", todo).select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("kind"), "paper_id", "text", "section_path"))
+    vector = models.guarded(embed or models.fake_vectors, attempts, value=T.ArrayType(T.FloatType()), wait_s=wait_s)
+    replace(rows.withColumn("r", vector("text")), f"{store.path}/embedded")
+    made = store.table("embedded")
+    lost = made.filter("not r.ok").groupBy("paper_id").agg(F.min_by("r.error_type", "id").alias("error_type"), F.min_by("r.error", "id").alias("error"))
+    store.reject(lost)
+    kept = made.join(lost, "paper_id", "left_anti").join(of("papers", todo).select("paper_id", "categories", "published"), "paper_id")
+    store.put("vectors", kept.select(*rows.columns, "categories", "published", F.col("r.value").alias("embedding")))
+    store.reached(kept, "embedded")
+
+    todo = store.pending(ids, "done")
     if topic:
-        t = store.spark.createDataFrame([(" ".join(topic),)], "text string").select(vector("text").alias("vector"))
-        s = retrieval.relevance(store.table("vectors").filter("kind = 'summary'"), t).select(F.regexp_replace("id", ":summary$", "").alias("paper_id"), "relevance_score")
-        scored = titled.join(s, "paper_id", "left")
-    store.put("papers", scored)
+        t = store.spark.createDataFrame([(" ".join(topic),)], "text string").select(models.embedder(embed or models.fake_vectors, models.DIM)("text").alias("vector"))
+        s = retrieval.relevance(of("vectors", todo).filter("kind = 'summary'"), t).select(F.regexp_replace("id", ":summary$", "").alias("paper_id"), "relevance_score")
+        store.put("papers", of("papers", todo).drop("relevance_score").join(s, "paper_id", "left"))
+    store.reached(todo, "done")

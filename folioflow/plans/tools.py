@@ -22,12 +22,12 @@ class Tools:
         return self.store.spark.createDataFrame([(0, query)], "query_id int, text string").withColumn("vector", v("text"))
 
     def _pool(self, query: str, filters: Filters, kind: str, k: int) -> tuple[DataFrame, DataFrame]:
-        """(pool, reranked): the caller's kind never counts."""
+        """(pool, hits): the caller's kind never counts; without a reranker the fused order stays."""
         scoped = Filters(filters.categories, filters.published_after, filters.published_before, kind)
         vectors = self.store.table("vectors")
         pool = search.hybrid(vectors, self._question(query), scoped, self.weight, retrieval.pool_size(k, self.depth))
         if self.rerank is None:
-            return pool, retrieval.reranked(pool)
+            return pool, pool
         score = models.reranker(self.rerank)
         scored = pool.join(vectors.select("id", "text"), "id").withColumn("relevance", score(F.lit(query), F.col("text"))).drop("text")
         return pool, retrieval.reranked(scored, F.col("relevance"))
@@ -37,7 +37,7 @@ class Tools:
         n = retrieval.clamp_k(k)
         pool, hits = self._pool(query, filters, "chunk", n)
         chunks = self.store.table("chunks").select("chunk_id", "paper_id", F.col("anchor.block_id").alias("block_id"), "text")
-        out = retrieval.grounded(hits, chunks, self.store.table("papers").select("paper_id", "title"), self.store.table("blocks"), n)
+        out = retrieval.grounded(hits, chunks, self.store.table("papers").select("paper_id", "title"), self.store.table("blocks"), n, retrieval.pool_size(n, self.depth))
         return out.orderBy("place"), retrieval.coverage(pool, out)
 
     def search_papers(self, query: str, filters: Filters = Filters(), k: int | None = None) -> tuple[DataFrame, DataFrame]:

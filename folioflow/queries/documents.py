@@ -83,12 +83,22 @@ def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("token", tx.token_id(F.col("token")).alias("token_id"))
 
 
+#: Headings and the depths that they must have.
+HEADINGS = {"2.1: Foo": 2, "A1.2 Proof": 2, "A.1 More": 2, "4.5.1 Deep": 3, "3D models": 1, "3": 1, "Abstract": 1, " 2.2) Set off": 2, "a2.1.7 Low": 3, "A Name": 1}
+
+
 def heading_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _headed(spark, sf_dir).select("text").distinct().select("text", tx.heading_depth(F.col("text")).cast("long").alias("depth"))
+    hard = table(spark, sf_dir, "region").limit(1).select(F.explode(F.array(*[F.lit(h) for h in HEADINGS])).alias("text"))
+    return _headed(spark, sf_dir).select("text").unionByName(hard).distinct().select("text", tx.heading_depth(F.col("text")).cast("long").alias("depth"))
+
+
+#: Ends of papers: of which the first three are cut.
+TAILS = ("\n## References\n[1] x", "\n### Supplementary material", "\n# APPENDIX a", "\n#### Appendix b", "\n# Acknowledgements", "\n## Appendixes")
 
 
 def summary_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = F.concat(F.lit("# T\n"), F.col("text"), F.lit("\n## References\n[1] x"))
+    tail = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.col("doc_id") % len(TAILS) + 1).cast("int"))
+    md = F.concat(F.lit("# T\n"), F.col("text"), tail)
     trimmed = tx.before_low_value_sections(md)
     return _docs(spark, sf_dir).select("doc_id", tx.first_heading(md).alias("title"), F.md5(tx.first_words(trimmed, 200)).alias("prompt_md5"))
 
@@ -119,31 +129,58 @@ def atom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = tables.published(F.col("doc_id"))
     xml = F.concat(
         F.lit("<entry><id>http://arxiv.org/abs/2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v"), (F.col("doc_id") % 12 + 1).cast("string"), F.lit("</id><title> "), esc(F.substring_index("text", "\n", 1)),
-        F.lit(" </title><summary>"), esc(F.substring("text", 1, 300)), F.lit("</summary><author><name>A "), F.col("source"), F.lit("</name></author><author><name>B</name></author><category term=\""), F.col("lang"), F.lit("\"/><published>"),
+        F.lit(" </title><summary>"), esc(F.col("text")), F.lit("</summary><author><name>A "), F.col("source"), F.lit("</name></author><author><name>B</name></author><category term=\""), F.col("lang"), F.lit("\"/><published>"),
         day.cast("string"), F.lit("T10:00:00Z</published><updated>"), day.cast("string"), F.lit("T12:00:00Z</updated></entry>"),
     )
     e = parsing.atom_entries(d.select(xml.alias("xml")))
     return e.select("paper_id", "version", "title", F.md5("abstract").alias("abstract_md5"), F.array_join("authors", "|").alias("authors"), F.array_join("categories", "|").alias("categories"), "published", "updated")
 
 
+#: References as they are written: those with and without a prefix, glued to words, closed by a dot or a bracket.
+RAW = ("See arXiv:2401.{n}v2 for more", "doi 10.1000/x{n} end", "J. Econ 2011.12345", "10.1257/aer.2011.1234.", "ARXIV: 2402.{n}", "marxiv:2401.{n}", "<10.5555/a.b.{n}>", "x10.1000/{n}", "arXiv:2401.{n}9", "plain")
+
+
 def id_regex_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
     n = F.lpad(F.col("doc_id").cast("string"), 5, "0")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("See arXiv:2401."), n, F.lit("v2 for more"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("doi 10.1000/x"), n, F.lit(" end"))).otherwise(F.substring("text", 1, 60))
+    raw = F.concat(F.element_at(F.array(*[F.lit(r) for r in RAW]), (F.col("doc_id") % len(RAW) + 1).cast("int")), F.lit(" "), F.col("text"))
+    raw = F.replace(raw, F.lit("{n}"), n)
     refs = d.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(0).alias("pos"), raw.alias("raw"))
     structured = d.filter("source = 'src0'").select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(0).alias("pos"), F.lit("t").alias("title"), F.lit("10.5/s").alias("doi"), F.lit(None).cast("string").alias("arxiv_id"))
     return parsing.references(refs, structured).select("paper_id", "title", "arxiv_id", "doi")
 
 
-def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as layout items: some without area, some furniture, some blank, some headings."""
+def _layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines as layout items and their pages: some without area, some furniture, some blank, headings, tables, figures, references."""
     b = tables.blocks(spark, sf_dir)
     n = F.col("idx")
-    kind = F.when(n % 7 == 3, "header").when(n % 5 == 4, "algorithm").otherwise("text")
+    some = lambda c: F.array(F.lit(c), F.lit("b"))
+    kind = F.when(n % 7 == 3, "header").when(n % 13 == 6, "footnote").when(n % 5 == 4, "algorithm").when(n % 17 == 8, "table").when(n % 17 == 9, "image").when(n % 17 == 10, "chart").when(n % 19 == 11, "list").otherwise("text")
     box = F.array(F.lit(100.0), F.lit(100.0), F.when(n % 11 == 5, 100.0).otherwise(500.0), F.lit(200.0))
-    items = b.select("paper_id", n.alias("pos"), kind.alias("type"), F.when(n % 4 == 0, F.concat(F.expr("idx div 8 + 1").cast("string"), F.lit(" H"))).when(n % 6 == 1, " ").otherwise(F.col("text")).alias("text"), F.when(n % 4 == 0, 2).alias("text_level"), F.lit(None).cast("array<string>").alias("list_items"), F.lit(0).alias("page_idx"), box.alias("bbox"))
-    pages = b.select("paper_id", F.lit(0).alias("page_idx"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct()
-    return parsing.blocks(items, pages).select("block_id", "paper_id", F.col("idx").cast("long").alias("idx"), "type", F.md5("text").alias("text_md5"), F.round("bbox.x1", 6).alias("x1"), "section_path")
+    items = b.select(
+        "paper_id", n.alias("pos"), kind.alias("type"), F.when(n % 2 == 0, "ref_text").alias("sub_type"),
+        F.when(kind == "list", F.lit(None)).when(n % 4 == 0, F.concat(F.expr("idx div 8 + 1").cast("string"), F.lit(" H"))).when(n % 6 == 1, " ").otherwise(F.col("text")).alias("text"), F.when(n % 4 == 0, 2).alias("text_level"),
+        F.array(F.col("text"), F.lit(" "), F.lit("b")).alias("list_items"), F.when(n % 3 == 0, F.concat(F.lit("<table><tr><th>h</th><th>i</th></tr><tr><td>"), n.cast("string"), F.lit("</td></tr></table>"))).when(n % 3 == 1, "").alias("table_body"),
+        F.when(n % 9 != 2, some("cap")).alias("table_caption"), F.when(n % 4 != 3, F.concat(F.lit("i"), n.cast("string"))).alias("img_path"), some("an image").alias("image_caption"), some("a chart").alias("chart_caption"),
+        F.lit(0).alias("page_idx"), box.alias("bbox"),
+    )
+    return items, b.select("paper_id", F.lit(0).alias("page_idx"), F.lit(612.0).alias("width"), F.lit(792.0).alias("height")).distinct()
+
+
+def parsed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.blocks(*_layout(spark, sf_dir)).select("block_id", "paper_id", F.col("idx").cast("long").alias("idx"), "type", F.md5("text").alias("text_md5"), F.round("bbox.x1", 6).alias("x1"), "section_path")
+
+
+def parsed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.tables(*_layout(spark, sf_dir)).select("paper_id", F.col("pos").cast("long").alias("pos"), "markdown", "caption", F.round("bbox.y1", 6).alias("y1"))
+
+
+def parsed_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.figures(*_layout(spark, sf_dir)).select("paper_id", F.col("pos").cast("long").alias("pos"), "image_path", "caption", F.round("bbox.x0", 6).alias("x0"))
+
+
+def raw_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.raw_references(*_layout(spark, sf_dir)).select("paper_id", F.col("pos").cast("long").alias("pos"), F.md5("raw").alias("raw_md5"))
 
 
 def assembled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +206,7 @@ def fake_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", models.embedder(models.fake_vectors, models.DIM)("text").alias("vector"))
 
 
-QUERIES = {f.__name__: f for f in (runlength_groups, greedy_chunks, chunk_overlap_carry, chunk_texts, section_path_stack, snippet, word_counts, tf_bag, doc_freq_idf, token_ids, heading_depths, summary_prep, fake_summaries, latest_version, version_sort_v10, atom_entries, id_regex_extract, parsed_blocks, assembled_documents, page_lists, normalized_items, fake_embed)}
+QUERIES = {f.__name__: f for f in (runlength_groups, greedy_chunks, chunk_overlap_carry, chunk_texts, section_path_stack, snippet, word_counts, tf_bag, doc_freq_idf, token_ids, heading_depths, summary_prep, fake_summaries, latest_version, version_sort_v10, atom_entries, id_regex_extract, parsed_blocks, parsed_tables, parsed_figures, raw_references, assembled_documents, page_lists, normalized_items, fake_embed)}
 
 _W = f"len({words('text')})"
 _RUNS = """marked AS (SELECT *, CASE WHEN idx > min(idx) OVER (PARTITION BY paper_id) AND section_path IS DISTINCT FROM lag(section_path) OVER (PARTITION BY paper_id ORDER BY idx) THEN 1 ELSE 0 END AS new FROM {0}),
@@ -195,6 +232,12 @@ def _snip(t: str) -> str:
 
 
 _HEADED = """headed AS (SELECT cast(doc_id AS VARCHAR) AS paper_id, idx, idx % 3 = 0 AS heading, CASE (idx // 3) % 3 WHEN 0 THEN (idx // 9 + 1) || ' A' WHEN 1 THEN (idx // 9 + 1) || '.1 B' ELSE (idx // 9 + 1) || '.1.1 C' END AS text, (idx // 3) % 3 + 1 AS depth FROM lines)"""
+_LAYOUT = with_(LINES, """items AS (SELECT cast(doc_id AS VARCHAR) AS paper_id, idx, text AS line,
+  CASE WHEN idx % 7 = 3 THEN 'header' WHEN idx % 13 = 6 THEN 'footnote' WHEN idx % 5 = 4 THEN 'algorithm' WHEN idx % 17 = 8 THEN 'table' WHEN idx % 17 = 9 THEN 'image' WHEN idx % 17 = 10 THEN 'chart' WHEN idx % 19 = 11 THEN 'list' ELSE 'text' END AS type,
+  CASE WHEN idx % 4 = 0 THEN (idx // 8 + 1) || ' H' WHEN idx % 6 = 1 THEN ' ' ELSE text END AS text, idx % 4 = 0 AS level2,
+  CASE WHEN idx % 3 = 0 THEN '| h | i |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || idx || ' |  |' ELSE '' END AS md, CASE WHEN idx % 9 <> 2 THEN 'cap' || chr(10) || 'b' ELSE '' END AS caption FROM lines),
+used AS (SELECT * FROM items WHERE type NOT IN ('header', 'footnote') AND idx % 11 <> 5),
+pathed AS (SELECT *, last_value(CASE WHEN level2 AND type = 'text' THEN text END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY idx) AS path FROM used)""")
 
 SQL = {
     "runlength_groups": with_("turns AS (SELECT cast(conv_id AS VARCHAR) AS paper_id, turn AS idx, CASE WHEN role = 'system' THEN 'sys' ELSE 'dlg' END AS section_path FROM conversations)", _RUNS.format("turns")) + "SELECT paper_id, cast(grp AS BIGINT) AS grp, max(section_path) AS section_path, min(idx) AS first_idx, count(*) AS n FROM runs GROUP BY paper_id, grp",
@@ -213,21 +256,24 @@ FROM parts JOIN carried USING (paper_id, grp, part) JOIN (SELECT cast(doc_id AS
     "tf_bag": f"SELECT id, token, count(*) AS tf FROM (SELECT doc_id AS id, unnest({tokens('text')}) AS token FROM documents) GROUP BY ALL",
     "doc_freq_idf": f"SELECT token, count(*) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE) + 1), 9) AS idf FROM (SELECT doc_id, unnest(list_distinct({tokens('text')})) AS token FROM documents) GROUP BY 1",
     "token_ids": f"SELECT token, list_reduce(list_transform(string_split(sha1(token), ''), lambda c: cast(strpos('0123456789abcdef', c) - 1 AS BIGINT)), lambda a, d: (a * 16 + d) % 2147483647) AS token_id FROM (SELECT DISTINCT unnest({tokens('text')}) AS token FROM benchmark)",
-    "heading_depths": with_(LINES, _HEADED) + "SELECT DISTINCT text, cast(depth AS BIGINT) AS depth FROM headed",
-    "summary_prep": f"""SELECT doc_id, 'T' AS title, md5(CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') ELSE t END) AS prompt_md5 FROM (SELECT doc_id, t, {words('t')} AS w FROM (SELECT doc_id, '# T' || chr(10) || text || chr(10) AS t FROM documents))""",
+    "heading_depths": with_(LINES, _HEADED) + "SELECT DISTINCT text, cast(depth AS BIGINT) AS depth FROM headed UNION ALL (VALUES " + ", ".join(f"('{h}', cast({d} AS BIGINT))" for h, d in HEADINGS.items()) + ")",
+    "summary_prep": f"""SELECT doc_id, 'T' AS title, md5(CASE WHEN len(w) > 200 THEN array_to_string(w[1:200], ' ') ELSE t END) AS prompt_md5 FROM (SELECT doc_id, t, {words('t')} AS w FROM (SELECT doc_id, '# T' || chr(10) || text || CASE doc_id % 6 WHEN 3 THEN chr(10) || '#### Appendix b' WHEN 4 THEN chr(10) || '# Acknowledgements' WHEN 5 THEN chr(10) || '## Appendixes' ELSE '' END AS t FROM documents))""",
     "fake_summaries": "SELECT cast(doc_id AS VARCHAR) AS paper_id, md5(CASE WHEN trim(coalesce(text, '')) = '' THEN '[fake summary: ' || doc_id || ']' ELSE substr(trim(text), 1, 500) END) AS summary_md5 FROM documents",
     "latest_version": "SELECT paper_id, version, seen FROM (SELECT cast(user_id AS VARCHAR) AS paper_id, 'v' || json_extract_string(props, '$.k') AS version, event_id AS seen, row_number() OVER (PARTITION BY user_id ORDER BY cast(json_extract_string(props, '$.k') AS INTEGER) DESC, event_id) AS r FROM events) WHERE r = 1",
     "version_sort_v10": "SELECT 'v' || json_extract_string(props, '$.k') AS version, count(*) AS n, cast(json_extract_string(props, '$.k') AS BIGINT) AS number FROM events GROUP BY ALL",
-    "atom_entries": f"""SELECT '2401.' || lpad(cast(doc_id AS VARCHAR), 5, '0') AS paper_id, 'v' || (doc_id % 12 + 1) AS version, {_COLLAPSED.format(words("split_part(text, chr(10), 1)"))} AS title, md5({_COLLAPSED.format(words("substr(text, 1, 300)"))}) AS abstract_md5,
+    "atom_entries": f"""SELECT '2401.' || lpad(cast(doc_id AS VARCHAR), 5, '0') AS paper_id, 'v' || (doc_id % 12 + 1) AS version, {_COLLAPSED.format(words("split_part(text, chr(10), 1)"))} AS title, md5({_COLLAPSED.format(words("text"))}) AS abstract_md5,
 'A ' || source || '|B' AS authors, lang AS categories, cast(DATE '2020-01-01' + cast(doc_id % 1500 AS INTEGER) AS DATE) AS published, cast(DATE '2020-01-01' + cast(doc_id % 1500 AS INTEGER) AS DATE) AS updated FROM documents""",
-    "id_regex_extract": r"""WITH r AS (SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'See arXiv:2401.' || lpad(cast(doc_id AS VARCHAR), 5, '0') || 'v2 for more' WHEN 1 THEN 'doi 10.1000/x' || lpad(cast(doc_id AS VARCHAR), 5, '0') || ' end' ELSE substr(text, 1, 60) END AS raw FROM documents)
-SELECT cast(doc_id AS VARCHAR) AS paper_id, CASE WHEN source = 'src0' THEN 't' END AS title, nullif(regexp_extract(raw, '(\d{4}\.\d{4,5})(v\d+)?', 1), '') AS arxiv_id, coalesce(CASE WHEN source = 'src0' THEN '10.5/s' END, nullif(regexp_extract(raw, '(10\.\d{4,9}/[^\s"<>]+)', 1), '')) AS doi FROM r""",
-    "parsed_blocks": with_(LINES, """items AS (SELECT cast(doc_id AS VARCHAR) AS paper_id, idx, CASE WHEN idx % 7 = 3 THEN 'header' WHEN idx % 5 = 4 THEN 'algorithm' ELSE 'text' END AS type,
-  CASE WHEN idx % 4 = 0 THEN (idx // 8 + 1) || ' H' WHEN idx % 6 = 1 THEN ' ' ELSE text END AS text, idx % 4 = 0 AS level2 FROM lines),
-used AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) AS n FROM items WHERE type <> 'header' AND idx % 11 <> 5),
-pathed AS (SELECT *, last_value(CASE WHEN level2 AND type = 'text' THEN text END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY idx) AS path FROM used),
-kept AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) - 1 AS i FROM pathed WHERE trim(text) <> '')""")
-    + "SELECT paper_id || ':b' || i AS block_id, paper_id, i AS idx, CASE WHEN type = 'algorithm' THEN 'code' ELSE 'prose' END AS type, md5(text) AS text_md5, 306.0::DOUBLE AS x1, coalesce(path, '') AS section_path FROM kept",
+    # what each kind of reference must give is written out; only the texts after them are searched
+    "id_regex_extract": r"""WITH r AS (SELECT doc_id, source, text, lpad(cast(doc_id AS VARCHAR), 5, '0') AS n FROM documents)
+SELECT cast(doc_id AS VARCHAR) AS paper_id, CASE WHEN source = 'src0' THEN 't' END AS title,
+  coalesce(CASE doc_id % 10 WHEN 0 THEN '2401.' || n WHEN 4 THEN '2402.' || n END, nullif(regexp_extract(text, '(?i)\barxiv:\s*(\d{4}\.\d{4,5})(?:v\d+)?\b', 1), '')) AS arxiv_id,
+  coalesce(CASE WHEN source = 'src0' THEN '10.5/s' END, CASE doc_id % 10 WHEN 1 THEN '10.1000/x' || n WHEN 3 THEN '10.1257/aer.2011.1234' WHEN 6 THEN '10.5555/a.b.' || n END, nullif(regexp_extract(text, '\b(10\.\d{4,9}/[^\s"<>]+)\b', 1), '')) AS doi FROM r""",
+    "parsed_blocks": _LAYOUT
+    + """, kept AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) - 1 AS i FROM (SELECT *, CASE WHEN type = 'table' THEN coalesce(nullif(md, ''), caption) WHEN type = 'list' THEN line || chr(10) || ' ' || chr(10) || 'b' ELSE text END AS body FROM pathed) WHERE type NOT IN ('image', 'chart') AND NOT (type = 'list' AND idx % 2 = 0) AND trim(body) <> '')
+SELECT paper_id || ':b' || i AS block_id, paper_id, i AS idx, CASE type WHEN 'algorithm' THEN 'code' WHEN 'table' THEN 'table' ELSE 'prose' END AS type, md5(body) AS text_md5, 306.0::DOUBLE AS x1, coalesce(path, '') AS section_path FROM kept""",
+    "parsed_tables": _LAYOUT + "SELECT paper_id, cast(idx AS BIGINT) AS pos, md AS markdown, caption, 158.4::DOUBLE AS y1 FROM pathed WHERE type = 'table'",
+    "parsed_figures": _LAYOUT + "SELECT paper_id, cast(idx AS BIGINT) AS pos, 'i' || idx AS image_path, CASE type WHEN 'image' THEN 'an image' ELSE 'a chart' END || chr(10) || 'b' AS caption, 61.2::DOUBLE AS x0 FROM pathed WHERE type IN ('image', 'chart') AND idx % 4 <> 3",
+    "raw_references": _LAYOUT + "SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY idx, k) - 1 AS pos, md5(raw) AS raw_md5 FROM (SELECT paper_id, idx, unnest([line, ' ', 'b']) AS raw, unnest([0, 1, 2]) AS k FROM pathed WHERE type = 'list' AND idx % 2 = 0) WHERE trim(raw) <> ''",
     "assembled_documents": "SELECT cast(doc_id AS VARCHAR) AS paper_id, CASE WHEN source <> 'src2' THEN md5(CASE WHEN source = 'src1' THEN replace(text, chr(10), chr(10) || chr(10)) ELSE text END) END AS markdown_md5, CASE WHEN source <> 'src2' THEN len(string_split(text, chr(10))) END AS n_blocks, CASE WHEN source = 'src2' THEN 'no blocks' END AS error FROM documents",
     "page_lists": "SELECT page_id, '| link |' || chr(10) || '| --- |' || array_to_string(list_transform(regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1), lambda x: chr(10) || '| ' || x || ' |'), '') AS markdown FROM pages",
     "normalized_items": r"SELECT item_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text_md5 FROM benchmark",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import corpus, state as st, telemetry
-from folioflow.queries.views import PAPERS, QUARANTINE, STATE, with_
+from folioflow.queries.views import BLOCKS, PAPERS, QUARANTINE, STATE, with_
 from folioflow.sinks import notes, snapshots
 from folioflow.sources import tables
 from folioflow.sources.tables import table
@@ -37,10 +37,10 @@ def checkpoint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one language replaced by their upper-case titles, with rows for papers not seen before."""
+    """Documents of one language replaced by their upper-case texts, with rows for papers not seen before."""
     d = table(spark, sf_dir, "documents")
-    old = d.filter("lang <> 'es'").select(F.col("doc_id").cast("string").alias("paper_id"), F.substring("text", 1, 30).alias("title"))
-    new = d.filter("lang IN ('es', 'fr')").select(F.col("doc_id").cast("string").alias("paper_id"), F.upper(F.substring("text", 1, 10)).alias("title"))
+    old = d.filter("lang <> 'es'").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("title"))
+    new = d.filter("lang IN ('es', 'fr')").select(F.col("doc_id").cast("string").alias("paper_id"), F.upper("text").alias("title"))
     return st.upserted(old, new)
 
 
@@ -178,7 +178,7 @@ def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def note_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = tables.papers(spark, sf_dir).withColumn("version", F.lit("v1")).withColumn("authors", F.array(F.lit("A. One"), F.concat(F.lit("S "), F.element_at("categories", 2)))).withColumn("pdf_url", F.concat(F.lit("https://arxiv.org/pdf/"), F.col("paper_id"))).withColumn("summary", F.substring("markdown", 1, 100))
+    p = tables.papers(spark, sf_dir).withColumn("version", F.lit("v1")).withColumn("authors", F.array(F.lit("A. One"), F.concat(F.lit("S "), F.element_at("categories", 2)))).withColumn("pdf_url", F.concat(F.lit("https://arxiv.org/pdf/"), F.col("paper_id"))).withColumn("summary", F.when(F.col("paper_id").cast("int") % 5 != 0, F.col("markdown")))
     sections = tables.blocks(spark, sf_dir).groupBy("paper_id").agg(F.array_sort(F.collect_set("section_path")).alias("sections"))
     return notes.rendered(p.join(sections, "paper_id", "left")).select("paper_id", "file", F.md5("note").alias("note_md5"))
 
@@ -193,11 +193,21 @@ _SAMPLES = f"samples AS (SELECT event_type AS stage, CASE WHEN {_K} % 10 = 0 THE
 _LOG = """log AS (SELECT strftime(ts, '%Y-%m-%d') AS run_id, event_id AS line_no, CASE WHEN event_type = 'view' THEN 'STAGE_START' WHEN event_type = 'click' THEN 'STAGE_END' WHEN event_type = 'signup' THEN 'RUN_START' WHEN event_type = 'purchase' AND user_id % 50 = 0 THEN 'RUN_END' ELSE 'OTHER' END AS event,
   's' || (user_id % 3) AS stage, floor(epoch(ts)) AS ts, value AS wall_clock_s FROM events)"""
 
+_QUOTE = "chr(39)"
+_QUOTED = f"{_QUOTE} || replace({{0}}, {_QUOTE}, {_QUOTE} || {_QUOTE}) || {_QUOTE}"
+_ITEMS = f"array_to_string(list_transform({{0}}, lambda x: chr(10) || '- ' || {_QUOTED.format('x')}), '')"
+
 SQL = {
+    "note_export": with_(BLOCKS, "parts AS (SELECT paper_id, list_sort(list(DISTINCT section_path)) AS sections FROM blocks GROUP BY 1)", "p AS (SELECT cast(doc_id AS VARCHAR) AS paper_id, doc_id, split_part(text, chr(10), 1) AS title, lang, source, text, cast(cast(DATE '2020-01-01' + cast(doc_id % 1500 AS INTEGER) AS DATE) AS VARCHAR) AS day FROM documents)")
+    + f"""SELECT paper_id, paper_id || '.md' AS file, md5('---' || chr(10) || 'title: ' || {_QUOTED.format('title')} || chr(10) || 'arxiv_id: ' || paper_id || 'v1' || chr(10) || 'authors:' || {_ITEMS.format("['A. One', 'S ' || source]")} || chr(10) || 'categories:' || {_ITEMS.format("[lang, source]")}
+|| chr(10) || 'published: ' || {_QUOTED.format('day')} || chr(10) || 'tags:' || {_ITEMS.format("['paper', lang, source]")} || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '**Authors:** [[A. One]], [[S ' || source || ']]' || chr(10) || '**Published:** ' || day
+|| chr(10) || '**Source:** [PDF](https://arxiv.org/pdf/' || paper_id || ') · [arXiv](https://arxiv.org/abs/' || paper_id || ')' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || CASE WHEN doc_id % 5 <> 0 AND text <> '' THEN text ELSE '_(no summary stored)_' END || chr(10)
+|| chr(10) || '## Sections' || chr(10) || chr(10) || array_to_string(list_transform(sections, lambda s: '- ' || s), chr(10)) || chr(10) || chr(10) || '## Claims' || chr(10) || chr(10) || '_Not yet generated -- deferred to the claim-layer V1 ticket._' || chr(10)) AS note_md5
+FROM p JOIN parts USING (paper_id)""",
     "checkpoint_merge": with_(STATE)
     + """SELECT o.paper_id, coalesce(CASE WHEN o.stage = 'harvested' THEN NULL WHEN o.stage = 'stored' THEN 'done' ELSE o.stage END, o.stage) AS stage,
 CASE WHEN o.stage NOT IN ('stored', 'done') THEN 'p' || o.paper_id END AS parsed, CASE WHEN o.stage NOT IN ('stored', 'done', 'harvested') THEN 's' || o.paper_id END AS summary FROM state o""",
-    "upsert_replace": "SELECT cast(doc_id AS VARCHAR) AS paper_id, CASE WHEN lang IN ('es', 'fr') THEN upper(substr(text, 1, 10)) ELSE substr(text, 1, 30) END AS title FROM documents",
+    "upsert_replace": "SELECT cast(doc_id AS VARCHAR) AS paper_id, CASE WHEN lang IN ('es', 'fr') THEN upper(text) ELSE text END AS title FROM documents",
     "cascade_delete_ids": "WITH gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT doc_id || ':b' || (generate_subscripts(string_split(text, chr(10)), 1) - 1) AS id FROM documents SEMI JOIN gone USING (doc_id) UNION ALL SELECT doc_id || ':summary' FROM documents SEMI JOIN gone USING (doc_id)",
     "quarantine_first_wins": with_(QUARANTINE) + "SELECT paper_id, event_id AS ts, error FROM quarantine",
     "resume_worklist": with_(STATE) + "SELECT cast(doc_id AS VARCHAR) AS paper_id, stage FROM documents LEFT JOIN state ON paper_id = cast(doc_id AS VARCHAR) WHERE stage IS NULL OR stage NOT IN ('stored', 'done')",

@@ -76,7 +76,7 @@ def orphan_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tables.collection(spark, sf_dir).filter("kind = 'summary'")
     hits = _pool(spark, sf_dir, "summary", 10).withColumn("id", F.concat(F.col("id").cast("string"), F.lit(":summary")))
-    summaries = c.select("paper_id", F.substring("text", 1, 80).alias("text"))
+    summaries = c.select("paper_id", "text")
     sections = retrieval.sections_of(tables.blocks(spark, sf_dir))
     r = retrieval.paper_results(hits, summaries, tables.papers(spark, sf_dir).select("paper_id", "title", "published"), sections, 5)
     return r.select("query_id", "paper_id", "title", "published", "summary", F.array_join("sections", "|").alias("sections"), F.col("place").cast("long").alias("place"), "url")
@@ -181,7 +181,7 @@ SQL = {
     "orphan_hits": _POOL + "SELECT query_id, id FROM pool ANTI JOIN stored ON id = chunk_id",
     "coverage_counts": _POOL + "SELECT query_id, least(count(chunk_id), 10) AS returned, count(*) AS candidates FROM pool LEFT JOIN stored ON id = chunk_id GROUP BY 1",
     "retrieve_papers": with_(COLLECTION, QUESTIONS, _channels("kind = 'summary'"), _fused(0.5), BLOCKS, _SECTIONS)
-    + "SELECT query_id, cast(id AS VARCHAR) AS paper_id, split_part(text, chr(10), 1) AS title, published, substr(text, 1, 80) AS summary, array_to_string(sections, '|') AS sections, rank AS place, 'https://arxiv.org/abs/' || id AS url FROM hybrid JOIN collection USING (id) JOIN sections s ON s.paper_id = cast(id AS VARCHAR) WHERE rank <= 5",
+    + "SELECT query_id, cast(id AS VARCHAR) AS paper_id, split_part(text, chr(10), 1) AS title, published, text AS summary, array_to_string(sections, '|') AS sections, rank AS place, 'https://arxiv.org/abs/' || id AS url FROM hybrid JOIN collection USING (id) JOIN sections s ON s.paper_id = cast(id AS VARCHAR) WHERE rank <= 5",
     "get_paper_view": with_(PAPERS, BLOCKS, _SECTIONS) + "SELECT paper_id, title, published, array_to_string(categories, '|') AS categories, array_to_string(sections, '|') AS sections, 'https://arxiv.org/abs/' || paper_id AS url FROM papers LEFT JOIN sections USING (paper_id)",
     "get_span": with_(BLOCKS) + "SELECT block_id, text FROM blocks WHERE block_id = '3:b1'",
     "relevance_score": with_(COLLECTION) + f"SELECT id, {_COSINE} AS relevance_score FROM collection, (SELECT embedding AS vector FROM embeddings WHERE vec_id = 0) WHERE kind = 'summary'",

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from folioflow.functions.text import slug, tag
 
 TAG = "paper"
+#: The last section of a note, and the index's title.
+CLAIMS = "\n## Claims\n\n_Not yet generated -- deferred to the claim-layer V1 ticket._\n"
+INDEX = "# Papers Index"
 
 
 def _quoted(c: Column) -> Column:
@@ -31,14 +34,18 @@ def rendered(papers: DataFrame) -> DataFrame:
         F.lit("\n# "), F.col("title"), F.lit("\n\n**Authors:** "), authors, F.lit("\n**Published:** "), day, F.lit("\n**Source:** [PDF]("), F.col("pdf_url"), F.lit(") · [arXiv](https://arxiv.org/abs/"), F.col("paper_id"), F.lit(")\n\n## Summary\n\n"),
         F.coalesce(F.nullif("summary", F.lit("")), F.lit("_(no summary stored)_")), F.lit("\n"),
         F.when(F.size(sections) > 0, F.concat(F.lit("\n## Sections\n\n"), F.array_join(F.transform(sections, lambda s: F.concat(F.lit("- "), s)), "\n"), F.lit("\n"))).otherwise(""),
+        F.lit(CLAIMS),
     )
     return papers.select("paper_id", F.concat(slug(F.col("paper_id")), F.lit(".md")).alias("file"), F.concat(front, body).alias("note"))
 
 
 def index(papers: DataFrame) -> DataFrame:
-    """value: the index's lines, newest papers first; write it as text from one ordered partition."""
+    """value: the index's lines, its title and the number of papers, then the newest papers first."""
     line = F.concat(F.lit("- [["), slug(F.col("paper_id")), F.lit("|"), F.col("title"), F.lit("]] ("), F.col("published").cast("string"), F.lit(")"))
-    return papers.orderBy(F.desc("published"), F.desc("paper_id")).select(line.alias("value"))
+    head = papers.agg(F.count("*").alias("n")).select(F.posexplode(F.array(F.lit(INDEX), F.lit(""), F.concat(F.col("n").cast("string"), F.lit(" papers.")), F.lit(""))).alias("at", "value"))
+    lines = head.select("at", F.lit(None).cast("date").alias("published"), F.lit(None).cast("string").alias("paper_id"), "value")
+    lines = lines.unionByName(papers.select(F.lit(9).alias("at"), F.col("published").cast("date").alias("published"), "paper_id", line.alias("value")))
+    return lines.orderBy("at", F.desc("published"), F.desc("paper_id")).select("value")
 
 
 def export(papers: DataFrame, path: str) -> None:

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Name of a writing's folder, before its number.
+ROWS = "rows-"
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """table_name, n."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
@@ -22,18 +26,41 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, whether all of it was written) of a replaced table, in order."""
+    fs, top = _fs(spark, path)
+    if not fs.exists(top):
+        return []
+    found = [(s.getPath().getName(), s.getPath().toString()) for s in fs.listStatus(top) if s.isDirectory() and s.getPath().getName().startswith(ROWS)]
+    return sorted((int(name.removeprefix(ROWS)), at, fs.exists(_fs(spark, f"{at}/_SUCCESS")[1])) for name, at in found)
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of a replaced table's rows: the newest that was written to its end."""
+    whole = [at for _, at, done in _versions(spark, path) if done]
+    return whole[-1] if whole else None
+
+
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    at = current(spark, path)
+    return None if at is None else spark.read.parquet(at)
+
+
 def replace(df: DataFrame, path: str) -> None:
-    """Write to a path beside, then swap: a reader finds the old rows or the new, and `df` may read from `path`."""
+    """Write all rows of a table anew: `read` gives the old rows or the new, wherever this is stopped. `df` may read from `path`.
+
+    Each writing has a folder of its own with a rising number, which counts from when its mark of success is there.
+    The one before stays for whoever is reading it; older ones, and unfinished ones, go.
+    """
     spark = df.sparkSession
-    fs, target = _fs(spark, path)
-    _, staged = _fs(spark, f"{path}.partial")
-    df.write.mode("overwrite").parquet(str(staged))
-    _, old = _fs(spark, f"{path}.old")
-    fs.delete(old, True)
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staged, target)
-    fs.delete(old, True)
+    before = _versions(spark, path)
+    number = before[-1][0] + 1 if before else 0
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{path}/{ROWS}{number:012d}")
+    whole = [n for n, _, done in before if done]
+    for n, at, _ in before:
+        if n not in whole[-1:]:
+            fs, old = _fs(spark, at)
+            fs.delete(old, True)
 
 
 def snapshot(tables: dict[str, DataFrame], root: str, keep: int, name: str | None = None) -> str:

@@ -12,12 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from folioflow.functions.text import version_number
 from folioflow.operators.parsing import latest_versions
 from folioflow.operators.state import merged_checkpoints
-from folioflow.sinks.snapshots import replace
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+from folioflow.sinks.snapshots import read, replace
 
 
 def latest_refs(feed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -28,10 +23,8 @@ def latest_refs(feed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if _exists(spark, path):
-            rows = spark.read.parquet(path).unionByName(batch)
-        replace(latest_versions(rows), path)
+        old = read(spark, path)
+        replace(latest_versions(batch if old is None else old.unionByName(batch)), path)
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -42,7 +35,8 @@ def checkpoints(updates: DataFrame, path: str, checkpoint: str, artifacts: list[
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         new = batch.groupBy("paper_id").agg(F.max_by("stage", "at").alias("stage"), *[F.max_by(a, F.when(F.col(a).isNotNull(), F.col("at"))).alias(a) for a in artifacts])
-        old = spark.read.parquet(path) if _exists(spark, path) else new.limit(0)
+        old = read(spark, path)
+        old = new.limit(0) if old is None else old
         replace(merged_checkpoints(old, new, artifacts), path)
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
