@@ -1,23 +1,43 @@
-"""Command line: python -m folioflow {query,search,papers,paper,span,export,snapshot,integrity,funnel} ..."""
+"""Command line: python -m folioflow {query,ingest,search,papers,paper,span,delete,export,snapshot,integrity,funnel,failures} ..."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
+import json
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.config import load
 from folioflow.functions.dates import compact_date
 from folioflow.operators.search import Filters
 from folioflow.session import session
 
+TABLES = ("papers", "blocks", "chunks", "summaries", "vectors", "state", "quarantine")
 
-def main(argv: list[str] | None = None) -> None:
+
+def _callable(name: str) -> Callable:
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="folioflow")
     p.add_argument("--store", default="store")
+    p.add_argument("--settings", help="a YAML file")
+    p.add_argument("--embed", type=_callable, help="package.module:name of a model's callable")
+    p.add_argument("--rerank", type=_callable)
     sub = p.add_subparsers(dest="command", required=True)
     q = sub.add_parser("query", help="a registered query over the test tables")
     q.add_argument("name")
     q.add_argument("tables")
+    i = sub.add_parser("ingest", help="Parquet of papers and of their blocks")
+    i.add_argument("papers")
+    i.add_argument("blocks")
+    i.add_argument("--topic", nargs="*")
+    i.add_argument("--summarize", type=_callable)
     for name in ("search", "papers"):
         s = sub.add_parser(name)
         s.add_argument("text")
@@ -25,39 +45,58 @@ def main(argv: list[str] | None = None) -> None:
         s.add_argument("--categories", type=lambda x: tuple(filter(None, x.split(","))) or None)
         s.add_argument("--after", type=compact_date)
         s.add_argument("--before", type=compact_date)
+        s.add_argument("--json", action="store_true", help="one JSON object a line")
     for name in ("paper", "span"):
         sub.add_parser(name).add_argument("id")
+    sub.add_parser("delete").add_argument("ids", nargs="+")
     e = sub.add_parser("export", help="notes and index")
     e.add_argument("path")
     e.add_argument("--limit", type=int)
     n = sub.add_parser("snapshot")
     n.add_argument("path")
     n.add_argument("--keep", type=int, default=5)
-    sub.add_parser("integrity")
-    sub.add_parser("funnel")
-    a = p.parse_args(argv)
+    for name in ("integrity", "funnel", "failures"):
+        sub.add_parser(name)
+    return p
 
+
+def as_json(rows: DataFrame) -> list[str]:
+    return [json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in rows.collect()]
+
+
+def main(argv: list[str] | None = None) -> None:
+    p = _parser()
+    a = p.parse_args(argv)
     spark = session()
-    from folioflow.plans.ingest import Store
+    from folioflow.plans.ingest import Store, ingest
     from folioflow.plans.tools import Tools
 
     store = Store(spark, a.store)
-    tools = Tools(store)
+    settings = load(a.settings) if a.settings else None
+    tools = Tools(store, a.embed, a.rerank, *((settings.hybrid_dense_weight, settings.rerank_depth) if settings else ()))
     if a.command == "query":
         from folioflow.queries import QUERIES
 
         QUERIES[a.name](spark, a.tables).show(50, truncate=80)
+    elif a.command == "ingest":
+        topic = a.topic or (list(settings.focus_area_queries) if settings else None)
+        ingest(store, spark.read.parquet(a.papers), spark.read.parquet(a.blocks), a.embed, topic, summarize=a.summarize)
     elif a.command in ("search", "papers"):
         if a.after and a.before and a.after > a.before:
             p.error("--after lies behind --before")
         run = tools.semantic_search if a.command == "search" else tools.search_papers
-        rows, cover = run(a.text, Filters(a.categories, a.after, a.before), a.k)
-        rows.show(100, truncate=80)
-        cover.show()
+        rows, cover = run(a.text, Filters(a.categories, a.after, a.before), a.k or (settings.top_k if settings else None))
+        if a.json:
+            print("\n".join(as_json(rows) + as_json(cover)))
+        else:
+            rows.show(100, truncate=80)
+            cover.show()
     elif a.command == "paper":
         tools.get_paper(a.id).show(vertical=True, truncate=200)
     elif a.command == "span":
         tools.get_span(a.id).show(truncate=False)
+    elif a.command == "delete":
+        store.delete(spark.createDataFrame([(i,) for i in a.ids], "paper_id string")).show(100, truncate=False)
     elif a.command == "export":
         from folioflow.operators.retrieval import sections_of
         from folioflow.sinks.notes import export
@@ -68,11 +107,13 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "snapshot":
         from folioflow.sinks.snapshots import snapshot
 
-        print(snapshot({t: df for t in ("papers", "blocks", "chunks", "summaries", "vectors") if (df := store.table(t)) is not None}, a.path, a.keep))
+        print(snapshot({t: df for t in TABLES if (df := store.table(t)) is not None}, a.path, a.keep))
     elif a.command == "integrity":
         from folioflow.operators.state import incomplete
 
         incomplete(store.table("state"), store.table("papers"), store.table("chunks"), store.table("blocks")).show(100)
+    elif a.command == "failures":
+        store.table("quarantine").orderBy("ts", "paper_id").show(1000, truncate=False)
     else:
         from folioflow.operators.state import funnel
 

@@ -1,18 +1,22 @@
-"""A data source of paper feeds: one partition for each search term.
+"""A data source of paper feeds.
 
     spark.dataSource.register(AtomDataSource)
-    spark.read.format("folioflow_atom").option("terms", json).option("folder", path).load()
+    spark.read.format("folioflow_atom").option("terms", json).option("cap", n).option("folder", path).load()
 
-Pages are files of the folder, `{term slug}-{page}.xml`, or come from `fetch`, a callable of this module's
-path given as "package.module:name". A term ends at its first empty page. Rows keep the place at which
-they were read, so that the budget over all terms is a rank and a filter.
+Terms are read one after the other, a page at a time, by one task, since a feed wants pauses between requests and
+the budget is one for all terms: no page is asked for beyond it. Pages come from `fetch`, "package.module:name" of a
+callable that is given a request's parameters, or are files of the folder, `{term slug}-{page}.xml`. A term ends at
+its first empty page. A request that fails is tried again with waits that double; when it fails for good, what was
+read stays and the rest is left. Known ids are asked for in chunks instead.
 """
 
 from __future__ import annotations
 
 import importlib
 import json
+import logging
 import re
+import time
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from datetime import date
@@ -60,33 +64,78 @@ def entries(xml: str) -> list[tuple]:
     return out
 
 
-class Term(InputPartition):
-    def __init__(self, pos: int, term: str):
-        self.pos, self.term = pos, term
+#: Entries of a page and ids of a request at most; seconds between requests.
+PAGE, IDS, PAUSE_S = 100, 50, 3.0
+
+
+def page_requests(query: str, ordering: str, start: int, most: int) -> dict:
+    by, order = ORDERINGS[ordering]
+    return {"search_query": query, "start": start, "max_results": min(PAGE, most), "sortBy": by, "sortOrder": order}
 
 
 class AtomReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.terms = json.loads(options["terms"])
+        self.terms, self.ids = json.loads(options.get("terms", "[]")), json.loads(options.get("ids", "[]"))
         self.folder, self.fetch = options.get("folder"), options.get("fetch")
+        self.cap, self.ordering = int(options.get("cap", 10_000)), options.get("ordering", "freshest_first")
+        if self.ordering not in ORDERINGS:
+            raise ValueError(f"ordering is one of {sorted(ORDERINGS)}")
+        self.attempts, self.pause = int(options.get("attempts", 4)), float(options.get("pause_s", PAUSE_S))
+        limits = json.loads(options.get("categories", "null")), options.get("after"), options.get("before")
+        self.queries = [search_query(t, *limits) for t in self.terms]
 
     def partitions(self) -> list[InputPartition]:
-        return [Term(i, t) for i, t in enumerate(self.terms)]
-
-    def page(self, term: str, n: int) -> str | None:
-        if self.fetch:
-            module, _, name = self.fetch.partition(":")
-            return getattr(importlib.import_module(module), name)(term, n)
-        p = Path(self.folder) / f"{re.sub('[^A-Za-z0-9]+', '_', term)}-{n}.xml"
-        return p.read_text() if p.exists() else None
-
-    def read(self, partition: Term) -> Iterator[tuple]:
-        pos, n = 0, 0
-        while (xml := self.page(partition.term, n)) and (rows := entries(xml)):
-            for r in rows:
-                yield (*r, partition.pos, pos)
+        return [InputPartition(0)]
+
+    def asked(self, request: dict, term: str = "") -> list[tuple]:
+        """Entries of one request; none when it has failed for good."""
+        if not self.fetch:
+            p = Path(self.folder) / f"{re.sub('[^A-Za-z0-9]+', '_', term)}-{request['page']}.xml"
+            return entries(p.read_text()) if p.exists() else []
+        module, _, name = self.fetch.partition(":")
+        call = getattr(importlib.import_module(module), name)
+        for n in range(self.attempts):
+            try:
+                return entries(call(request) or "<feed/>")
+            except Exception as e:  # noqa: BLE001  what a client may raise isn't known
+                logging.getLogger(__name__).warning("request %s failed: %s", request, e)
+                if n + 1 < self.attempts:
+                    time.sleep(self.pause * 2**n)
+        logging.getLogger(__name__).warning("the feed was cut short at %s", request)
+        raise EOFError
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        try:
+            yield from self.by_id() if self.ids else self.by_term()
+        except EOFError:
+            return
+
+    def by_id(self) -> Iterator[tuple]:
+        pos = 0
+        for at in range(0, len(self.ids), IDS):
+            if at:
+                time.sleep(self.pause)
+            some = self.ids[at : at + IDS]
+            for r in self.asked({"id_list": ",".join(some), "max_results": len(some), "page": at // IDS}, "ids"):
+                yield (*r, 0, pos)
                 pos += 1
-            n += 1
+
+    def by_term(self) -> Iterator[tuple]:
+        left, first = self.cap, True
+        for t, (term, query) in enumerate(zip(self.terms, self.queries, strict=True)):
+            pos, page = 0, 0
+            while left > 0:
+                if not first and self.fetch:
+                    time.sleep(self.pause)
+                first = False
+                rows = self.asked({**page_requests(query, self.ordering, pos, left), "page": page}, term)
+                if not rows:
+                    break
+                for r in rows[:left]:
+                    yield (*r, t, pos)
+                    pos += 1
+                left -= len(rows[:left])
+                page += 1
 
 
 class AtomDataSource(DataSource):
@@ -101,15 +150,27 @@ class AtomDataSource(DataSource):
         return AtomReader(self.options)
 
 
-def harvest(spark: SparkSession, terms: list[str], cap: int, **options: str) -> DataFrame:
-    """Latest versions of the first `cap` rows over all terms in turn; the cap counts rows before versions are merged."""
+def _feed(spark: SparkSession, **options: str) -> DataFrame:
+    spark.dataSource.register(AtomDataSource)
+    return spark.read.format("folioflow_atom").options(**options).load()
+
+
+def harvest(spark: SparkSession, terms: list[str], cap: int, known: DataFrame | None = None, **options: str) -> DataFrame:
+    """Latest versions of the first `cap` rows over all terms in turn, without the papers of `known` (paper_id); the cap counts rows before versions are merged.
+
+    options: folder or fetch; ordering, categories (JSON), after, before, attempts, pause_s.
+    """
     from folioflow.operators.parsing import latest_versions
 
-    spark.dataSource.register(AtomDataSource)
-    rows = spark.read.format("folioflow_atom").options(terms=json.dumps(terms), **options).load()
-    first = rows.orderBy("term_pos", "pos").limit(cap)
+    first = _feed(spark, terms=json.dumps(terms), cap=str(cap), **options)
     seen = F.row_number().over(Window.partitionBy("paper_id").orderBy("term_pos", "pos"))
-    return latest_versions(first.withColumn("seen", seen)).drop("seen", "term_pos", "pos")
+    out = latest_versions(first.withColumn("seen", seen)).drop("seen", "term_pos", "pos")
+    return out if known is None else out.join(known.select("paper_id"), "paper_id", "left_anti")
+
+
+def fetched_by_ids(spark: SparkSession, ids: list[str], **options: str) -> DataFrame:
+    """The references of known papers, asked for IDS at a time; unknown ids have no row."""
+    return _feed(spark, ids=json.dumps(ids), **options).drop("term_pos", "pos")
 
 
 def by_ids(refs: DataFrame, ids: list[str]) -> DataFrame:

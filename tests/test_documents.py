@@ -87,6 +87,35 @@ def test_layout_items_to_blocks(spark):
     assert [round(x, 1) for x in got[0].bbox] == [81.4, 122.0, 527.5, 177.4]
 
 
+def test_layout_tables_figures_and_references(spark):
+    schema = "paper_id string, pos int, type string, sub_type string, text string, text_level int, list_items array<string>, table_body string, table_caption array<string>, img_path string, image_caption array<string>, chart_caption array<string>, page_idx int, bbox array<double>"
+    box, none = [0.0, 0.0, 500.0, 500.0], None
+    rows = [
+        ("p", 0, "text", none, "2.1: Foo", 2, none, none, none, none, none, none, 0, box), ("p", 1, "footnote", none, "a note", none, none, none, none, none, none, none, 0, box),
+        ("p", 2, "image", none, none, none, none, none, none, "a.png", ["one", "two"], none, 0, box), ("p", 3, "chart", none, none, none, none, none, none, none, none, ["lost"], 0, box),
+        ("p", 4, "table", none, none, none, none, "<table><tr><td>x</td></tr></table>", ["T1"], none, none, none, 0, box), ("p", 5, "table", none, none, none, none, "", ["T2"], none, none, none, 0, box), ("p", 6, "table", none, none, none, none, none, none, none, none, none, 0, box),
+        ("p", 7, "list", "ref_text", none, none, ["[1] a", " ", "[2] b"], none, none, none, none, none, 0, box), ("p", 8, "list", "text", none, none, ["x", "y"], none, none, none, none, none, 0, box), ("p", 9, "newkind", none, "odd", none, none, none, none, none, none, none, 0, box),
+        ("p", 10, "list", "ref_text", none, none, ["[3] c"], none, none, none, none, none, 0, box),
+    ]
+    items = spark.createDataFrame(rows, schema)
+    pages = spark.createDataFrame([("p", 0, 100.0, 100.0)], "paper_id string, page_idx int, width double, height double")
+    got = parsing.blocks(items, pages).orderBy("idx").collect()
+    assert [(b.type, b.text, b.section_path) for b in got] == [("prose", "2.1: Foo", "2.1: Foo"), ("table", "| x |\n| --- |", "2.1: Foo"), ("table", "T2", "2.1: Foo"), ("prose", "x\ny", "2.1: Foo"), ("prose", "odd", "2.1: Foo")]
+    assert [(f.image_path, f.caption) for f in parsing.figures(items, pages).collect()] == [("a.png", "one\ntwo")]
+    assert [(t.pos, t.caption) for t in parsing.tables(items, pages).orderBy("pos").collect()] == [(4, "T1"), (5, "T2"), (6, "")]
+    assert [(r.pos, r.raw) for r in parsing.raw_references(items, pages).orderBy("pos").collect()] == [(0, "[1] a"), (1, "[2] b"), (2, "[3] c")]
+
+
+def test_identifiers_in_references(spark):
+    raw = {"J. Econ 2011.12345": (None, None), "arXiv: 2011.12345v3.": ("2011.12345", None), "doi:10.1257/aer.2011.1234.": (None, "10.1257/aer.2011.1234"), "(10.1234/abc)": (None, "10.1234/abc"), "marxiv:2011.12345": (None, None)}
+    rows = spark.createDataFrame([(k,) for k in raw], "raw string").select("raw", parsing.arxiv_id(F.col("raw")).alias("a"), parsing.doi(F.col("raw")).alias("d")).collect()
+    assert {r.raw: (r.a, r.d) for r in rows} == raw
+    one = lambda t: spark.range(1).select(tx.before_low_value_sections(F.lit(t)).alias("x")).first().x
+    assert one("a\n## References\nb") == "a" and one("a\n### supplementary x") == "a"
+    for kept in ("a\n#### Appendix", "# References\nb", "a\n# Acknowledgements", "a\n## Appendixes"):
+        assert one(kept) == kept
+
+
 def test_bad_documents(spark):
     rows = [(1, b"%PDF-1.4 ..."), (2, b"\x1f\x8b..."), (3, bytes(257) + b"ustar"), (4, b"<html>")]
     got = spark.createDataFrame(rows, "n int, content binary").select("n", parsing.bad_document(F.col("content")).alias("bad")).collect()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folioflow.config import Config
 from folioflow.functions.dates import compact_date
 from folioflow.operators import corpus, evaluation, models, ordering, state, telemetry
+from folioflow.operators.search import Filters
 from folioflow.sinks import notes, snapshots
 from folioflow.sources import atom, files
 from folioflow.streaming import ingest as stream
@@ -106,8 +107,10 @@ def test_config():
     for bad in ({"top_k": 0}, {"hybrid_dense_weight": 1.5}, {"ordering": "x"}, {"arxiv_date_from": "May"}):
         with pytest.raises(ValueError):
             Config(("a",), **bad)
-    with pytest.raises(ValueError):
-        Config.of({"focus_area_queries": ["a"], "nope": 1})
+    for bad in ({"focus_area_queries": ["a"], "nope": 1}, {"top_k": 3}, {"focus_area_queries": ["a"], "top_k": True}):
+        with pytest.raises(ValueError):
+            Config.of(bad)
+    assert Config.of({"focus_area_queries": ["a"], "db_path": "x", "arxiv_categories": ["cs.LG"]}).arxiv_categories == ("cs.LG",)
 
 
 FEED = """<feed xmlns="http://www.w3.org/2005/Atom">{}</feed>"""
@@ -125,6 +128,42 @@ def test_feed_source(spark, tmp_path):
     assert [r.paper_id for r in atom.by_ids(got, ["2401.00003", "gone", "2401.00001"]).collect()] == ["2401.00003", "2401.00001"]
 
 
+FETCHER = """
+import re
+LOG = {log!r}
+def fetch(request):
+    with open(LOG, "a") as f:
+        f.write(repr(sorted(request.items())) + "\\n")
+    with open(LOG) as f:
+        lines = f.read().splitlines()
+    if len(lines) == 2:
+        raise ConnectionError("once")
+    if "id_list" in request:
+        return "<feed xmlns='http://www.w3.org/2005/Atom'>" + "".join({entry!r}.format(i + "v1") for i in request["id_list"].split(",")) + "</feed>"
+    if request["start"] >= 250:
+        return None
+    return "<feed xmlns='http://www.w3.org/2005/Atom'>" + "".join({entry!r}.format("2401.%05dv1" % (request["start"] + i)) for i in range(min(request["max_results"], 250 - request["start"]))) + "</feed>"
+"""
+
+
+def test_feed_stops_at_the_cap_and_tries_again(spark, tmp_path):
+    log = tmp_path / "requests"
+    (tmp_path / "counting_fetcher.py").write_text(FETCHER.format(log=str(log), entry=ENTRY))
+    spark.sparkContext.addPyFile(str(tmp_path / "counting_fetcher.py"))
+    asked = lambda: log.read_text().splitlines()
+    kw = {"fetch": "counting_fetcher:fetch", "pause_s": "0", "ordering": "relevance", "categories": '["cs.LG"]'}
+    got = atom.harvest(spark, ["x", "y"], 130, known=ids(spark, "2401.00003"), **kw).collect()
+    assert len(got) == 129
+    requests = asked()
+    assert len(requests) == 3 and "'start', 100" in requests[1] and requests[1] == requests[2]  # a page, one that fails, the same again; none beyond the cap
+    assert "('max_results', 30)" in requests[2] and "('sortBy', 'relevance')" in requests[0] and 'all:"x" AND (cat:cs.LG)' in requests[0]
+    log.write_text("-\n-\n")
+    assert len(atom.fetched_by_ids(spark, [f"2402.{i:05d}" for i in range(120)], fetch="counting_fetcher:fetch", pause_s="0").collect()) == 120
+    assert [r.count(",") for r in asked()[2:]] == [r.count(",") for r in asked()[2:]] and len(asked()) == 5
+    with pytest.raises(Exception, match="ordering"):
+        atom.harvest(spark, ["x"], 1, folder=str(tmp_path), ordering="random").collect()
+
+
 def test_feed_query():
     assert atom.search_query("a b", ["stat.ME", "cs.LG"], "2024-01-02") == 'all:"a b" AND (cat:stat.ME OR cat:cs.LG) AND submittedDate:[20240102 TO *]'
     for bad in (('a"b',), ("a", ["BAD!"]), ("a", None, "soon")):
@@ -149,9 +188,32 @@ def test_files(spark, tmp_path):
 
 def test_replace_reads_what_it_replaces(spark, tmp_path):
     p = f"{tmp_path}/t"
+    assert snapshots.read(spark, p) is None
     snapshots.replace(spark.range(3), p)
-    snapshots.replace(spark.read.parquet(p).filter("id > 0"), p)
-    assert spark.read.parquet(p).count() == 2
+    snapshots.replace(snapshots.read(spark, p).filter("id > 0"), p)
+    assert snapshots.read(spark, p).count() == 2
+
+
+def test_replace_stopped_anywhere_leaves_old_or_new(spark, tmp_path, monkeypatch):
+    p = f"{tmp_path}/t"
+    rows = lambda: sorted(r.id for r in snapshots.read(spark, p).collect())
+    snapshots.replace(spark.range(2), p)
+    # while it writes: rows without the mark of success
+    spark.range(9).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{p}/rows-000000000001")
+    assert rows() == [0, 1]
+    broken = spark.range(3).select(F.raise_error(F.lit("stop")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        snapshots.replace(broken, p)
+    assert rows() == [0, 1]
+    # after the writing, before the old rows go
+    real = snapshots._fs
+    monkeypatch.setattr(snapshots, "_fs", lambda spark, path: (_ for _ in ()).throw(OSError("stop")) if "rows-" in path and "_SUCCESS" not in path else real(spark, path))
+    with pytest.raises(OSError, match="stop"):
+        snapshots.replace(spark.range(5, 8), p)
+    monkeypatch.setattr(snapshots, "_fs", real)
+    assert rows() == [5, 6, 7]
+    snapshots.replace(snapshots.read(spark, p).union(spark.range(1)), p)
+    assert rows() == [0, 5, 6, 7] and len(list((tmp_path / "t").iterdir())) == 2
 
 
 def test_snapshots_keep_the_newest(spark, tmp_path):
@@ -166,7 +228,8 @@ def test_notes(spark):
     p = spark.createDataFrame([("2401.1", "v2", "It's", ["A"], ["cs.LG"], date(2024, 1, 2), "u", None, ["S1", ""])], "paper_id string, version string, title string, authors array<string>, categories array<string>, published date, pdf_url string, summary string, sections array<string>")
     n = notes.rendered(p).collect()[0]
     assert n.file == "2401.1.md" and "arxiv_id: 2401.1v2" in n.note and "title: 'It''s'" in n.note and "- 'cs-LG'" in n.note and "- S1\n" in n.note and "_(no summary stored)_" in n.note
-    assert notes.index(p).collect()[0].value == "- [[2401.1|It's]] (2024-01-02)"
+    assert n.note.endswith("## Sections\n\n- S1\n\n## Claims\n\n_Not yet generated -- deferred to the claim-layer V1 ticket._\n")
+    assert [r.value for r in notes.index(p).collect()] == ["# Papers Index", "", "1 papers.", "", "- [[2401.1|It's]] (2024-01-02)"]
 
 
 def test_seams(spark):
@@ -190,7 +253,7 @@ def test_streams(spark, tmp_path):
     stream.latest_refs(feed(), f"{tmp_path}/table", f"{tmp_path}/cp").awaitTermination(120)
     refs.limit(1).withColumn("version", F.lit("v11")).write.mode("append").parquet(f"{tmp_path}/feed")
     stream.latest_refs(feed(), f"{tmp_path}/table", f"{tmp_path}/cp").awaitTermination(120)
-    assert sorted((r.paper_id, r.version) for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [("a", "v11"), ("b", "v1")]
+    assert sorted((r.paper_id, r.version) for r in snapshots.read(spark, f"{tmp_path}/table").collect()) == [("a", "v11"), ("b", "v1")]
     q = stream.rising_versions(feed()).writeStream.format("memory").queryName("rising").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp2").start()
     q.awaitTermination(120)
     assert spark.sql("SELECT max(number) AS n FROM rising WHERE paper_id = 'a'").collect()[0].n == 11
@@ -215,6 +278,9 @@ def test_ingest_and_tools(spark, tmp_path):
     ingest(store, papers, blocks, topic=["topic1"])
     ingest(store, papers, blocks)
     assert store.table("vectors").count() == 9 and store.table("papers").count() == 3
+    assert {r.stage for r in store.table("state").collect()} == {"done"}
+    plain = Tools(store)._pool("topic1 words 1", Filters(), "chunk", 2)[1].orderBy("rank").collect()
+    assert [r.score for r in plain] == sorted((r.score for r in plain), reverse=True)  # the fused order, without a reranker
     tools = Tools(store, rerank=lambda q, texts: [float("topic1" in t) for t in texts])
     rows, cover = tools.semantic_search("topic1 words 1", k=2)
     got = rows.collect()
@@ -226,3 +292,62 @@ def test_ingest_and_tools(spark, tmp_path):
         tools.get_paper("zz")
     gone = store.delete(ids(spark, "p0", "zz"))
     assert {r.id for r in gone.collect()} == {"p0:c0", "p0:c1", "p0:summary"} and store.table("vectors").count() == 6
+
+
+def test_ingest_goes_on_past_bad_papers_and_stops(spark, tmp_path, capsys):
+    from folioflow.__main__ import main
+    from folioflow.plans.ingest import Store, ingest
+
+    papers = spark.createDataFrame([(f"p{i}", f"# T{i}\ntext {i}", ["c"], date(2024, 1, i + 1)) for i in range(4)], "paper_id string, markdown string, categories array<string>, published date")
+    blocks = spark.createDataFrame([(f"p{i}:b0", f"p{i}", 0, "prose", f"words {i}", 0, "S") for i in range(3)], "block_id string, paper_id string, idx int, type string, text string, page int, section_path string")
+    store = Store(spark, str(tmp_path))
+
+    def summarize(texts):
+        if any("text 1" in t for t in texts):
+            raise ValueError("too odd")
+        return ["said " + t[-6:] for t in texts]
+
+    def broken(texts):
+        raise OSError("no server")
+
+    real = Store.reached
+    try:  # a stop between two stages
+        Store.reached = lambda self, papers, stage: (_ for _ in ()).throw(KeyboardInterrupt()) if stage == "summarized" else real(self, papers, stage)
+        with pytest.raises(KeyboardInterrupt):
+            ingest(store, papers, blocks, summarize=summarize, attempts=2)
+    finally:
+        Store.reached = real
+    assert {r.stage for r in store.table("state").collect()} == {"chunked"}
+    ingest(store, papers, blocks, summarize=summarize, attempts=2, topic=["words"])
+    assert {r.paper_id: (r.error_type, r.error) for r in store.table("quarantine").collect()} == {"p1": ("PermanentError", "too odd"), "p3": ("PermanentError", "no blocks")}
+    assert {r.paper_id for r in store.table("state").filter("stage = 'done'").collect()} == {"p0", "p2"}
+    assert {r.paper_id: r.relevance_score is not None for r in store.table("papers").collect()} == {"p0": True, "p1": False, "p2": True}
+    before = snapshots.current(spark, f"{tmp_path}/vectors"), store.table("vectors").count()
+    ingest(store, papers, blocks, summarize=broken, embed=broken)
+    assert store.table("vectors").count() == before[1] and store.table("quarantine").count() == 2
+    for command in ("integrity", "funnel", "failures"):
+        main(["--store", str(tmp_path), command])
+    main(["--store", str(tmp_path), "search", "words 2", "--json"])
+    shown = capsys.readouterr().out
+    assert "too odd" in shown and '"paper_id": "p2"' in shown
+    gone = store.delete(ids(spark, "p0"))
+    assert {r.id for r in gone.collect()} == {"p0:c0", "p0:summary"} and {r.paper_id for r in store.table("state").filter("stage = 'done'").collect()} == {"p2"}
+
+
+def test_small_sources_and_sinks(spark, tmp_path):
+    files.append_event(spark, f"{tmp_path}/log", event="RUN_START", run_id="r", ts=1.0)
+    files.append_event(spark, f"{tmp_path}/log", event="RUN_END", run_id="r", ts=2.0, wall_clock_s=9.0)
+    assert sorted(r.event for r in files.events(spark, f"{tmp_path}/log").collect()) == ["RUN_END", "RUN_START"]
+    files.append_decisions(spark.createDataFrame([(4, "halve")], "batch int, why string"), f"{tmp_path}/decisions")
+    files.append_decisions(spark.createDataFrame([(2, "grow")], "batch int, why string"), f"{tmp_path}/decisions")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/decisions").count() == 2
+    wanted = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "pos int, paper_id string")
+    side = spark.createDataFrame([("a", "A side"), ("b", "B side")], "paper_id string, title string")
+    fetched = spark.createDataFrame([("a", "A"), ("c", "C")], "paper_id string, title string")
+    pdfs = ids(spark, "b", "c")
+    assert [(r.paper_id, r.title) for r in files.sidecar_first(wanted, pdfs, side, fetched).collect()] == [("a", "A"), ("b", "B side"), ("c", "C")]
+    assert {r.paper_id for r in files.to_fetch(wanted, pdfs, side).collect()} == {"a", "c"}
+    header = lambda t: spark.range(1).select(models.clamped_header(F.lit(t)).alias("x")).first().x
+    assert header("  ") == "" and len(header("w " * 900).split()) == models.HEADER_WORDS
+    rows = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("m", 1, "c")], "id string, at int, v string")
+    assert {(r.id, r.v) for r in state.last_write(rows, "id", "at").collect()} == {("k", "b"), ("m", "c")}
