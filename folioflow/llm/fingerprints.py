@@ -96,7 +96,11 @@ _fingerprint_udf = text_udf(_fingerprint, T.StructType([T.StructField("fingerpri
 
 
 def with_fingerprint(docs: DataFrame, name: str = "fingerprint") -> DataFrame:
-    """`docs` with the fingerprint of each whole text; null counts as empty. A column of that name is replaced."""
+    """`docs` with the fingerprint of each whole text; null counts as empty. A column of that name is replaced.
+
+    Texts of any length are sketched whole; rows repeated have equal fingerprints; equal hashes count once. Other
+    columns pass through. An empty table gives an empty one.
+    """
     ship(docs.sparkSession)
     return docs.withColumn(name, _fingerprint_udf("text")["fingerprint"])
 
@@ -158,7 +162,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Each text's fingerprint against those of its edited text and of the next document.
 
     Next is by ascending doc_id (null first, then by text where ids repeat), after the last the first; a
-    single document is its own next. Null text counts as empty. An empty table gives an empty one.
+    single document is its own next. Null text counts as empty. An empty table gives an empty one. Of further
+    columns of `docs` none is kept.
     One shuffle deals the texts out by ranges of doc_id; the first row of each range is sent to the range
     before as well. Only one id a range comes to the driver.
     """

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import arrow_schema, documents, own_name, ship, text_udf, written
+from folioflow.llm.common import arrow_schema, discard, documents, own_name, ship, text_udf, written
 from folioflow.llm.text import combine, mix, shingles, text_buffers, word_hashes
 
 SIZE, THRESHOLD = 5, 0.8
@@ -236,14 +236,18 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     half = written(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-half")
     both = written(half.union(half.select("b", "a")).distinct(), f"{name}-edges")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("label")), f"{name}-labels")
+    discard(half)
+    old = labels
     while True:
         near = both.join(labels.select(F.col("key").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         new = labels.join(near, labels["key"] == near["a"]).select("key", F.least("label", "m").alias("new"), "label")
         up = labels.select(F.col("key").alias("new"), F.col("label").alias("top"))
         labels_next = written(new.join(up, "new").select("key", F.least("new", "top").alias("label"), (F.least("new", "top") != F.col("label")).alias("changed")), f"{name}-labels")
         done = not labels_next.filter("changed").limit(1).count()
-        labels = labels_next.select("key", "label")
+        discard(old)
+        old, labels = labels_next, labels_next.select("key", "label")
         if done:
+            discard(both)
             return labels
 
 
@@ -283,7 +287,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     equality or by a Jaccard similarity of five-word shingle sets of at least 0.8. Null text counts as
     empty; texts without words equal only each other; a text of fewer than five words is one shingle.
     Rows with a null doc_id take part; a group of only such rows has a null class_id. Rows repeated
-    are copies of one another. An empty table gives an empty one.
+    are copies of one another; texts of any length are compared whole. An empty table gives an empty one. Of
+    further columns of `docs` none is kept.
     """
     rows, own = links(docs)
     own = written(own, "join-links")
@@ -292,7 +297,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each near-duplicate group: that of least doc_id (of rows alike in id and text, any one)."""
+    """`docs` with one document of each near-duplicate group: that of least doc_id (of rows alike in id and text, any one).
+
+    Null text counts as empty, and empty texts are copies of one another; of a group without ids any one stays. Texts
+    of any length are compared whole. Columns stay. An empty table gives an empty one.
+    """
     _, own = links(docs)
     best = own.groupBy("label").agg(F.min_by(F.struct("key", "id"), F.struct(F.col("id").isNull(), "id", "key")).alias("w")).select(F.col("w.key").alias("k"), F.col("w.id").alias("i"))
     key, at = own_name(docs, "key"), own_name(docs, "id")

@@ -181,7 +181,8 @@ def pack(docs: DataFrame, with_ids: bool = False, vocabulary: str = VOCABULARY)
 
     Null or empty text is the end id alone. Repeated rows are packed each for itself; a null doc_id stays
     null. Sequences are numbered by partition and block, in a block in the order of its rows, so `docs` must give a partition the same rows in the
-    same order when a task is run again, as any table read from files does. An empty table gives no piece.
+    same order when a task is run again, as any table read from files does. An empty table gives no piece. Texts of any length are
+    packed whole; documents of equal length go in the order of their rows. Of further columns of `docs` none is kept.
     """
     ship(docs.sparkSession)
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:

@@ -167,7 +167,11 @@ def _scored(kind: Kind, text: str):
 
 
 def find_personal_data(docs: DataFrame, kinds: list[Kind] = KINDS, name: str = "pii") -> DataFrame:
-    """`docs` with an array of (kind, start, end, match, score), by kind as listed, then start. A column of that name is replaced."""
+    """`docs` with an array of (kind, start, end, match, score), by kind as listed, then start. A column of that name is replaced.
+
+    Null or empty text has none; texts of any length are searched whole; rows repeated are searched alike; spans that
+    start together stand in the order of their kinds. Other columns pass through. An empty table gives an empty one.
+    """
     found = with_spans(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), kinds)
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,match:string,score:double>>")
     said = [F.coalesce(F.transform(F.col(f"__pii_{k.name}"), _named(k)), none) for k in kinds]

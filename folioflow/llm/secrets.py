@@ -223,7 +223,8 @@ def _finder(rules: list[Rule]):
 def with_secrets(docs: DataFrame, rules: list[Rule] = RULES, name: str = "secrets") -> DataFrame:
     """`docs` with the secrets of each whole text: kind, start, end in code points, by start, then rule.
 
-    Null or empty text has none. A column of that name is replaced.
+    Null or empty text has none; texts of any length are searched whole; rows repeated are searched alike. A column
+    of that name is replaced, others pass through. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
     return docs.withColumn(name, _finder(rules)("text")["spans"])
@@ -254,7 +255,8 @@ def _redactor(rules: list[Rule]):
 def redact(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """`docs` with each secret replaced by its kind in brackets, spans that overlap by the first one's; n_chars, if there, follows the text.
 
-    Texts without secrets, null and empty ones stay as they are. Columns and rows stay.
+    Texts without secrets, null and empty ones stay as they are; texts of any length are searched whole. Columns and
+    rows stay, repeated ones too. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
     new = own_name(docs, "clean")

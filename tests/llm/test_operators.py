@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -541,6 +542,71 @@ def test_mixing_places_every_document_once(spark):
         mixing.whole_weights({"a": 0.1234567891, "b": 1})
 
 
+def test_ids_equal_the_library_s_on_any_text():
+    """Random code points of the whole range, long runs of one class, and every character for itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer as Library
+
+    from folioflow.llm.packing import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        own = Tokenizer(f.read())
+    library = Library.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    rng = np.random.default_rng(12)
+    texts = [" ".join(chr(c) for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x3400, 64)]
+    texts += ["".join(chr(c) for c in rng.choice(np.r_[0:0xD800, 0xE000:0x110000], 60)) for _ in range(300)]
+    texts += ["".join(rng.choice(list("aZ é0²½'s\n\t\r .,-_#\x1c\x85\xa0\u2003中😀")) for _ in range(80)) for _ in range(600)]
+    texts += [c * n for c in "a0 \n.é中_'\x1f" for n in (1, 2, 300, 5000)] + ["it's we'll x'S 'd 're", "", "\x00" * 50]
+    for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert own.ids(t).tolist() == e.ids, repr(t[:60])
+
+
+def test_classifier_features_and_steps_by_hand():
+    """The features of a text and one pass of the descent, against plain versions."""
+    from folioflow.llm import quality_classifier as q
+    from folioflow.llm.text import text_buffers
+
+    texts = ["né a\tné", "", "  ", "😀😀 x"]
+    buf, offsets = text_buffers(pa.array(texts, pa.large_string()))
+    for n in q.GRAMS:
+        ids, first = q._Characters(buf, offsets).buckets(n)
+        for t, a, z in zip(texts, first[:-1], first[1:], strict=True):
+            grams = [w[i : i + n] for w in (f" {x} " for x in re.split("[ \t]+", t) if x) for i in range(len(w) - n + 1)]
+            grams = [g for g in grams if g.strip() and " " not in g[1:-1]]
+            want = []
+            for g in grams:
+                h = n * 0x9E37
+                for c in g:
+                    h = (h ^ ord(c)) * 0x01000193 % 2**32
+                want.append((h * 0x85EBCA6B % 2**32 >> 15) % q.BUCKETS)
+            assert ids[a:z].tolist() == want, (t, n)
+    found, shares = q.features(buf, offsets)
+    assert [len(x) for x in found][1:3] == [0, 0] and all(abs(s.sum() - 1) < 1e-5 for s in (shares[0], shares[3]))
+
+    rng = np.random.default_rng(q.SEED)
+    v = ((rng.random((q.BUCKETS, q.DIM), dtype=np.float32) - 0.5) / q.DIM).astype(np.float32)
+    w, b, rows, labels = np.zeros((2, q.DIM)), np.zeros(2), list(zip(found, shares, strict=True)), [1, 0, 0, 1]
+    v = {i: v[i].astype(float) for x in found for i in x}
+    epochs = -(-q.STEPS // 4)
+    for e in range(epochs):
+        for k, i in enumerate(rng.permutation(4)):
+            rate = q.RATE * (1 - (e * 4 + k) / (epochs * 4))
+            ids, share = rows[i]
+            hidden = sum((s * v[j] for j, s in zip(ids, share, strict=True)), np.zeros(q.DIM))
+            z = w @ hidden + b
+            g = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            g[labels[i]] -= 1
+            back = g @ w
+            w, b = w - rate * np.outer(g, hidden), b - rate * 0.1 * g
+            for j, s in zip(ids, share, strict=True):
+                v[j] = v[j] - rate * len(ids) ** 0.5 * s * back
+    weights, bias = q.fit(rows, labels)
+    for ids, _ in rows:
+        assert np.allclose(weights[ids], [v[j] @ (w[1] - w[0]) for j in ids], atol=5e-2, rtol=2e-2)
+    assert abs(bias - (b[1] - b[0])) < 2e-2
+
+
 def test_estimates_by_hand(spark):
     """Groups of 30, 300 and 3,000 texts with a fifth of outliers, and tiny ones: every group has its own estimate, equal to one made plainly."""
     from folioflow.llm import quality_rules as q
