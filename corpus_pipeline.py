@@ -13,29 +13,29 @@ from folioflow.llm.common import documents, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: null and empty texts among them. Repeated rows are judged alike; columns stay; an empty table stays empty."""
     return quality_rules.filter_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, repeated rows and ties by least id. Null counts as empty text; columns stay; an empty table stays empty."""
     return ngram_join.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets give way to the names of their kinds; every document stays."""
+    """Secrets give way to the names of their kinds; every document stays, null and empty texts as they are, long ones searched whole. Columns stay; an empty table stays empty."""
     return secrets.redact(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, in the order of the mixture."""
+    """Every document stays, in the order of the mixture; a null source is one of its own, rows of equal id lie side by side. Columns stay; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their sequences, numbered in the order of the mixture.
 
-    Files are not read in the order in which they were written, so the rows are placed anew. Places are written before
+    Null and empty texts are an end id alone; texts of any length are packed whole; an empty table gives no piece. Files are not read in the order in which they were written, so the rows are placed anew. Places are written before
     rows move by them, so that a task that is run again packs the same rows.
     """
     mix = written(mixing.placed(docs.select("doc_id", "text", "source")), "mix-placed")
