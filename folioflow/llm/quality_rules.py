@@ -174,6 +174,11 @@ _SEP = "\x1f"
 ALL = "all"
 
 
+def _small(df: DataFrame, name: str) -> DataFrame:
+    """A table of a row or two for each group, in one file, so that its size, small unless the groups are very many, lets Spark send it to the rows instead of dealing the rows out by group."""
+    return written(df.repartition(1), name)
+
+
 def concentrated(rows: DataFrame) -> DataFrame:
     """grp -> n, mean, inverse, cov: each group's minimum-covariance-determinant estimate over all of its rows (grp, *VECTOR).
 
@@ -181,18 +186,18 @@ def concentrated(rows: DataFrame) -> DataFrame:
     distance are kept together; starts of equal determinant go to the first.
     """
     # starts: 0 medians and absolute deviations, 1 means and variances
-    med = written(rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in VECTOR]), "mcd-medians")
+    med = _small(rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in VECTOR]), "mcd-medians")
     mad = rows.join(med, "grp").groupBy("grp").agg(*[F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in VECTOR])
     spread = [F.pow(F.greatest(F.lit(1.4826) * F.col(f"d_{v}"), F.lit(LEAST_SPREAD[v])), F.lit(-2.0)) for v in VECTOR]
     robust = mad.select("grp", F.lit(0).alias("start"), F.lit(0.0).alias("n"), F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.array(*[F.lit(0.0)] * len(PAIRS)).alias("cov"), F.lit(0.0).alias("logdet"))
     plain = _moments(rows.withColumn("start", F.lit(1))).mapInPandas(_refit, _FIT)
-    fit = written(robust.unionByName(plain), "mcd-start")
+    fit = _small(robust.unionByName(plain), "mcd-start")
     discard(med)
     for step in range(STEPS):
         cut = rows.join(fit.select("grp", "start", "mean", "inverse"), "grp").groupBy("grp", "start").agg(F.percentile_approx(distance(), SUPPORT, 10_000).alias("cut"))
-        cuts = written(cut.join(fit.select("grp", "start", "mean", "inverse"), ["grp", "start"]), f"mcd-cut{step}")
+        cuts = _small(cut.join(fit.select("grp", "start", "mean", "inverse"), ["grp", "start"]), f"mcd-cut{step}")
         kept = rows.join(cuts, "grp").filter(distance() <= F.col("cut"))
-        new = written(_moments(kept).mapInPandas(_refit, _FIT), f"mcd-{step}")
+        new = _small(_moments(kept).mapInPandas(_refit, _FIT), f"mcd-{step}")
         discard(fit, cuts)
         fit = new
     best = fit.groupBy("grp").agg(F.min_by(F.struct("n", "mean", "inverse", "cov"), F.struct("logdet", "start")).alias("best"))
