@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.common import discard, documents, fold, ship, text_udf, written
+from folioflow.llm.common import arrow_schema, discard, documents, fold, ship, text_udf, written
 
 #: Labelled documents to learn from, at most, shared evenly by the languages: those of least hash of their id. All their words are learned.
 MAX_TRAIN = 12_000
@@ -62,13 +63,28 @@ def training_rows(docs: DataFrame, usable: Column) -> DataFrame:
     return named.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
 
+_GRAMS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("key", T.StringType()), T.StructField("n", T.LongType())])
+
+
+def _gram_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each n-gram occurs in a batch of words (lang, key, n), single letters without the word's ends. Time grows with a word's length alone, however long it is."""
+    schema = arrow_schema(_GRAMS)
+    for batch in batches:
+        found: Counter[tuple[str, str]] = Counter()
+        for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "key", "n")), strict=True):
+            padded = f" {word} "
+            for size in range(1, LONGEST + 1):
+                source = word if size == 1 else padded
+                for i in range(len(source) - size + 1):
+                    found[lang, source[i : i + size]] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], schema=schema)
+
+
 def counts(sample: DataFrame) -> dict[str, pa.Table]:
     """Tables of (key, list of language and count): all words of the sample, and its n-grams by length."""
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("key")
     n = written(sample.select("lang", word).filter("key <> ''").groupBy("lang", "key").agg(F.count("*").alias("n")), "language-words")
-    grams = ["transform(sequence(1, length(key)), i -> substring(key, i, 1))"]
-    grams += [f"if(length(key) >= {k - 2}, transform(sequence(1, length(key) + 3 - {k}), i -> substring(concat(' ', key, ' '), i, {k})), array())" for k in range(2, LONGEST + 1)]
-    by_gram = n.select("lang", "n", F.explode(F.expr(f"concat({', '.join(grams)})")).alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    by_gram = n.mapInArrow(_gram_rows, _GRAMS).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     gathered = lambda df: df.groupBy("key").agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
     # of a sample of MAX_TRAIN texts
     out = {"words": gathered(n).select("key", "by_lang").orderBy("key").toArrow(), "grams": gathered(by_gram).filter(F.col("total") >= LEAST_SEEN).select("key", "by_lang").orderBy("key").toArrow()}
