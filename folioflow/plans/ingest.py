@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from folioflow.functions.text import before_low_value_sections, first_heading, first_words
 from folioflow.operators import chunking, models, parsing, retrieval
-from folioflow.operators.state import cascade_ids, quarantined, upserted, worklist
-from folioflow.sinks.snapshots import read, replace
+from folioflow.operators.state import cascade_ids, quarantined, worklist
+from folioflow.sinks.snapshots import amend, read, replace
 
 #: Words of a paper that a summary is made from, at most.
 SUMMARY_WORDS = 6_000
@@ -31,9 +31,8 @@ class Store:
         return read(self.spark, f"{self.path}/{name}")
 
     def put(self, name: str, new: DataFrame, key: str = "paper_id") -> None:
-        """Replace all rows of the new keys."""
-        old = self.table(name)
-        replace(new if old is None else upserted(old, new, key), f"{self.path}/{name}")
+        """Replace all rows of the new keys; the others aren't written again."""
+        amend(new, f"{self.path}/{name}", key)
 
     def delete(self, papers: DataFrame) -> DataFrame:
         """Remove papers everywhere and give the ids of their chunks and summaries; unknown papers are no error.
@@ -48,8 +47,8 @@ class Store:
 
     def reject(self, failures: DataFrame) -> None:
         """Papers (paper_id, error_type, error) to quarantine; the first reason stays."""
-        new = failures.select("paper_id", "error_type", "error", F.current_timestamp().alias("ts"))
-        replace(quarantined(new, self.table("quarantine")), f"{self.path}/quarantine")
+        new, old = quarantined(failures.select("paper_id", "error_type", "error", F.current_timestamp().alias("ts"))), self.table("quarantine")
+        amend(new if old is None else new.join(old, "paper_id", "left_anti"), f"{self.path}/quarantine", "paper_id")
 
     def reached(self, papers: DataFrame, stage: str) -> None:
         self.put("state", papers.select("paper_id", F.lit(stage).alias("stage")).distinct())

@@ -12,19 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 from folioflow.functions.text import version_number
 from folioflow.operators.parsing import latest_versions
 from folioflow.operators.state import merged_checkpoints
-from folioflow.sinks.snapshots import read, replace
+from folioflow.sinks.snapshots import amend, read
+
+
+def _of(table: DataFrame, batch: DataFrame) -> DataFrame:
+    """The table's rows of a batch's papers."""
+    return table.join(batch.select("paper_id").distinct(), "paper_id", "left_semi")
 
 
 def latest_refs(feed: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Keep the table at `path` at the latest version of each paper of an unbounded feed (paper_id, version, seen, ...).
 
-    A batch is merged with the table and swapped in whole: doing it again after a failure gives the same table.
+    Only the papers of a batch are merged and written: doing it again after a failure gives the same table.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         old = read(spark, path)
-        replace(latest_versions(batch if old is None else old.unionByName(batch)), path)
+        amend(latest_versions(batch if old is None else _of(old, batch).unionByName(batch)), path, "paper_id")
 
     return feed.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -36,8 +41,8 @@ def checkpoints(updates: DataFrame, path: str, checkpoint: str, artifacts: list[
         spark = batch.sparkSession
         new = batch.groupBy("paper_id").agg(F.max_by("stage", "at").alias("stage"), *[F.max_by(a, F.when(F.col(a).isNotNull(), F.col("at"))).alias(a) for a in artifacts])
         old = read(spark, path)
-        old = new.limit(0) if old is None else old
-        replace(merged_checkpoints(old, new, artifacts), path)
+        old = new.limit(0) if old is None else _of(old, new)
+        amend(merged_checkpoints(old, new, artifacts), path, "paper_id")
 
     return updates.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -216,6 +216,70 @@ def test_replace_stopped_anywhere_leaves_old_or_new(spark, tmp_path, monkeypatch
     assert rows() == [0, 5, 6, 7] and len(list((tmp_path / "t").iterdir())) == 2
 
 
+def _pairs(spark, *rows):
+    return spark.createDataFrame(list(rows), "k string, v int")
+
+
+def test_amend_writes_new_rows_alone(spark, tmp_path, monkeypatch):
+    p = f"{tmp_path}/t"
+    # in tables as small as these any layer weighs as much as the rest
+    monkeypatch.setattr(snapshots, "_bytes", lambda spark, writings: 0)
+    rows = lambda: sorted(((r.k, r.v) for r in snapshots.read(spark, p).collect()), key=repr)
+    snapshots.amend(_pairs(spark, ("a", 1), ("a", 2), ("b", 3), (None, 0)), p, "k")
+    snapshots.amend(_pairs(spark, ("a", 4), ("c", 5), (None, 9)), p, "k")
+    snapshots.amend(_pairs(spark, ("c", 6), ("c", 7)), p, "k")
+    want = [("a", 4), ("b", 3), ("c", 6), ("c", 7), (None, 0), (None, 9)]
+    assert rows() == want
+    assert [f.rsplit("/", 1)[1] for f in snapshots.current(spark, p)] == ["rows-000000000000", "over-000000000001-k", "over-000000000002-k"]
+    assert {r.n for r in spark.read.parquet(snapshots.current(spark, p)[1]).groupBy().agg(F.count("*").alias("n")).collect()} == {3}
+    # nothing new leaves no layer; other columns are an error; the order and width of columns follow the table
+    snapshots.amend(_pairs(spark).limit(0), p, "k")
+    assert len(snapshots.current(spark, p)) == 3
+    with pytest.raises(ValueError, match="columns differ"):
+        snapshots.amend(spark.range(1), p, "id")
+    snapshots.amend(spark.sql("SELECT 8L AS v, 'd' AS k"), p, "k")
+    assert rows() == sorted([*want, ("d", 8)], key=repr) and dict(snapshots.read(spark, p).dtypes) == {"k": "string", "v": "int"}
+    # another key: written whole; the table before stays for its readers
+    snapshots.amend(_pairs(spark, ("z", 8)), p, "v")
+    assert rows() == sorted([*want, ("z", 8)], key=repr) and len(snapshots.current(spark, p)) == 1
+    snapshots.replace(snapshots.read(spark, p), p)
+    assert len(list((tmp_path / "t").iterdir())) == 2
+
+
+def test_amend_stopped_anywhere_leaves_old_or_new_and_folds_in_time(spark, tmp_path, monkeypatch):
+    p = f"{tmp_path}/t"
+    rows = lambda: sorted((r.k, r.v) for r in snapshots.read(spark, p).collect())
+    snapshots.amend(_pairs(spark, ("a", 1), ("b", 1)), p, "k")
+    _pairs(spark, ("a", 99)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{p}/over-000000000001-k")
+    assert rows() == [("a", 1), ("b", 1)]
+    broken = _pairs(spark, ("a", 2)).withColumn("v", F.raise_error(F.lit("stop")).cast("int"))
+    with pytest.raises(Exception, match="stop"):
+        snapshots.amend(broken, p, "k")
+    assert rows() == [("a", 1), ("b", 1)]
+    monkeypatch.setattr(snapshots, "MOST_LAYERS", 3)
+    monkeypatch.setattr(snapshots, "_bytes", lambda spark, writings: 0)
+    seen = set()
+    for n in range(2, 10):
+        old = snapshots.read(spark, p)
+        snapshots.amend(old.filter("k = 'a'").withColumn("v", F.lit(n)), p, "k")
+        assert rows() == [("a", n), ("b", 1)] and old.count() == 2
+        seen.add(len(snapshots.current(spark, p)))
+    assert seen == {1, 2, 3, 4}
+    monkeypatch.undo()
+    # layers that weigh more than the table are folded into it
+    for n in range(10, 14):
+        snapshots.amend(_pairs(spark, *[(f"k{i}", n) for i in range(500)]), p, "k")
+    assert len(snapshots.current(spark, p)) < 4 and len(rows()) == 502 and {v for k, v in rows() if k.startswith("k")} == {13}
+
+
+def test_amended_tables_prune_columns_and_rows(spark, tmp_path):
+    p = f"{tmp_path}/t"
+    for n in range(2):
+        snapshots.amend(spark.createDataFrame([("a", n, "text")], "k string, v int, t string"), p, "k")
+    plan = snapshots.read(spark, p).filter("k = 'a'").select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,a)" in plan and "t:string" not in plan
+
+
 def test_snapshots_keep_the_newest(spark, tmp_path):
     for n in ("s1", "s2", "s3"):
         snapshots.snapshot({"t": spark.range(4)}, str(tmp_path), 2, n)
