@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.dates import eta_s, per_hour
 
@@ -32,20 +33,19 @@ def latest_run(events: DataFrame, line: str = "line_no") -> DataFrame:
     return events.join(F.broadcast(last), "run_id")
 
 
-#: The stage after each event: its start names it, its own end clears it, the run's end sets `done`.
-_STAGE = """
-aggregate(
-  array_sort(collect_list(named_struct('line', {line}, 'event', event, 'stage', stage))),
-  cast(null as string),
-  (s, e) -> case when e.event = 'STAGE_START' then e.stage
-                 when e.event = 'STAGE_END' and e.stage <=> s then cast(null as string)
-                 when e.event = 'RUN_END' then 'done' else s end)
-"""
-
-
 def current_stage(events: DataFrame, line: str = "line_no", by: str = "run_id") -> DataFrame:
-    """by, stage. Only events that can change the stage are folded."""
-    return events.filter(F.col("event").isin("STAGE_START", "STAGE_END", "RUN_END")).groupBy(by).agg(F.expr(_STAGE.format(line=line)).alias("stage"))
+    """by, stage. A start names the stage, its own end clears it, the run's end sets `done`.
+
+    What was set last counts, unless an end of the same name came after it; two aggregates of a row a stage tell that,
+    however long the log is.
+    """
+    order = F.struct(line, "event", "stage")
+    ends = F.col("event") == "STAGE_END"
+    steps = events.filter(F.col("event").isin("STAGE_START", "STAGE_END", "RUN_END"))
+    steps = steps.withColumn("__name", F.when(F.col("event") == "RUN_END", "done").otherwise(F.col("stage")))
+    last = steps.groupBy(by, "__name").agg(F.max(F.when(~ends, order)).alias("__set"), F.max(F.when(ends, order)).alias("__end"))
+    open_ = F.when(F.col("__end").isNull() | (F.col("__end") < F.col("__set")), F.col("__name"))
+    return last.groupBy(by).agg(F.max_by(open_, "__set").alias("stage"))
 
 
 def wall_clock(events: DataFrame, now: Column, line: str = "line_no") -> DataFrame:
@@ -74,25 +74,30 @@ def throughput(state: DataFrame, started: Column, now: Column, target: int) -> D
     return n.withColumn("papers_per_hour", per_hour(F.col("run_done"), elapsed)).withColumn("eta_s", eta_s(F.col("papers_per_hour"), F.col("done"), F.lit(target)))
 
 
-#: Batch sizes after each probe: half at the margin or below, a step more from the growth threshold on, else the same.
-_AIMD = """
-aggregate(
-  array_sort(collect_list(named_struct('at', {at}, 'free', free))),
-  named_struct('size', {start}, 'out', cast(array() as array<struct<at:bigint,size:int>>)),
-  (s, p) -> transform(
-    array(case when p.free is null then s.size
-               when p.free <= {margin} then greatest(cast(s.size div 2 as int), {least})
-               when p.free >= {growth} then least(s.size + {step}, {most})
-               else s.size end),
-    z -> named_struct('size', z, 'out', concat(s.out, array(named_struct('at', cast(p.at as bigint), 'size', z)))))[0],
-  s -> s.out)
-"""
-
-
 def batch_sizes(probes: DataFrame, by: str, at: str, start: int = 4, margin: int = 2048, least: int = 1, most: int = 32, step: int = 1) -> DataFrame:
-    """by, at, size: additive increase and halving by free memory (by, at, free INT), a null probe holds."""
-    out = F.expr(_AIMD.format(at=at, start=start, margin=margin, growth=2 * margin, least=least, most=most, step=step))
-    return probes.groupBy(by).agg(out.alias("o")).select(by, F.explode("o").alias("o")).select(by, F.col("o.at").alias(at), F.col("o.size").alias("size"))
+    """by, at, size after each probe (by, at, free INT): half at the margin or below, a step more from twice the margin on, else, and for a null probe, the same.
+
+    Probes pass in order with one size carried from each to the next, so no list of probes is held whole.
+    """
+    rows = probes.select(by, F.col(at).cast("bigint").alias(at), "free").repartition(by).sortWithinPartitions(by, at, "free")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        of, size = (), start
+        for batch in batches:
+            out = []
+            for key, free in zip(batch[by].to_pylist(), batch["free"].to_pylist(), strict=True):
+                if of != (key,):
+                    of, size = (key,), start
+                if free is not None:
+                    size = max(size // 2, least) if free <= margin else min(size + step, most) if free >= 2 * margin else size
+                out.append(size)
+            yield pa.RecordBatch.from_arrays([batch[by], batch[at], pa.array(out, pa.int32())], [by, at, "size"])
+
+    kinds = {f.name: f.dataType for f in rows.schema}
+    schema = T.StructType([T.StructField(by, kinds[by]), T.StructField(at, T.LongType()), T.StructField("size", T.IntegerType())])
+    return rows.mapInArrow(sizes, schema)
 
 
 def decisions(sizes: DataFrame, by: str, at: str) -> DataFrame:

@@ -186,6 +186,42 @@ def test_files(spark, tmp_path):
     assert files.last_match(spark, f"{tmp_path}/l.txt", r"pace (\d+)").collect()[0].value == "7"
 
 
+def test_stage_and_batch_sizes_equal_a_plain_fold_of_random_logs(spark):
+    import random
+
+    rng = random.Random(5)
+    log, probes, stages, sizes = [], [], {}, {}
+    for run in [*range(40), None]:
+        now = None
+        for line in range(rng.randrange(1, 12)):
+            event = rng.choice(["STAGE_START", "STAGE_END", "STAGE_END", "RUN_END", "NOTE"])
+            name = rng.choice(["a", "b", "done", None])
+            log.append((run, line, event, name))
+            if event == "STAGE_START":
+                now = name
+            elif event == "RUN_END":
+                now = "done"
+            elif event == "STAGE_END" and now == name:
+                now = None
+            if event != "NOTE":
+                stages[run] = now
+        size = 4
+        for at in range(rng.randrange(1, 30)):
+            free = rng.choice([None, 0, 2048, 2049, 4095, 4096, 9000, 9000])
+            probes.append((run, at, free))
+            if free is not None:
+                size = max(size // 2, 1) if free <= 2048 else min(size + 1, 32) if free >= 4096 else size
+            sizes[run, at] = size
+    rng.shuffle(log)
+    rng.shuffle(probes)
+    e = spark.createDataFrame(log, "run_id int, line_no int, event string, stage string")
+    assert {r.run_id: r.stage for r in telemetry.current_stage(e).collect()} == stages
+    p = spark.createDataFrame(probes, "k int, at int, free int").repartition(3)
+    assert {(r.k, r["at"]): r["size"] for r in telemetry.batch_sizes(p, "k", "at").collect()} == sizes
+    assert telemetry.batch_sizes(p.limit(0), "k", "at").count() == 0
+    assert "collect_list" not in telemetry.current_stage(e)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_replace_reads_what_it_replaces(spark, tmp_path):
     p = f"{tmp_path}/t"
     assert snapshots.read(spark, p) is None
