@@ -76,13 +76,25 @@ def overlap_scores(collection: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.join(wanted, "token").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
 
 
+def kept_terms(collection: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """id, token, tf and what `filtered` reads: written once, in order of token, a search reads the parts with its own words alone."""
+    carried = ["kind", "categories", "published", *also]
+    terms = collection.select("id", *carried, F.explode(tokens(F.col("text"))).alias("token"))
+    return terms.groupBy("id", "token").agg(F.count("*").alias("tf"), *[F.first(c).alias(c) for c in carried])
+
+
 def tfidf_scores(collection: DataFrame, questions: DataFrame, everything: DataFrame | None = None) -> DataFrame:
     """query_id, id, score: sum over shared words of tf * tf in the question * idf. Frequencies are those of `everything`."""
     everything = collection if everything is None else everything
-    asked = term_counts(questions, "query_id").withColumnRenamed("tf", "asked")
     terms = term_counts(collection)
+    return term_scores(terms, terms if everything is collection else term_counts(everything), questions, everything)
+
+
+def term_scores(terms: DataFrame, every: DataFrame, questions: DataFrame, everything: DataFrame) -> DataFrame:
+    """`tfidf_scores` from counted words: `terms` of the rows to search, `every` of `everything`."""
+    asked = term_counts(questions, "query_id").withColumnRenamed("tf", "asked")
     # only words that are asked for need a frequency
-    known = document_frequencies((terms if everything is collection else term_counts(everything)).join(asked.select("token").distinct(), "token", "left_semi"), everything)
+    known = document_frequencies(every.join(asked.select("token").distinct(), "token", "left_semi"), everything)
     hits = terms.join(asked.join(known, "token"), "token")
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("tf") * F.col("asked") * F.col("idf")), 9).alias("score"))
 
@@ -91,10 +103,18 @@ def sparse(scores: DataFrame, most: int = CHANNEL) -> DataFrame:
     return ranked(scores.filter("score > 0"), ["query_id"], most)
 
 
-def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filters(), weight: float = 0.5, most: int = 10, channel: str = "tfidf") -> DataFrame:
-    """query_id, id, score, rank: the `most` best of each question (query_id, vector, text) by both channels fused."""
+def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filters(), weight: float = 0.5, most: int = 10, channel: str = "tfidf", terms: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score, rank: the `most` best of each question (query_id, vector, text) by both channels fused.
+
+    `terms`: `kept_terms` of the whole collection, or those of all words of the questions, so that no text is taken apart.
+    """
     rows = filtered(collection, filters)
-    scores = tfidf_scores(rows, questions, collection) if channel == "tfidf" else overlap_scores(rows, questions)
+    if channel != "tfidf":
+        scores = overlap_scores(rows, questions)
+    elif terms is None:
+        scores = tfidf_scores(rows, questions, collection)
+    else:
+        scores = term_scores(filtered(terms, filters).select("id", "token", "tf"), terms.select("id", "token"), questions, collection)
     fused = rrf(dense(rows, questions), sparse(scores), weight, by=["query_id"])
     return ranked(fused.withColumn("score", F.round("score", 12)), ["query_id"], most)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.text import before_low_value_sections, first_heading, first_words
-from folioflow.operators import chunking, models, parsing, retrieval
+from folioflow.operators import chunking, models, parsing, retrieval, search
 from folioflow.operators.state import cascade_ids, quarantined, worklist
 from folioflow.sinks.snapshots import amend, read, replace
 
@@ -22,7 +22,7 @@ SUMMARY_WORDS = 6_000
 
 
 class Store:
-    """Tables of one folder: papers, blocks, chunks, summaries, vectors, state, quarantine."""
+    """Tables of one folder: papers, blocks, chunks, summaries, terms, vectors, state, quarantine."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -30,9 +30,9 @@ class Store:
     def table(self, name: str) -> DataFrame | None:
         return read(self.spark, f"{self.path}/{name}")
 
-    def put(self, name: str, new: DataFrame, key: str = "paper_id") -> None:
+    def put(self, name: str, new: DataFrame, key: str = "paper_id", order: str | None = None) -> None:
         """Replace all rows of the new keys; the others aren't written again."""
-        amend(new, f"{self.path}/{name}", key)
+        amend(new, f"{self.path}/{name}", key, order)
 
     def delete(self, papers: DataFrame) -> DataFrame:
         """Remove papers everywhere and give the ids of their chunks and summaries; unknown papers are no error.
@@ -40,7 +40,7 @@ class Store:
         The vectors go last: whatever is left behind by a stop is a vector without a row, which no result shows.
         """
         replace(cascade_ids(self.table("chunks"), self.table("summaries"), papers), f"{self.path}/deleted")
-        for name in ("papers", "blocks", "chunks", "summaries", "state", "vectors"):
+        for name in ("papers", "blocks", "chunks", "summaries", "state", "terms", "vectors"):
             if (t := self.table(name)) is not None:
                 replace(t.join(papers, "paper_id", "left_anti"), f"{self.path}/{name}")
         return self.table("deleted")
@@ -109,6 +109,7 @@ def ingest(store: Store, papers: DataFrame, blocks: DataFrame, embed: Callable |
     lost = made.filter("not r.ok").groupBy("paper_id").agg(F.min_by("r.error_type", "id").alias("error_type"), F.min_by("r.error", "id").alias("error"))
     store.reject(lost)
     kept = made.join(lost, "paper_id", "left_anti").join(of("papers", todo).select("paper_id", "categories", "published"), "paper_id")
+    store.put("terms", search.kept_terms(kept, ("paper_id",)), order="token")
     store.put("vectors", kept.select(*rows.columns, "categories", "published", F.col("r.value").alias("embedding")))
     store.reached(kept, "embedded")
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import tokens
 from folioflow.operators import models, retrieval, search
 from folioflow.operators.search import Filters
 from folioflow.plans.ingest import Store
@@ -21,11 +22,20 @@ class Tools:
         v = models.embedder(self.embed, models.DIM)
         return self.store.spark.createDataFrame([(0, query)], "query_id int, text string").withColumn("vector", v("text"))
 
+    def _terms(self, question: DataFrame) -> DataFrame | None:
+        """The store's counted words that a question has, named in the plan so that the scan skips the rest; a store from before there were any has none."""
+        terms = self.store.table("terms")
+        if terms is None:
+            return None
+        words = [r.token for r in question.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).collect()]  # of one question
+        return terms.filter(F.col("token").isin(words))
+
     def _pool(self, query: str, filters: Filters, kind: str, k: int) -> tuple[DataFrame, DataFrame]:
         """(pool, hits): the caller's kind never counts; without a reranker the fused order stays."""
         scoped = Filters(filters.categories, filters.published_after, filters.published_before, kind)
         vectors = self.store.table("vectors")
-        pool = search.hybrid(vectors, self._question(query), scoped, self.weight, retrieval.pool_size(k, self.depth))
+        question = self._question(query)
+        pool = search.hybrid(vectors, question, scoped, self.weight, retrieval.pool_size(k, self.depth), terms=self._terms(question))
         if self.rerank is None:
             return pool, pool
         score = models.reranker(self.rerank)

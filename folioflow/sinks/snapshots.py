@@ -112,26 +112,28 @@ def replace(df: DataFrame, path: str) -> None:
     _delete(df.sparkSession, [w for w in before if w not in kept])
 
 
-def amend(new: DataFrame, path: str, key: str) -> None:
+def amend(new: DataFrame, path: str, key: str, order: str | None = None) -> None:
     """Put `new` in the place of all rows of its keys; as whole or not at all as `replace`, and `new` may read from `path`.
 
     Only `new` is written, as a layer that `read` lays over the rest, so the work goes by the new rows and not by
     the table; the table is written whole once its layers weigh more than it, or are too many. Rows with a null key
-    are added and replace nothing. The columns are the table's.
+    are added and replace nothing. The columns are the table's. With `order` files hold ranges of that column, in order,
+    so that a filter on it skips most of them.
     """
     spark = new.sparkSession
     before = _writings(spark, path)
     parts = _current(before)
+    placed = lambda df: df if order is None else df.repartitionByRange(order, key).sortWithinPartitions(order)
     if not parts:
-        return replace(new, path)
+        return replace(placed(new), path)
     table = read(spark, path)
     if set(new.columns) != set(table.columns):
         raise ValueError(f"columns differ: {sorted(set(new.columns) ^ set(table.columns))}")
     new = new.select(*[F.col(f.name).cast(f.dataType) for f in table.schema])
     layers = parts[1:]
     if len(layers) >= MOST_LAYERS or any(w.key != key for w in layers) or _bytes(spark, layers) > _bytes(spark, parts[:1]):
-        return replace(upserted(table, new, key), path)
-    at = _write(new, path, before, key)
+        return replace(placed(upserted(table, new, key)), path)
+    at = _write(placed(new), path, before, key)
     if spark.read.parquet(at).isEmpty():
         fs, none = _fs(spark, at)
         fs.delete(none, True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.config import Config
 from folioflow.functions.dates import compact_date
-from folioflow.operators import corpus, evaluation, models, ordering, state, telemetry
+from folioflow.operators import corpus, evaluation, models, ordering, search, state, telemetry
 from folioflow.operators.search import Filters
 from folioflow.sinks import notes, snapshots
 from folioflow.sources import atom, files
@@ -381,6 +381,15 @@ def test_ingest_and_tools(spark, tmp_path):
     assert {r.stage for r in store.table("state").collect()} == {"done"}
     plain = Tools(store)._pool("topic1 words 1", Filters(), "chunk", 2)[1].orderBy("rank").collect()
     assert [r.score for r in plain] == sorted((r.score for r in plain), reverse=True)  # the fused order, without a reranker
+    # the stored words give what taking the texts apart gives, for every kind and filter, and the scan gets the words
+    for f, kind in ((Filters(published_after=date(2024, 1, 2)), "chunk"), (Filters(), "summary")):
+        scoped = Filters(f.categories, f.published_after, f.published_before, kind)
+        for question in ("topic1 Words 1 words", "", "text about topic2"):
+            apart = search.hybrid(store.table("vectors"), Tools(store)._question(question), scoped, 0.5, 32)
+            stored = Tools(store)._pool(question, f, kind, 2)[0]
+            assert sorted(map(tuple, stored.select("id", "score", "rank").collect())) == sorted(map(tuple, apart.select("id", "score", "rank").collect()))
+    scan = Tools(store)._terms(Tools(store)._question("topic1 words"))._jdf.queryExecution().executedPlan().toString()
+    assert "In(token, [" in scan
     tools = Tools(store, rerank=lambda q, texts: [float("topic1" in t) for t in texts])
     rows, cover = tools.semantic_search("topic1 words 1", k=2)
     got = rows.collect()
@@ -392,6 +401,7 @@ def test_ingest_and_tools(spark, tmp_path):
         tools.get_paper("zz")
     gone = store.delete(ids(spark, "p0", "zz"))
     assert {r.id for r in gone.collect()} == {"p0:c0", "p0:c1", "p0:summary"} and store.table("vectors").count() == 6
+    assert {r.paper_id for r in store.table("terms").collect()} == {"p1", "p2"}
 
 
 def test_ingest_goes_on_past_bad_papers_and_stops(spark, tmp_path, capsys):
