@@ -117,9 +117,24 @@ def distance(mean: str = "mean", inverse: str = "inverse") -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
+#: Columns of an estimate's whitening: the upper triangle of U and then U * mean, where U'U is the inverse.
+WHITE = [f"w{n}" for n in range(len(PAIRS) + len(VECTOR))]
+
+
+def whitened_distance() -> Column:
+    """`distance` as the squared length of U * vector - U * mean: each column is named few times, so that what Spark compiles of it stays small and fast."""
+    parts = [-F.col(w) for w in WHITE[len(PAIRS) :]]
+    for n, (i, j) in enumerate(PAIRS):
+        parts[i] = parts[i] + F.col(WHITE[n]) * F.col(VECTOR[j])
+    total = F.pow(parts[0], F.lit(2.0))
+    for p in parts[1:]:
+        total = total + F.pow(p, F.lit(2.0))
+    return total
+
+
 _D = T.ArrayType(T.DoubleType())
 _DRAWN = T.StructType([T.StructField("grp", T.StringType()), T.StructField("n", T.DoubleType()), T.StructField("mean", _D), T.StructField("inverse", _D), T.StructField("cov", _D)])
-_FIT = T.StructType([*_DRAWN, T.StructField("start", T.IntegerType()), T.StructField("logdet", T.DoubleType())])
+_FIT = T.StructType([*_DRAWN, T.StructField("start", T.IntegerType()), T.StructField("logdet", T.DoubleType()), T.StructField("white", _D)])
 
 
 def _square(upper: list[float]) -> np.ndarray:
@@ -147,7 +162,9 @@ def _refit(batches):
             # the kept share of a normal cloud is narrower than the whole; 1.4 brings six dimensions at 0.7 about back
             cov = (_square(np.array(r.products) / n) - np.outer(mean, mean)) * 1.4 + np.diag([LEAST_SPREAD[v] ** 2 for v in VECTOR])
             cov = _invertible(cov)
-            out.append((r.grp, n, mean.tolist(), _upper(np.linalg.inv(cov)), _upper(cov), r.start, float(np.linalg.slogdet(cov)[1])))
+            inverse = np.linalg.inv(cov)
+            u = np.linalg.cholesky((inverse + inverse.T) / 2).T
+            out.append((r.grp, n, mean.tolist(), _upper(inverse), _upper(cov), r.start, float(np.linalg.slogdet(cov)[1]), _upper(u) + (u @ mean).tolist()))
         yield pd.DataFrame(out, columns=[f.name for f in _FIT])
 
 
@@ -189,14 +206,17 @@ def concentrated(rows: DataFrame) -> DataFrame:
     med = _small(rows.groupBy("grp").agg(*[F.percentile_approx(v, 0.5).alias(f"m_{v}") for v in VECTOR]), "mcd-medians")
     mad = rows.join(med, "grp").groupBy("grp").agg(*[F.first(f"m_{v}").alias(f"m_{v}") for v in VECTOR], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{v}")), 0.5).alias(f"d_{v}") for v in VECTOR])
     spread = [F.pow(F.greatest(F.lit(1.4826) * F.col(f"d_{v}"), F.lit(LEAST_SPREAD[v])), F.lit(-2.0)) for v in VECTOR]
-    robust = mad.select("grp", F.lit(0).alias("start"), F.lit(0.0).alias("n"), F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.array(*[F.lit(0.0)] * len(PAIRS)).alias("cov"), F.lit(0.0).alias("logdet"))
+    robust = mad.select("grp", F.lit(0).alias("start"), F.lit(0.0).alias("n"), F.array(*[F.col(f"m_{v}") for v in VECTOR]).alias("mean"), F.array(*[spread[i] if i == j else F.lit(0.0) for i, j in PAIRS]).alias("inverse"), F.array(*[F.lit(0.0)] * len(PAIRS)).alias("cov"), F.lit(0.0).alias("logdet"), F.array(*[F.sqrt(spread[i]) if i == j else F.lit(0.0) for i, j in PAIRS], *[F.sqrt(x) * F.col(f"m_{v}") for x, v in zip(spread, VECTOR, strict=True)]).alias("white"))
     plain = _moments(rows.withColumn("start", F.lit(1))).mapInPandas(_refit, _FIT)
     fit = _small(robust.unionByName(plain), "mcd-start")
     discard(med)
     for step in range(STEPS):
-        cut = rows.join(fit.select("grp", "start", "mean", "inverse"), "grp").groupBy("grp", "start").agg(F.percentile_approx(distance(), SUPPORT, 10_000).alias("cut"))
-        cuts = _small(cut.join(fit.select("grp", "start", "mean", "inverse"), ["grp", "start"]), f"mcd-cut{step}")
-        kept = rows.join(cuts, "grp").filter(distance() <= F.col("cut"))
+        white = fit.select("grp", "start", *[F.col("white")[n].alias(w) for n, w in enumerate(WHITE)])
+        far = rows.join(white, "grp").select("grp", "start", whitened_distance().alias("d"))
+        # d is read twice, so that Spark computes it in compiled code below the aggregate, which would evaluate it node by node
+        cut = far.groupBy("grp", "start").agg(F.percentile_approx("d", SUPPORT, 10_000).alias("cut"), F.count("d").alias("n")).filter("n > 0").drop("n")
+        cuts = _small(cut.join(white, ["grp", "start"]), f"mcd-cut{step}")
+        kept = rows.join(cuts, "grp").filter(whitened_distance() <= F.col("cut"))
         new = _small(_moments(kept).mapInPandas(_refit, _FIT), f"mcd-{step}")
         discard(fit, cuts)
         fit = new
