@@ -13,6 +13,7 @@ from folioflow.llm.quality_rules import op8_quality_rules
 from folioflow.llm.secrets import op5_secrets
 from folioflow.llm.sql import OP3_SQL, OP6_SQL
 from folioflow.llm.suffix_dedup import op3_suffix_dedup
+from folioflow.llm.token_counts import op13_token_counts
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL = {"op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
