@@ -8,10 +8,11 @@ from folioflow.llm.mixing import OP9_SQL, op9_mixing
 from folioflow.llm.ngram_join import op6_ngram_join
 from folioflow.llm.packing import op7_packing
 from folioflow.llm.pii import op4_pii
+from folioflow.llm.prefix_trie import op11_prefix_trie
 from folioflow.llm.quality_classifier import op10_quality_classifier
 from folioflow.llm.quality_rules import op8_quality_rules
 from folioflow.llm.secrets import op5_secrets
-from folioflow.llm.sql import OP3_SQL, OP6_SQL
+from folioflow.llm.sql import OP3_SQL, OP6_SQL, OP11_SQL
 from folioflow.llm.suffix_dedup import op3_suffix_dedup
 from folioflow.llm.token_counts import op13_token_counts
 
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_token_counts": op13_token_counts,
 }
 
-SQL = {"op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL}
+SQL = {"op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL}

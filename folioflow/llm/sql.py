@@ -45,3 +45,43 @@ SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, c
   sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
 FROM bytes LEFT JOIN cut USING (doc_id)
 """
+
+
+def crc32_sql(x: str) -> str:
+    """CRC-32 of a string of ASCII characters, bit by bit."""
+    step = "lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END"
+    codes = f"list_transform(string_split({x}, ''), lambda c: cast(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), {step})), 4294967295)"
+
+
+OP11_SQL = f"""
+WITH own AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) - 1 AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+convs AS (
+  SELECT conv_id, count(*) AS n, {crc32_sql("cast(conv_id AS VARCHAR)")} % 9 AS h, conv_id - conv_id % 5 AS base FROM own GROUP BY conv_id),
+turns AS (
+  SELECT c.conv_id, place, role, text FROM convs c JOIN own o ON o.conv_id = c.base WHERE place < h
+  UNION ALL
+  SELECT c.conv_id, place - c.h + least(c.h, coalesce(b.n, 0)), role, text FROM convs c JOIN own o ON o.conv_id = c.conv_id LEFT JOIN convs b ON b.conv_id = c.base WHERE place >= c.h),
+rebuilt AS (
+  SELECT conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY place) FILTER (place IS NOT NULL), []) AS s FROM convs LEFT JOIN turns USING (conv_id) GROUP BY conv_id),
+paths AS (
+  SELECT conv_id AS member, d AS depth, s[1:d] AS prefix, d = len(s) AS ended, CASE WHEN d = 0 THEN 0 ELSE strlen(s[d].text) END AS size
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT depth, prefix, min(member) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS saved, coalesce(string_agg(cast(member AS VARCHAR), ',' ORDER BY member) FILTER (ended), '') AS ends
+  FROM paths GROUP BY depth, prefix),
+lines AS (
+  SELECT member, depth, n.conv_id AS node FROM paths JOIN nodes n USING (depth, prefix)),
+linked AS (
+  SELECT n.conv_id, n.depth, n_convs, saved, ends, p.node AS parent FROM nodes n LEFT JOIN lines p ON p.member = n.conv_id AND p.depth = n.depth - 1),
+children AS (
+  SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY ALL),
+counted AS (
+  SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN children USING (conv_id, depth)),
+below AS (
+  SELECT l.node AS conv_id, l.depth, count(*) FILTER (n_children = 0) AS n_leaves, cast(sum(saved) AS BIGINT) AS saved_tokens
+  FROM counted c JOIN lines l ON l.member = c.conv_id AND l.depth <= c.depth GROUP BY ALL)
+SELECT conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM counted JOIN below USING (conv_id, depth)
+"""
