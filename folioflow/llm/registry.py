@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from folioflow.llm.fingerprints import op2_fingerprints
 from folioflow.llm.language_id import op1_language_id
+from folioflow.llm.merkle_manifest import op12_merkle_manifest
 from folioflow.llm.mixing import OP9_SQL, op9_mixing
 from folioflow.llm.ngram_join import op6_ngram_join
 from folioflow.llm.packing import op7_packing
@@ -12,7 +13,7 @@ from folioflow.llm.prefix_trie import op11_prefix_trie
 from folioflow.llm.quality_classifier import op10_quality_classifier
 from folioflow.llm.quality_rules import op8_quality_rules
 from folioflow.llm.secrets import op5_secrets
-from folioflow.llm.sql import OP3_SQL, OP6_SQL, OP11_SQL
+from folioflow.llm.sql import OP3_SQL, OP6_SQL, OP11_SQL, OP12_SQL
 from folioflow.llm.suffix_dedup import op3_suffix_dedup
 from folioflow.llm.token_counts import op13_token_counts
 
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_counts": op13_token_counts,
 }
 
-SQL = {"op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+SQL = {"op3_suffix_dedup": OP3_SQL, "op6_ngram_join": OP6_SQL, "op9_mixing": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

@@ -85,3 +85,48 @@ below AS (
   FROM counted c JOIN lines l ON l.member = c.conv_id AND l.depth <= c.depth GROUP BY ALL)
 SELECT conv_id, depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM counted JOIN below USING (conv_id, depth)
 """
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda c: f"coalesce(strlen(cast({c} AS VARCHAR)) || ':' || {c}, '-')"
+    return f"sha256({' || '.join(map(field, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+_BESIDE = """coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h) OVER w, '') AS before, coalesce(lead(h) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS after"""
+OP12_SQL = f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, CASE WHEN {crc32_sql("cast(doc_id AS VARCHAR)")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS claimed FROM documents),
+leaves AS (
+  SELECT *, row_number() OVER o - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM rows_ WINDOW o AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)),
+nodes AS (
+  SELECT source, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT source, level + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY source, level, i // 3),
+subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper_ AS (
+  SELECT 0 AS level, i, n, h FROM subroots
+  UNION ALL
+  SELECT level + 1, i // 3, any_value((n + 2) // 3), sha256(string_agg(h, '' ORDER BY i)) FROM upper_ WHERE n > 1 GROUP BY level, i // 3),
+beside AS (
+  SELECT source, level, i, n, {_BESIDE} FROM nodes WINDOW w AS (PARTITION BY source, level, i // 3 ORDER BY i)),
+upper_beside AS (
+  SELECT level, i, n, {_BESIDE} FROM upper_ WINDOW w AS (PARTITION BY level, i // 3 ORDER BY i)),
+climbs AS (
+  SELECT l.source, l.i AS leaf_i, 0 AS level, l.i, claimed AS h, '' AS proof FROM leaves l
+  UNION ALL
+  SELECT c.source, leaf_i, c.level + 1, c.i // 3, sha256(before || c.h || after), proof || before || after
+  FROM climbs c JOIN beside b ON b.source IS NOT DISTINCT FROM c.source AND b.level = c.level AND b.i = c.i WHERE b.n > 1),
+arrived AS (
+  SELECT source, leaf_i, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM climbs GROUP BY source, leaf_i),
+upper_climbs AS (
+  SELECT a.source, leaf_i, 0 AS level, s.i, a.h, proof FROM arrived a JOIN subroots s ON s.source IS NOT DISTINCT FROM a.source
+  UNION ALL
+  SELECT source, leaf_i, c.level + 1, c.i // 3, sha256(before || c.h || after), proof || before || after
+  FROM upper_climbs c JOIN upper_beside b ON b.level = c.level AND b.i = c.i WHERE b.n > 1),
+ended AS (
+  SELECT source, leaf_i, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM upper_climbs GROUP BY source, leaf_i)
+SELECT l.doc_id, l.leaf, s.h AS subroot, u.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = u.h AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN ended e ON e.source IS NOT DISTINCT FROM l.source AND e.leaf_i = l.i
+JOIN (SELECT h FROM upper_ WHERE n = 1) u ON true
+"""
