@@ -1,4 +1,4 @@
-"""Command line: python -m folioflow {query,ingest,search,papers,paper,span,delete,export,snapshot,integrity,funnel,failures} ..."""
+"""Command line: python -m folioflow {query,ingest,search,papers,paper,span,delete,export,snapshot,vacuum,integrity,funnel,failures} ..."""
 
 from __future__ import annotations
 
@@ -55,6 +55,8 @@ def _parser() -> argparse.ArgumentParser:
     n = sub.add_parser("snapshot")
     n.add_argument("path")
     n.add_argument("--keep", type=int, default=5)
+    v = sub.add_parser("vacuum", help="remove commits but the newest, and what none of them names")
+    v.add_argument("--keep", type=int, default=8)
     for name in ("integrity", "funnel", "failures"):
         sub.add_parser(name)
     return p
@@ -64,6 +66,13 @@ def as_json(rows: DataFrame) -> list[str]:
     return [json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in rows.collect()]
 
 
+def _shown(rows: DataFrame, most: int) -> None:
+    """The first rows, and how many there are."""
+    rows.show(most, truncate=False)
+    n = rows.count()
+    print(f"{n} rows" + (f", {n - most} not shown" if n > most else ""))
+
+
 def main(argv: list[str] | None = None) -> None:
     p = _parser()
     a = p.parse_args(argv)
@@ -101,19 +110,24 @@ def main(argv: list[str] | None = None) -> None:
         from folioflow.operators.retrieval import sections_of
         from folioflow.sinks.notes import export
 
-        papers = store.table("papers").orderBy("paper_id")
+        now = store.here()
+        papers = now.table("papers").orderBy("paper_id")
         papers = papers.limit(a.limit) if a.limit else papers
-        export(papers.join(sections_of(store.table("blocks")), "paper_id", "left").join(store.table("summaries").select("paper_id", F.col("text").alias("summary")), "paper_id", "left"), a.path)
+        export(papers.join(sections_of(now.table("blocks")), "paper_id", "left").join(now.table("summaries").select("paper_id", F.col("text").alias("summary")), "paper_id", "left"), a.path)
     elif a.command == "snapshot":
         from folioflow.sinks.snapshots import snapshot
 
-        print(snapshot({t: df for t in TABLES if (df := store.table(t)) is not None}, a.path, a.keep))
+        now = store.here()  # one commit of all tables, whatever is written meanwhile
+        print(snapshot({t: df for t in TABLES if (df := now.table(t)) is not None}, a.path, a.keep))
+    elif a.command == "vacuum":
+        print(f"{store.vacuum(kept=a.keep)} parts removed")
     elif a.command == "integrity":
         from folioflow.operators.state import incomplete
 
-        incomplete(store.table("state"), store.table("papers"), store.table("chunks"), store.table("blocks")).show(100)
+        now = store.here()
+        _shown(incomplete(now.table("state"), now.table("papers"), now.table("chunks"), now.table("blocks")), 100)
     elif a.command == "failures":
-        store.table("quarantine").orderBy("ts", "paper_id").show(1000, truncate=False)
+        _shown(store.table("quarantine").orderBy("ts", "paper_id"), 1000)
     else:
         from folioflow.operators.state import funnel
 

@@ -42,6 +42,24 @@ def embedder(call: Callable[[list[str]], list[list[float]]], dim: int):
     return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))
 
 
+def unit_vectors(call: Callable[[list[str]], list[list[float]]]) -> Callable[[list[str]], list[list[float]]]:
+    """`call` held to a vector for each text, none of zeros and all numbers finite; vectors of length one."""
+
+    def checked(texts: list[str]) -> list[list[float]]:
+        vectors = [] if not texts else list(call([t or "" for t in texts]))
+        if len(vectors) != len(texts):
+            raise ValueError(f"{len(vectors)} vectors for {len(texts)} texts")
+        out = []
+        for v in vectors:
+            n = sum(x * x for x in v) ** 0.5
+            if not 0 < n < float("inf"):
+                raise ValueError("zero vector" if n == 0 else "a vector that is not finite")
+            out.append([x / n for x in v])
+        return out
+
+    return checked
+
+
 def fake_vectors(texts: list[str], dim: int = DIM) -> list[list[float]]:
     """Gaussian numbers seeded by the text's SHA-256."""
     out = []

@@ -14,12 +14,18 @@ from folioflow.plans.ingest import Store
 
 
 class Tools:
+    """Each call reads the store as it is when the call begins."""
+
     def __init__(self, store: Store, embed: Callable | None = None, rerank: Callable | None = None, weight: float = 0.5, depth: int = retrieval.POOL):
         self.store, self.weight, self.depth = store, weight, depth
         self.embed, self.rerank = embed or models.fake_vectors, rerank
 
+    def _now(self) -> Tools:
+        """These tools with the store as it is now, whatever is written while a call runs."""
+        return Tools(self.store.here(), self.embed, self.rerank, self.weight, self.depth)
+
     def _question(self, query: str) -> DataFrame:
-        v = models.embedder(self.embed, models.DIM)
+        v = models.embedder(self.embed, self.store.dimension() or models.DIM)
         return self.store.spark.createDataFrame([(0, query)], "query_id int, text string").withColumn("vector", v("text"))
 
     def _terms(self, question: DataFrame) -> DataFrame | None:
@@ -44,24 +50,25 @@ class Tools:
 
     def semantic_search(self, query: str, filters: Filters = Filters(), k: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(passages with citations in order of place, coverage)."""
-        n = retrieval.clamp_k(k)
-        pool, hits = self._pool(query, filters, "chunk", n)
-        chunks = self.store.table("chunks").select("chunk_id", "paper_id", F.col("anchor.block_id").alias("block_id"), "text")
-        out = retrieval.grounded(hits, chunks, self.store.table("papers").select("paper_id", "title"), self.store.table("blocks"), n, retrieval.pool_size(n, self.depth))
+        n, now = retrieval.clamp_k(k), self._now()
+        pool, hits = now._pool(query, filters, "chunk", n)
+        chunks = now.store.table("chunks").select("chunk_id", "paper_id", F.col("anchor.block_id").alias("block_id"), "text")
+        out = retrieval.grounded(hits, chunks, now.store.table("papers").select("paper_id", "title"), now.store.table("blocks"), n, retrieval.pool_size(n, self.depth))
         return out.orderBy("place"), retrieval.coverage(pool, out)
 
     def search_papers(self, query: str, filters: Filters = Filters(), k: int | None = None) -> tuple[DataFrame, DataFrame]:
-        n = retrieval.clamp_k(k)
-        pool, hits = self._pool(query, filters, "summary", n)
-        out = retrieval.paper_results(hits, self.store.table("summaries"), self.store.table("papers"), retrieval.sections_of(self.store.table("blocks")), n)
+        n, now = retrieval.clamp_k(k), self._now()
+        pool, hits = now._pool(query, filters, "summary", n)
+        out = retrieval.paper_results(hits, now.store.table("summaries"), now.store.table("papers"), retrieval.sections_of(now.store.table("blocks")), n)
         return out.orderBy("place"), retrieval.coverage(pool, out)
 
     def get_paper(self, paper_id: str) -> DataFrame:
         """One row; an error for an unknown paper."""
-        p = self.store.table("papers").filter(F.col("paper_id") == paper_id)
+        now = self.store.here()
+        p = now.table("papers").filter(F.col("paper_id") == paper_id)
         if not p.limit(1).count():
             raise KeyError(paper_id)
-        return p.join(retrieval.sections_of(self.store.table("blocks")), "paper_id", "left").join(self.store.table("summaries").select("paper_id", F.col("text").alias("summary")), "paper_id", "left")
+        return p.join(retrieval.sections_of(now.table("blocks")), "paper_id", "left").join(now.table("summaries").select("paper_id", F.col("text").alias("summary")), "paper_id", "left")
 
     def get_span(self, block_id: str) -> DataFrame:
         return retrieval.span(self.store.table("blocks"), block_id)
