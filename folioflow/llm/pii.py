@@ -7,11 +7,12 @@ DataFrame functions throughout. The matches of an expression are set between two
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import documents
+from folioflow.llm.common import documents, own_name
 
 #: Two noncharacters set around matches; where a text has them they count as a third.
 OPEN, CLOSE, OTHER = "﷐", "﷑", "﷒"
@@ -19,6 +20,8 @@ OPEN, CLOSE, OTHER = "﷐", "﷑", "﷒"
 NEAR = 40
 #: A span is reported from this score on.
 LEAST_SCORE = 0.6
+#: A text is cut to blocks of so many characters, in which a match's neighbourhood is found without counting from the text's head.
+CUT = 256
 #: Running sums go by runs of this many.
 RUN = 128
 
@@ -127,10 +130,13 @@ def with_spans(docs: DataFrame, kinds: list[Kind] = KINDS, text: str = "text", p
     for k in kinds:
         p = F.col(f"{prefix}{k.name}")
         out = out.withColumn(f"{prefix}{k.name}", F.when(p.isNotNull(), F.zip_with(p["pieces"], running_sums(F.transform(p["pieces"], lambda x: F.length(x) - 1)), _placed(p["head"]))))
+    blocks, some = own_name(out, "blocks"), [F.col(f"{prefix}{k.name}").isNotNull() for k in kinds if k.context]
+    if some:
+        out = out.withColumn(blocks, F.when(reduce(Column.__or__, some), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))))
     for k in kinds:
         p = F.col(f"{prefix}{k.name}")
-        out = out.withColumn(f"{prefix}{k.name}", F.when(p.isNotNull(), F.filter(F.transform(F.filter(p, _confirmed(k)), _scored(k, text)), lambda m: m["score"] >= LEAST_SCORE)))
-    return out
+        out = out.withColumn(f"{prefix}{k.name}", F.when(p.isNotNull(), F.filter(F.transform(F.filter(p, _confirmed(k)), _scored(k, blocks)), lambda m: m["score"] >= LEAST_SCORE)))
+    return out.drop(blocks)
 
 
 def _placed(head: Column):
@@ -153,13 +159,18 @@ def _is(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def _scored(kind: Kind, text: str):
+def _stretch(blocks: Column, at: Column, n: Column) -> Column:
+    """`n` characters, CUT at most, of the text from `at` on."""
+    b = F.floor(at / CUT).cast("int")
+    return F.substring(F.concat(F.coalesce(F.get(blocks, b), F.lit("")), F.coalesce(F.get(blocks, b + 1), F.lit(""))), at % CUT + 1, n)
+
+
+def _scored(kind: Kind, blocks: str):
     def score(m: Column) -> Column:
         s = F.lit(kind.score)
         if kind.context:
             at = F.greatest(m["start"] - NEAR, F.lit(0))
-            c = F.col(text)
-            near = F.concat_ws("\n", F.substring(c, at + 1, m["start"] - at), F.substring(c, m["end"] + 1, F.lit(NEAR)))
+            near = F.concat_ws("\n", _stretch(F.col(blocks), at, m["start"] - at), _stretch(F.col(blocks), m["end"], F.lit(NEAR)))
             s = s + F.when(F.lower(near).rlike(kind.context), kind.bonus).otherwise(0.0)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), m["match"].alias("match"), s.alias("score"))
 

@@ -664,3 +664,23 @@ def test_quality_classifier(spark, sf_dir):
     m = r.merge(spark.read.parquet(f"{sf_dir}/labels.parquet").toPandas(), on="doc_id")
     held = m[m.held_out]
     assert (held.predicted == held.quality).mean() >= 0.85
+
+
+def test_pii_of_many_matches(spark):
+    """Context is found beside every match of a text with many, over characters of several bytes too."""
+    import random
+
+    from folioflow.llm.pii import find_personal_data
+
+    rng = random.Random(2)
+    parts, want, at = [], [], 0
+    for i in range(3000):
+        gap, near = "𝔘é." * rng.randint(20, 30), rng.random() < 0.5
+        word, number = ("call me: " if near else "number: "), f"555-{i % 900 + 100}-{i % 9000 + 1000}"
+        parts.append(gap + word + number)
+        if near:
+            start = at + len(gap) + len(word)
+            want.append((start, start + len(number)))
+        at += len(parts[-1])
+    found = find_personal_data(spark.createDataFrame([(1, "".join(parts))], "doc_id long, text string")).first().pii
+    assert [(m.start, m.end) for m in found if m.kind == "local_phone"] == want
