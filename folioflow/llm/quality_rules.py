@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.llm.common import discard, documents, own_name, ship, text_udf, written
-from folioflow.llm.text import code_points, combine, is_space, mix, prefix_hash, segment_sums, span_hash, words
+from folioflow.llm.text import code_points, combine, is_space, mix, prefix_hash, run_hashes, segment_sums, words
 
 #: Share of a group that a concentration step keeps, and the number of steps.
 SUPPORT, STEPS = 0.7, 4
@@ -59,14 +59,14 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     stop = np.append(breaks, len(buf))[lines + 1]
     stop = stop - ((stop > begin) & (stop <= len(buf)) & (buf[np.maximum(stop - 1, 0)] == 10) if len(buf) else 0)
     doc = np.searchsorted(offsets, begin, side="right") - 1
-    key = mix(span_hash(prefix, begin, stop) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = mix(run_hashes(buf, prefix, begin, stop) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     n_lines = np.bincount(doc, minlength=n)
     _, at = np.unique(key, return_index=True)
     n_dup = n_lines - np.bincount(doc[at], minlength=n)
 
     # words covered by a three-word window that its text has twice or more
     repeat = np.zeros(n, np.int64)
-    grams = combine(span_hash(prefix, starts, ends), 3)
+    grams = combine(run_hashes(buf, prefix, starts, ends), 3)
     if len(grams):
         owner = np.repeat(np.arange(n), n_words)
         inside = owner[: len(grams)] == owner[2:]

@@ -1,13 +1,15 @@
 """Vectorised text primitives on Arrow buffers: byte slices, words, word hashes, shingle hashes.
 
 A word is a maximal run of bytes other than space and 0x09-0x0D. Hashes are 64-bit: a polynomial of
-random byte values modulo 2**64 over the run, finalised together with its length.
+random byte values modulo 2**64 over the run, finalised together with its length. Such sums are weak on long runs made for it
+(Thue-Morse words of 1,024 bytes agree for any odd base), so words and lines of more than LONG bytes get BLAKE2b.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +17,8 @@ import pyarrow as pa
 #: Bytes of text worked on at once; a longer single text is worked on alone.
 CHUNK_BYTES = 1 << 20
 
+#: Bytes of a run that the polynomial alone may stand for.
+LONG = 64
 BASE = 0x9E3779B97F4A7C15 | 1
 _SEED = 20240607
 
@@ -109,10 +113,20 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def run_hashes(buf: np.ndarray, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run: `span_hash`, of long ones BLAKE2b."""
+    out = span_hash(prefix, starts, ends)
+    long = np.flatnonzero(ends - starts > LONG)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(buf))
+        out[long] = [int.from_bytes(blake2b(raw[a:b], digest_size=8).digest(), "little") for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
 def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, index of each text's first word)."""
     starts, ends, first = words(buf, offsets)
-    return span_hash(prefix_hash(buf), starts, ends), first
+    return run_hashes(buf, prefix_hash(buf), starts, ends), first
 
 
 def combine(hashes: np.ndarray, size: int) -> np.ndarray:

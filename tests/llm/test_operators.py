@@ -684,3 +684,27 @@ def test_pii_of_many_matches(spark):
         at += len(parts[-1])
     found = find_personal_data(spark.createDataFrame([(1, "".join(parts))], "doc_id long, text string")).first().pii
     assert [(m.start, m.end) for m in found if m.kind == "local_phone"] == want
+
+
+def thue_morse(n, a, b):
+    """Two different words of n bytes whose polynomial sums agree modulo 2**64 for any odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join(a if x else b for x in bits), "".join(b if x else a for x in bits)
+
+
+def test_crafted_words_and_lines_are_told_apart(spark):
+    """Words and lines made to agree under the polynomial hash: op2, op6 and op8 see that they differ."""
+    from folioflow.llm import fingerprints, ngram_join, quality_rules
+    from folioflow.llm.text import run_hashes, prefix_hash, span_hash
+
+    one, two = thue_morse(1024, "a", "c")
+    raw = np.frombuffer((one + two).encode(), np.uint8)
+    at, to = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(span_hash(prefix_hash(raw), at, to).tolist())) == 1 and len(set(run_hashes(raw, prefix_hash(raw), at, to).tolist())) == 2
+    docs = spark.createDataFrame([(1, one, "en", "a", 1024), (2, two, "en", "a", 1024)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id, r.class_id, r.n_links) for r in ngram_join.near_duplicates(docs).collect()} == {(1, 1, 0), (2, 2, 0)}
+    prints = {r.doc_id: r.fingerprint for r in fingerprints.with_fingerprint(docs).collect()}
+    assert prints[1] != prints[2]
+    buf = np.frombuffer(f"{one}\n{two}\n{one}".encode(), np.uint8)
+    found = dict(zip([f.name for f in quality_rules.STATS], quality_rules.statistics(buf, np.array([0, len(buf)])), strict=True))
+    assert int(found["n_dup_lines"][0]) == 1
