@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.dates import between
 from folioflow.functions.text import tokens
-from folioflow.functions.vectors import dot, norm
+from folioflow.operators import vector_index
 from folioflow.operators.fusion import ranked, rrf
 
 #: Rows of a channel.
 CHANNEL = 10_000
-#: Questions of a batch that are sent to every task, and bytes of them, at most.
+#: Questions that count as few: they are sent to every task.
 MOST_QUESTIONS = 1000
 
 
@@ -43,19 +43,9 @@ def filtered(collection: DataFrame, filters: Filters = Filters()) -> DataFrame:
     return out
 
 
-def dense_scores(collection: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, id, score: cosine of every row of the collection with each question (query_id, vector), 0 for a zero vector."""
-    few = questions.limit(MOST_QUESTIONS + 1).count() <= MOST_QUESTIONS
-    q = questions.select("query_id", "vector", norm(F.col("vector")).alias("q_norm"))
-    rows = collection.select("id", "embedding", norm(F.col("embedding")).alias("norm"))
-    # a stated set of questions against all rows; beyond MOST_QUESTIONS they are dealt out instead of sent to every task
-    pairs = rows.crossJoin(F.broadcast(q)) if few else rows.crossJoin(q)
-    score = F.when((F.col("norm") == 0) | (F.col("q_norm") == 0), 0.0).otherwise(dot(F.col("embedding"), F.col("vector")) / (F.col("norm") * F.col("q_norm")))
-    return pairs.select("query_id", "id", F.round(score, 9).alias("score"))
-
-
 def dense(collection: DataFrame, questions: DataFrame, most: int = CHANNEL) -> DataFrame:
-    return ranked(dense_scores(collection, questions), ["query_id"], most)
+    """query_id, id, score, rank: the rows of highest cosine with each question (query_id, vector), 0 for a zero vector; a row without a vector has no score."""
+    return ranked(vector_index.scores(collection, questions, most), ["query_id"], most)
 
 
 def term_counts(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

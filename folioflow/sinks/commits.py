@@ -5,7 +5,7 @@ reader sees all tables of one commit or all of the one before, wherever a writer
 the commit that it began with.
 
 A table's parts are the whole of it (`rows`), and layers over that: `over` has new rows in place of all rows of
-its keys, `gone` has keys alone. Both write in proportion to what changes; a read lays them over the rest, and a table
+its keys, `gone` has keys alone, `more` has rows that are added. All write in proportion to what changes; a read lays them over the rest, and a table
 that carries too much of them is written whole again within the change that would add to it.
 """
 
@@ -35,7 +35,7 @@ class Conflict(RuntimeError):
 
 
 class Part(NamedTuple):
-    kind: str  # rows, over, gone
+    kind: str  # rows, over, gone, more
     at: str  # folder below the tables' own
     key: str | None = None
     order: str | None = None  # column by which files hold ranges
@@ -115,13 +115,13 @@ class Tables:
         if not parts:
             return None
         at = lambda p, sub: f"{self.path}/{p.at}/{sub}"
-        number = F.regexp_extract("_metadata.file_path", r"/(?:rows|over|gone)-(\d+)-[^/]*/[^/]*/[^/]*$", 1).cast("long")
+        number = F.regexp_extract("_metadata.file_path", r"/(?:rows|over|gone|more)-(\d+)-[^/]*/[^/]*/[^/]*$", 1).cast("long")
         rows = self.spark.read.parquet(*[at(p, "rows") for p in parts if p.kind != "gone"])
         layers = parts[1:]
         if not layers:
             return rows
         out = rows.select("*", number.alias("__number"))
-        for key in dict.fromkeys(p.key for p in layers):
+        for key in dict.fromkeys(p.key for p in layers if p.key):
             keys = self.spark.read.parquet(*[at(p, "keys") for p in layers if p.key == key])
             newest = keys.select(key, number.alias("__layer")).groupBy(key).agg(F.max("__layer").alias("__newest"))
             out = out.join(newest, key, "left").filter(F.col("__newest").isNull() | (F.col("__newest") <= F.col("__number"))).drop("__newest")
@@ -212,6 +212,18 @@ class Change:
         if not (written.isEmpty() and self._keys(at, key).isEmpty()):
             self._lay(name, Part("over", at, key))
 
+    def append(self, name: str, new: DataFrame, order: str | None = None) -> None:
+        """`new` besides the rows that are there; its columns are the table's."""
+        have = self.parts.get(name)
+        if not have:
+            return self.replace(name, new, order)
+        table = self.tables._rows(have[:1])
+        if set(new.columns) != set(table.columns):
+            raise ValueError(f"columns differ: {sorted(set(new.columns) ^ set(table.columns))}")
+        at = self._new(name, "more")
+        self._write(new.select(*[F.col(f.name).cast(f.dataType) for f in table.schema]), at, "rows", have[0].order)
+        self._lay(name, Part("more", at))
+
     def delete(self, name: str, keys: DataFrame, key: str = "paper_id") -> None:
         """No row of these keys any more; only the keys are written. A table that isn't there has none."""
         have = self.parts.get(name)
@@ -264,6 +276,32 @@ class Change:
             self.drop()
 
 
+def checksum(df: DataFrame) -> tuple[int, int]:
+    """(rows, a sum over all rows that no order changes): equal of equal tables, copies counted."""
+    columns = sorted(df.columns)
+    one = F.conv(F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(one), F.lit(0)).cast("decimal(38,0)").alias("s")).first()
+    return r.n, int(r.s)
+
+
+class Differs(RuntimeError):
+    """A shadow copy that doesn't hold what it was copied from."""
+
+
+def rebuild(tables: Tables, name: str) -> tuple[int, int]:
+    """A table written whole again without its layers: a shadow copy is read back and held against the table by rows and checksum, and takes its place only if they agree.
+
+    Gives (rows, checksum). Readers see the one or the other; refused with Differs, nothing has changed.
+    """
+    with tables.change() as c:
+        before = checksum(c.read(name))
+        c.replace(name, c.read(name), c.parts[name][0].order)
+        after = checksum(c.read(name))
+        if before != after:
+            raise Differs(f"{name}: {before} before, {after} after")
+    return after
+
+
 def row_total(tables: Tables) -> DataFrame:
     """table_name, n of one commit."""
     now = tables.here()
