@@ -124,6 +124,31 @@ def references(raw: DataFrame, structured: DataFrame) -> DataFrame:
     return j.select("paper_id", "pos", "raw", "title", F.coalesce("arxiv_id", arxiv_id(F.col("raw"))).alias("arxiv_id"), F.coalesce("doi", doi(F.col("raw"))).alias("doi"))
 
 
+#: A reference of a parser's XML as far as it is read. Titles and ids may have attributes.
+_TITLES, _IDS = "title:array<struct<_VALUE:string>>", "idno:array<struct<_type:string,_VALUE:string>>"
+STRUCT = f"struct<analytic:struct<{_TITLES},{_IDS}>,monogr:struct<{_TITLES},{_IDS}>,{_IDS}>"
+
+
+def tei_references(tei: DataFrame, xml: str = "xml") -> tuple[DataFrame, DataFrame]:
+    """(references: paper_id, pos, title, doi, arxiv_id; failures: paper_id, error_type, error) of a parser's XML (paper_id, xml).
+
+    A reference is a `biblStruct` element; its title is the article's, or else that of what it is in; ids are its `idno` elements of type
+    DOI and arXiv, the first of each. XML that can't be read fails its paper for now: the service may give better. A null text has no references.
+    """
+    whole = F.from_xml(F.col(xml), "struct<_bad:string>", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    seen = tei.select("paper_id", F.col(xml).alias("xml"), whole["_bad"].alias("bad"))
+    failures = seen.filter("bad IS NOT NULL").select("paper_id", F.lit("TransientError").alias("error_type"), F.lit("unreadable XML of references").alias("error"))
+    each = seen.filter("bad IS NULL AND xml IS NOT NULL").select("paper_id", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<(?:\w+:)?biblStruct\b[^>]*/>|<(?:\w+:)?biblStruct\b.*?</(?:\w+:)?biblStruct>"), F.lit(0))).alias("pos", "one"))
+    # the names of a prefix are those without it
+    each = each.select("paper_id", "pos", F.from_xml(F.regexp_replace("one", r"(</?)\w+:(?=\w)", "$1"), STRUCT, {"rowTag": "biblStruct"}).alias("b"))
+    first = lambda items: F.nullif(F.trim(F.get(items, F.lit(0))["_VALUE"]), F.lit(""))
+    every = F.concat(*[F.coalesce(c, F.array().cast("array<struct<_type:string,_VALUE:string>>")) for c in (F.col("b.analytic.idno"), F.col("b.monogr.idno"), F.col("b.idno"))])
+    of = lambda kind: first(F.filter(every, lambda i: i["_type"] == kind))
+    has = lambda part: F.coalesce(F.size(f"b.{part}.title"), F.lit(0)) > 0
+    title = F.when(has("analytic"), first(F.col("b.analytic.title"))).otherwise(first(F.col("b.monogr.title")))
+    return each.select("paper_id", "pos", title.alias("title"), of("DOI").alias("doi"), of("arXiv").alias("arxiv_id")), failures
+
+
 def latest_versions(refs: DataFrame, seen: str = "seen") -> DataFrame:
     """One row a paper: the numerically greatest version (v10 over v9), of equal ones the first seen."""
     w = Window.partitionBy("paper_id").orderBy(F.desc(version_number(F.col("version"))), F.asc(seen))

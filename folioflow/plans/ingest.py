@@ -24,7 +24,7 @@ LEAST_CONTEXT = 4_096
 #: Words of a paper that a summary is made from, at most.
 SUMMARY_WORDS = int((CONTEXT - PROMPT) / TOKENS_PER_WORD)
 #: Tables with rows of papers.
-OF_PAPERS = ("papers", "blocks", "chunks", "summaries", "terms", "vectors", "state")
+OF_PAPERS = ("papers", "blocks", "chunks", "summaries", "terms", "vectors", "references", "figures", "tables", "state")
 
 
 def context_size(text: F.Column) -> F.Column:
@@ -178,5 +178,32 @@ def ingest(store: Store, papers: DataFrame, blocks: DataFrame, embed: Callable |
         reached(c, todo, "done")
 
 
+def ingest_layout(store: Store, papers: DataFrame, items: DataFrame, pages: DataFrame, tei: DataFrame | None = None, contents: DataFrame | None = None, **how) -> None:
+    """Ingest of papers from a parser's layout items and pages, with their figures, tables and references stored.
+
+    `tei`: the parser's XML of references (paper_id, xml), joined to the raw ones by place. `contents` (paper_id, content): bytes that aren't
+    a PDF send their paper to quarantine, as does XML that can't be read. `how`: of `ingest`. Papers that are parsed already are left alone.
+    """
+    ids = papers.select("paper_id").distinct()
+    todo = store.pending(ids, "parsed")
+    own_items, own_pages = (df.join(todo, "paper_id", "left_semi") for df in (items, pages))
+    bad = store.spark.createDataFrame([], "paper_id string, error_type string, error string")
+    if contents is not None:
+        why = parsing.bad_document(F.col("content"))
+        bad = bad.unionByName(contents.join(todo, "paper_id", "left_semi").select("paper_id", F.lit("PermanentError").alias("error_type"), why.alias("error")).filter("error IS NOT NULL"))
+    structured = store.spark.createDataFrame([], "paper_id string, pos int, title string, doi string, arxiv_id string")
+    if tei is not None:
+        structured, unreadable = parsing.tei_references(tei.join(todo, "paper_id", "left_semi"))
+        bad = bad.unionByName(unreadable)
+    bad = kept(bad, "unreadable")
+    good = kept(todo.join(bad, "paper_id", "left_anti"), "readable")
+    with store.change() as c:
+        c.put("references", parsing.references(parsing.raw_references(own_items, own_pages).join(good, "paper_id", "left_semi"), structured), keys=todo)
+        for name, rows in (("figures", parsing.figures(own_items, own_pages)), ("tables", parsing.tables(own_items, own_pages))):
+            c.put(name, rows.join(good, "paper_id", "left_semi"), keys=todo)
+        reject(c, bad)
+    ingest(store, papers, parsing.blocks(own_items, own_pages), **how)
+
+
 def _of(c: Change, name: str, some: DataFrame) -> DataFrame:
     return c.read(name).join(some, "paper_id", "left_semi")

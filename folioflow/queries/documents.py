@@ -206,7 +206,24 @@ def fake_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", models.embedder(models.fake_vectors, models.DIM)("text").alias("vector"))
 
 
-QUERIES = {f.__name__: f for f in (runlength_groups, greedy_chunks, chunk_overlap_carry, chunk_texts, section_path_stack, snippet, word_counts, tf_bag, doc_freq_idf, token_ids, heading_depths, summary_prep, fake_summaries, latest_version, version_sort_v10, atom_entries, id_regex_extract, parsed_blocks, parsed_tables, parsed_figures, raw_references, assembled_documents, page_lists, normalized_items, fake_embed)}
+def tei_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference for each line, of four forms in turn, as a parser's XML of its document, every eleventh of which is broken."""
+    b = tables.blocks(spark, sf_dir)
+    n, title = F.col("idx").cast("string"), F.concat(F.lit("T "), F.md5("text"))
+    forms = [
+        F.concat(F.lit('<biblStruct xml:id="b"><analytic><title level="a" type="main">'), title, F.lit('</title><idno type="DOI">10.1/'), n, F.lit('</idno></analytic><monogr><title level="j">J</title></monogr></biblStruct>')),
+        F.concat(F.lit("<biblStruct>\n<monogr><title>"), title, F.lit('</title><idno type="PMID">1</idno><idno type="arXiv">2401.'), n, F.lit("</idno></monogr>\n</biblStruct>")),
+        F.lit("<biblStruct ><monogr/></biblStruct>"),
+        F.concat(F.lit('<biblStruct><analytic><title/></analytic><monogr><title level="m">'), title, F.lit('</title></monogr><idno type="DOI"> 10.2/'), n, F.lit(' </idno><idno type="DOI">10.3/x</idno></biblStruct>')),
+    ]
+    one = F.element_at(F.array(*forms), F.col("idx") % 4 + 1)
+    head, tail = '<?xml version="1.0" encoding="UTF-8"?><TEI xmlns="http://www.tei-c.org/ns/1.0"><text><back><div><listBibl>', "</listBibl></div></back></text></TEI>"
+    xml = F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", one.alias("one")))), lambda x: x["one"]), ""), F.when(F.col("paper_id").cast("int") % 11 == 0, "<oops>").otherwise(tail))
+    good, bad = parsing.tei_references(b.groupBy("paper_id").agg(xml.alias("xml")))
+    return good.select("paper_id", F.col("pos").cast("long").alias("pos"), "title", "doi", "arxiv_id", F.lit(None).cast("string").alias("error")).unionByName(bad.select("paper_id", "error"), allowMissingColumns=True)
+
+
+QUERIES = {f.__name__: f for f in (tei_references, runlength_groups, greedy_chunks, chunk_overlap_carry, chunk_texts, section_path_stack, snippet, word_counts, tf_bag, doc_freq_idf, token_ids, heading_depths, summary_prep, fake_summaries, latest_version, version_sort_v10, atom_entries, id_regex_extract, parsed_blocks, parsed_tables, parsed_figures, raw_references, assembled_documents, page_lists, normalized_items, fake_embed)}
 
 _W = f"len({words('text')})"
 _RUNS = """marked AS (SELECT *, CASE WHEN idx > min(idx) OVER (PARTITION BY paper_id) AND section_path IS DISTINCT FROM lag(section_path) OVER (PARTITION BY paper_id ORDER BY idx) THEN 1 ELSE 0 END AS new FROM {0}),
@@ -240,6 +257,9 @@ used AS (SELECT * FROM items WHERE type NOT IN ('header', 'footnote') AND idx %
 pathed AS (SELECT *, last_value(CASE WHEN level2 AND type = 'text' THEN text END IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY idx) AS path FROM used)""")
 
 SQL = {
+    "tei_references": with_(BLOCKS) + """SELECT paper_id, cast(idx AS BIGINT) AS pos, CASE WHEN idx % 4 < 2 THEN 'T ' || md5(text) END AS title, CASE idx % 4 WHEN 0 THEN '10.1/' || idx WHEN 3 THEN '10.2/' || idx END AS doi,
+CASE WHEN idx % 4 = 1 THEN '2401.' || idx END AS arxiv_id, NULL AS error FROM blocks WHERE cast(paper_id AS INTEGER) % 11 <> 0
+UNION ALL SELECT DISTINCT paper_id, NULL, NULL, NULL, NULL, 'unreadable XML of references' FROM blocks WHERE cast(paper_id AS INTEGER) % 11 = 0""",
     "runlength_groups": with_("turns AS (SELECT cast(conv_id AS VARCHAR) AS paper_id, turn AS idx, CASE WHEN role = 'system' THEN 'sys' ELSE 'dlg' END AS section_path FROM conversations)", _RUNS.format("turns")) + "SELECT paper_id, cast(grp AS BIGINT) AS grp, max(section_path) AS section_path, min(idx) AS first_idx, count(*) AS n FROM runs GROUP BY paper_id, grp",
     "greedy_chunks": _CHUNKED + "SELECT block_id, cast(grp AS BIGINT) AS grp, cast(part AS BIGINT) AS part, chunk_index, cast(words AS BIGINT) AS words FROM parts",
     "chunk_overlap_carry": _CHUNKED + "SELECT paper_id, cast(grp AS BIGINT) AS grp, cast(part AS BIGINT) AS part, cast(overlap_idx AS BIGINT) AS overlap_idx FROM carried",

@@ -49,6 +49,8 @@ def index(papers: DataFrame) -> DataFrame:
 
 
 def export(papers: DataFrame, path: str) -> None:
-    """Notes as rows under path/notes, a folder for each file, and the index under path/index."""
-    rendered(papers).select("file", F.col("note").alias("value")).write.mode("overwrite").partitionBy("file").text(f"{path}/notes")
+    """Notes as files path/notes/<slug>.md, one a paper, each whole or not there, and the index under path/index."""
+    from folioflow.sinks.file_rows import save
+
+    save(rendered(papers).select("file", F.col("note").alias("value")), f"{path}/notes")
     index(papers).write.mode("overwrite").text(f"{path}/index")

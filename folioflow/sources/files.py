@@ -28,6 +28,20 @@ def cached(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
     return f.select(F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1).alias("paper_id"), F.col("length").alias("bytes"))
 
 
+def cache(papers: DataFrame, path: str) -> None:
+    """PDFs (paper_id, content, and the fields of REF) as path/<paper_id>.pdf, then their references as path/<paper_id>.json: a sidecar has its PDF, wherever this stops."""
+    from folioflow.sinks.file_rows import save
+
+    save(papers.select(F.concat("paper_id", F.lit(".pdf")).alias("file"), F.col("content").alias("value")), path)
+    fields = [f.split()[0] for f in REF.split(", ")]
+    save(papers.select(F.concat("paper_id", F.lit(".json")).alias("file"), F.to_json(F.struct(*[f for f in fields if f in papers.columns])).alias("value")), path)
+
+
+def sidecars(spark: SparkSession, path: str) -> DataFrame:
+    """The references beside cached PDFs."""
+    return spark.read.schema(REF).option("pathGlobFilter", "*.json").json(path)
+
+
 def cache_totals(spark: SparkSession, path: str, suffix: str = "pdf") -> DataFrame:
     return cached(spark, path, suffix).agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
@@ -59,6 +73,13 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.md$", 1).alias("paper_id"), F.col("value").alias("markdown"))
 
 
+def with_markdown(papers: DataFrame, texts: DataFrame) -> DataFrame:
+    """`papers` (paper_id, ...) with their markdown; a paper whose text isn't there is an error, named when its row is read."""
+    j = papers.join(texts.select("paper_id", F.col("markdown"), F.lit(True).alias("__there")), "paper_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no text of paper "), F.col("paper_id"))).cast("string")
+    return j.select(*[papers[c] for c in papers.columns], F.when(F.col("__there"), F.col("markdown")).otherwise(missing).alias("markdown"))
+
+
 def append_event(spark: SparkSession, path: str, **fields) -> None:
     """One more line of the log."""
     names = [f.split()[0] for f in EVENT.split(", ")]

@@ -164,8 +164,122 @@ def test_feed_stops_at_the_cap_and_tries_again(spark, tmp_path):
         atom.harvest(spark, ["x"], 1, folder=str(tmp_path), ordering="random").collect()
 
 
+GROWING = """
+import json
+LOG, SIZE = {log!r}, {size!r}
+def fetch(request):
+    with open(LOG, "a") as f:
+        f.write(json.dumps(request) + "\\n")
+    with open(SIZE) as f:
+        n = json.load(f)[0 if '"x"' in request["search_query"] else 1]
+    some = range(request["start"], min(n, request["start"] + request["max_results"]))
+    base = 1000 if '"x"' in request["search_query"] else 5000
+    return "<feed xmlns='http://www.w3.org/2005/Atom'>" + "".join({entry!r}.format("2401.%05dv1" % (base + i)) for i in some) + "</feed>"
+"""
+
+
+def test_feed_gets_filters(spark, tmp_path):
+    """A plain filter narrows the query that the feed is asked; Spark applies it as well."""
+    log, size = tmp_path / "requests", tmp_path / "size"
+    size.write_text("[5, 5]")
+    (tmp_path / "growing_fetcher.py").write_text(GROWING.format(log=str(log), size=str(size), entry=ENTRY))
+    spark.sparkContext.addPyFile(str(tmp_path / "growing_fetcher.py"))
+    feed = lambda: atom._feed(spark, terms='["x"]', fetch="growing_fetcher:fetch", pause_s="0")
+    asked = lambda: json.loads(log.read_text().splitlines()[0])["search_query"]
+    day = F.col("published")
+    for where, query, rows in (
+        ((day >= date(2024, 1, 1)) & (day < date(2024, 2, 1)), 'all:"x" AND submittedDate:[202401010000 TO 202402012359]', 5),
+        ((day == date(2024, 1, 1)), 'all:"x" AND submittedDate:[202401010000 TO 202401012359]', 0),
+        (F.col("primary_category").isin("stat.ME", "cs.LG"), 'all:"x" AND (cat:stat.ME OR cat:cs.LG)', 5),
+        (F.array_contains("categories", "cs.LG"), 'all:"x"', 0),
+        (F.col("primary_category") == "no such!", 'all:"x"', 0),
+    ):
+        log.write_text("")
+        assert feed().filter(where).count() == rows and asked() == query
+
+
+def test_feed_as_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    log, size = tmp_path / "requests", tmp_path / "size"
+    size.write_text("[250, 30]")
+    (tmp_path / "growing_fetcher_2.py").write_text(GROWING.format(log=str(log), size=str(size), entry=ENTRY))
+    fetch = f"{tmp_path}/growing_fetcher_2.py:fetch"
+
+    def run():
+        s = atom.stream(spark, ["x", "y"], fetch=fetch, pause_s="0", pages="2").select("paper_id", "term_pos", "pos")
+        q = s.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r.term_pos, r.pos, r.paper_id) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    want = lambda x, y: [(0, i, f"2401.{1000 + i:05d}") for i in range(x)] + [(1, i, f"2401.{5000 + i:05d}") for i in range(y)]
+    assert run() == want(250, 30)
+    requests = [json.loads(r) for r in log.read_text().splitlines()]
+    assert {r["sortOrder"] for r in requests} == {"ascending"} and [r["start"] for r in requests if '"x"' in r["search_query"]][:3] == [0, 100, 200]
+    size.write_text("[260, 45]")
+    assert run() == want(260, 45)  # what came meanwhile, nothing twice
+    assert run() == want(260, 45)
+    reader = atom.AtomStream({"terms": '["x", "y"]', "fetch": fetch, "pause_s": "0"})
+    again = [r[-1] for r in reader.readBetweenOffsets({"read": [90, 0]}, {"read": [210, 0]})]
+    assert again == list(range(90, 210))  # a batch again has just its entries
+    with pytest.raises(RuntimeError, match="has lost"):
+        list(reader.readBetweenOffsets({"read": [0, 45]}, {"read": [0, 50]}))
+
+
+def test_files_of_rows(spark, tmp_path):
+    from folioflow.sinks.file_rows import save
+
+    top = tmp_path / "out"
+    save(spark.createDataFrame([("a.md", "one"), ("sub/b.md", "zwei ü"), ("c.md", None)], "file string, value string").repartition(3), str(top))
+    assert {str(p.relative_to(top)): p.read_text() for p in top.rglob("*") if p.is_file()} == {"a.md": "one", "sub/b.md": "zwei ü", "c.md": ""}
+    # a task that fails midway leaves whole files alone
+    rows = spark.range(40, numPartitions=2).select(F.concat(F.lit("n"), "id", F.lit(".md")).alias("file"), F.when(F.col("id") == 33, F.raise_error(F.lit("stop"))).otherwise(F.repeat(F.lit("x"), 50_000)).alias("value"))
+    with pytest.raises(Exception, match="stop"):
+        save(rows, str(top))
+    assert {p.stat().st_size for p in top.glob("n*.md")} <= {50_000} and not (top / ".partial").exists()
+    for bad in ("../x", "/etc/x", "", None):
+        with pytest.raises(Exception, match="not a file's name"):
+            save(spark.createDataFrame([(bad, "v")], "file string, value string"), str(top))
+    pdfs = spark.createDataFrame([("p1", "v1", "T", bytearray(b"%PDF-1")), ("p2", "v1", "U", bytearray(b"%PDF-2"))], "paper_id string, version string, title string, content binary")
+    files.cache(pdfs, str(tmp_path / "cache"))
+    assert (tmp_path / "cache/p2.pdf").read_bytes() == b"%PDF-2"
+    assert sorted((r.paper_id, r.title) for r in files.sidecars(spark, str(tmp_path / "cache")).collect()) == [("p1", "T"), ("p2", "U")]
+    (tmp_path / "md").mkdir()
+    (tmp_path / "md/p1.md").write_text("text")
+    texts = files.markdown(spark, str(tmp_path / "md"))
+    assert [r.markdown for r in files.with_markdown(ids(spark, "p1"), texts).collect()] == ["text"]
+    with pytest.raises(Exception, match="no text of paper p9"):
+        files.with_markdown(ids(spark, "p9"), texts).collect()
+
+
+def test_layout_to_store(spark, tmp_path):
+    """Layout items and the parser's XML become blocks, references, figures; bytes and XML that can't be read go to quarantine."""
+    from folioflow.plans.ingest import Store, ingest_layout
+
+    papers = spark.createDataFrame([(f"p{i}", f"# T{i}\ntext", ["c"], date(2024, 1, 1)) for i in range(4)], "paper_id string, markdown string, categories array<string>, published date")
+    box = [100.0, 100.0, 500.0, 200.0]
+    items = spark.createDataFrame(
+        [(f"p{i}", 0, "text", 0, box, f"words {i}", None, None, None) for i in range(3)] + [(f"p{i}", 1, "list", 0, box, None, "ref_text", ["[1] see doi:10.9999/raw", "[2] arXiv:2401.00001"], None) for i in range(3)] + [("p0", 2, "image", 0, box, None, None, None, "a.png")],
+        "paper_id string, pos int, type string, page_idx int, bbox array<double>, text string, sub_type string, list_items array<string>, img_path string",
+    )
+    for c, kind in (("text_level", "int"), ("table_body", "string"), ("table_caption", "array<string>"), ("image_caption", "array<string>"), ("chart_caption", "array<string>")):
+        items = items.withColumn(c, F.lit(None).cast(kind))
+    pages = spark.createDataFrame([(f"p{i}", 0, 600.0, 800.0) for i in range(4)], "paper_id string, page_idx int, width double, height double")
+    xml = '<TEI><listBibl><biblStruct><analytic><title level="a">One</title></analytic></biblStruct></listBibl></TEI>'
+    tei = spark.createDataFrame([("p0", xml), ("p1", "<TEI><broken>"), ("p2", None)], "paper_id string, xml string")
+    contents = spark.createDataFrame([(f"p{i}", bytearray(b"\x1f\x8b" if i == 3 else b"%PDF-1")) for i in range(4)], "paper_id string, content binary")
+    store = Store(spark, str(tmp_path))
+    for _ in range(2):
+        ingest_layout(store, papers, items, pages, tei, contents)
+        assert {r.paper_id: (r.error_type, r.error) for r in store.table("quarantine").collect()} == {"p1": ("TransientError", "unreadable XML of references"), "p3": ("PermanentError", "gzip")}
+        refs = {(r.paper_id, r.pos): (r.title, r.doi, r.arxiv_id) for r in store.table("references").collect()}
+        assert refs == {("p0", 0): ("One", "10.9999/raw", None), ("p0", 1): (None, None, "2401.00001"), ("p2", 0): (None, "10.9999/raw", None), ("p2", 1): (None, None, "2401.00001")}
+        assert {r.paper_id for r in store.table("state").filter("stage = 'done'").collect()} == {"p0", "p2"} and store.table("figures").count() == 1
+    store.delete(ids(spark, "p0"))
+    assert {r.paper_id for r in store.table("references").collect()} == {"p2"} and store.table("figures").count() == 0
+
+
 def test_feed_query():
-    assert atom.search_query("a b", ["stat.ME", "cs.LG"], "2024-01-02") == 'all:"a b" AND (cat:stat.ME OR cat:cs.LG) AND submittedDate:[20240102 TO *]'
+    assert atom.search_query("a b", ["stat.ME", "cs.LG"], "2024-01-02") == 'all:"a b" AND (cat:stat.ME OR cat:cs.LG) AND submittedDate:[202401020000 TO *]'
     for bad in (('a"b',), ("a", ["BAD!"]), ("a", None, "soon")):
         with pytest.raises(ValueError):
             atom.search_query(*bad)
