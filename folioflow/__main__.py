@@ -1,4 +1,4 @@
-"""Command line: python -m folioflow {query,ingest,search,papers,paper,span,delete,export,snapshot,vacuum,integrity,funnel,failures} ..."""
+"""Command line: python -m folioflow {query,harvest,ingest,build,eval,search,papers,paper,span,delete,export,snapshot,vacuum,integrity,funnel,failures} ..."""
 
 from __future__ import annotations
 
@@ -38,6 +38,23 @@ def _parser() -> argparse.ArgumentParser:
     i.add_argument("blocks")
     i.add_argument("--topic", nargs="*")
     i.add_argument("--summarize", type=_callable)
+    h = sub.add_parser("harvest", help="references that the settings ask for, as Parquet")
+    h.add_argument("path")
+    h.add_argument("--fetch", help="package.module:name, or /path/file.py:name, of the feed's client")
+    h.add_argument("--folder", help="pages of the feed as files")
+    b = sub.add_parser("build", help="ingest batches of Parquet of papers and blocks until a target is done")
+    b.add_argument("papers")
+    b.add_argument("blocks")
+    b.add_argument("--target", type=int)
+    b.add_argument("--batch", type=int, default=500)
+    b.add_argument("--summarize", type=_callable)
+    v = sub.add_parser("eval", help="recall and reciprocal ranks of questions with gold results")
+    v.add_argument("truth", help="a JSON array of questions")
+    v.add_argument("--blind", help="a JSON array of question texts")
+    v.add_argument("-k", type=int, default=10)
+    v.add_argument("--report", help="a folder for the report")
+    v.add_argument("--limit", type=int, help="the first questions alone")
+    v.add_argument("--no-per-question", action="store_true")
     for name in ("search", "papers"):
         s = sub.add_parser(name)
         s.add_argument("text")
@@ -90,6 +107,31 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "ingest":
         topic = a.topic or (list(settings.focus_area_queries) if settings else None)
         ingest(store, spark.read.parquet(a.papers), spark.read.parquet(a.blocks), a.embed, topic, summarize=a.summarize)
+    elif a.command == "harvest":
+        from folioflow.plans.build import harvested
+
+        if settings is None:
+            p.error("harvest takes --settings")
+        harvested(spark, settings, store.table("state"), **{k: x for k, x in (("fetch", a.fetch), ("folder", a.folder)) if x}).write.mode("overwrite").parquet(a.path)
+    elif a.command == "build":
+        from folioflow.plans.build import build
+
+        if settings is None:
+            p.error("build takes --settings")
+        own = lambda path, ids: spark.read.parquet(path).join(ids, "paper_id", "left_semi")
+        run = lambda ids: ingest(store, own(a.papers, ids), own(a.blocks, ids), a.embed, list(settings.focus_area_queries), summarize=a.summarize)
+        print(build(store, settings, lambda: spark.read.parquet(a.papers), run, a.target, batch=a.batch))
+    elif a.command == "eval":
+        from folioflow.operators.evaluation import questions
+        from folioflow.plans import evaluate
+        from folioflow.sources.files import ground_truth
+
+        truth = ground_truth(spark, a.truth)
+        asked = questions(truth, ground_truth(spark, a.blind) if a.blind else truth)
+        asked = asked.orderBy("question_id").limit(a.limit) if a.limit else asked
+        ranks = evaluate.evaluated(store, asked, a.k, a.embed, a.rerank, *((settings.hybrid_dense_weight, settings.rerank_depth) if settings else ()))
+        out = evaluate.write(ranks, a.k, a.report, not a.no_per_question) if a.report else evaluate.report(ranks, a.k, False)
+        print(evaluate.summary(out))
     elif a.command in ("search", "papers"):
         if a.after and a.before and a.after > a.before:
             p.error("--after lies behind --before")

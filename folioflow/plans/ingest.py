@@ -23,6 +23,8 @@ CONTEXT, PROMPT, TOKENS_PER_WORD = 16_384, 200, 2.2
 LEAST_CONTEXT = 4_096
 #: Words of a paper that a summary is made from, at most.
 SUMMARY_WORDS = int((CONTEXT - PROMPT) / TOKENS_PER_WORD)
+#: The stage that a paper begins with here.
+FIRST = "parsed"
 #: Tables with rows of papers.
 OF_PAPERS = ("papers", "blocks", "chunks", "summaries", "terms", "vectors", "references", "figures", "tables", "state")
 
@@ -86,13 +88,18 @@ class Store:
             reject(c, failures)
 
     def pending(self, todo: DataFrame, stage: str) -> DataFrame:
-        """paper_id of the papers that are neither there yet nor in quarantine, as a table: what follows changes both."""
+        """paper_id of the papers that aren't there yet, as a table, since what follows changes the state.
+
+        For the first stage those are all that haven't failed for good: one that a service failed for a time is tried again. For a later one they are
+        those that have come through an earlier one.
+        """
         now = self.here()
         out, state, dead = todo, now.table("state"), now.table("quarantine")
         if state is not None:
-            out = worklist(out, state, stage).select("paper_id")
-        if dead is not None:
-            out = out.join(dead, "paper_id", "left_anti")
+            out = worklist(out, state, stage)
+            out = (out if stage == FIRST else out.filter("stage IS NOT NULL")).select("paper_id")
+        if stage == FIRST and dead is not None:
+            out = out.join(dead.filter("error_type = 'PermanentError'"), "paper_id", "left_anti")
         return kept(out.select("paper_id").distinct(), "pending")
 
     def vacuum(self, **limits: int) -> int:
@@ -202,7 +209,7 @@ def ingest_layout(store: Store, papers: DataFrame, items: DataFrame, pages: Data
         for name, rows in (("figures", parsing.figures(own_items, own_pages)), ("tables", parsing.tables(own_items, own_pages))):
             c.put(name, rows.join(good, "paper_id", "left_semi"), keys=todo)
         reject(c, bad)
-    ingest(store, papers, parsing.blocks(own_items, own_pages), **how)
+    ingest(store, papers.join(bad, "paper_id", "left_anti"), parsing.blocks(own_items, own_pages), **how)
 
 
 def _of(c: Change, name: str, some: DataFrame) -> DataFrame:

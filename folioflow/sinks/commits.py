@@ -50,7 +50,7 @@ class Version(NamedTuple):
     tables: dict[str, list[Part]]
 
 
-def _write_file(spark: SparkSession, path: str, text: str) -> None:
+def write_file(spark: SparkSession, path: str, text: str) -> None:
     """A new file, whole or not at all; an error where there is one."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, target = filesystem(spark, path)
@@ -71,7 +71,7 @@ def _write_file(spark: SparkSession, path: str, text: str) -> None:
         raise
 
 
-def _read_file(spark: SparkSession, path: str) -> str:
+def read_file(spark: SparkSession, path: str) -> str:
     fs, p = filesystem(spark, path)
     stream = fs.open(p)
     try:
@@ -100,7 +100,7 @@ class Tables:
         number = self.pinned if self.pinned is not None else (self.numbers() or [0])[-1]
         if not number:
             return Version(0, {})
-        held = json.loads(_read_file(self.spark, self._file(number)))
+        held = json.loads(read_file(self.spark, self._file(number)))
         return Version(number, {t: [Part(*p) for p in parts] for t, parts in held["tables"].items()})
 
     def here(self) -> Tables:
@@ -251,7 +251,7 @@ class Change:
             return self.base.number
         number = self.base.number + 1
         held = {"tables": {t: [list(p) for p in parts] for t, parts in sorted(self.parts.items())}}
-        _write_file(self.tables.spark, self.tables._file(number), json.dumps(held))
+        write_file(self.tables.spark, self.tables._file(number), json.dumps(held))
         self.own = []
         return number
 

@@ -67,7 +67,7 @@ def test_stopped_anywhere_all_tables_are_old_or_new(spark, tmp_path, monkeypatch
         c.delete("two", pairs(spark, ("a", 0)), "k")
         c.put("three", pairs(spark, ("x", 1)), "k")
 
-    real_write, real_file, stops = commits.Change._write, commits._write_file, 0
+    real_write, real_file, stops = commits.Change._write, commits.write_file, 0
     for step in range(20):
         left = [step]
 
@@ -77,7 +77,7 @@ def test_stopped_anywhere_all_tables_are_old_or_new(spark, tmp_path, monkeypatch
             kept[0] -= 1
 
         monkeypatch.setattr(commits.Change, "_write", lambda self, *a, **k: (stop(), real_write(self, *a, **k)))
-        monkeypatch.setattr(commits, "_write_file", lambda *a: (stop(), real_file(*a)))
+        monkeypatch.setattr(commits, "write_file", lambda *a: (stop(), real_file(*a)))
         try:
             with t.change() as c:
                 work(c)
