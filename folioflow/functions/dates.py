@@ -39,3 +39,15 @@ def per_hour(done: Column, elapsed_s: Column) -> Column:
 def eta_s(rate: Column, done: Column, target: Column) -> Column:
     """Seconds to the target; null without a rate or beyond the target."""
     return F.when((rate > 0) & (target > done), (target - done) / rate * 3600.0)
+
+
+#: Fixed value: the form of an HTTP date, without the name of the day.
+HTTP_DATE = "dd MMM yyyy HH:mm:ss 'GMT'"
+
+
+def retry_after_s(header: Column, now: Column) -> Column:
+    """Seconds to wait by a service's Retry-After header: a number of seconds, or a date in UTC less `now`; none less than zero. Null for anything else."""
+    text = F.trim(header)
+    seconds = F.when(text.rlike(r"^[0-9]{1,9}$"), F.try_to_number(text, F.lit("999999999")).cast("double"))
+    moment = F.try_to_timestamp(F.regexp_replace(text, r"^[A-Z][a-z]{2}, ", ""), F.lit(HTTP_DATE))
+    return F.coalesce(seconds, F.when(moment.isNotNull(), F.greatest(F.lit(0.0), (F.unix_micros(moment) - F.unix_micros(now)) / 1e6)))

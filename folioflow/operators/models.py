@@ -130,6 +130,32 @@ def clamped_header(header: Column) -> Column:
     return F.when(F.trim(header) == "", F.lit("")).otherwise(first_words(header, HEADER_WORDS))
 
 
+def generated_headers(chunks: DataFrame, summaries: DataFrame, call: Callable[[list[str]], list[str]], prompt: str, attempts: int = 3, wait_s: float = 0.0) -> DataFrame:
+    """id, header, error_type, error of chunks (id, paper_id, text) with their papers' summaries (paper_id, text).
+
+    `prompt` has {summary} and {chunk}; `call` gets prompts. A blank chunk, and one without a summary, has a blank header and isn't asked about. An
+    answer is cut to HEADER_WORDS words; a blank one is a failure for good of its chunk alone, whose header stays null.
+    """
+    said = summaries.select("paper_id", F.trim("text").alias("summary"))
+    j = chunks.select("id", "paper_id", F.trim("text").alias("chunk")).join(said, "paper_id", "left")
+    # the summary goes in last, so that braces in a chunk aren't taken for its place
+    head, _, tail = prompt.partition("{summary}")
+    put = lambda part: F.replace(F.lit(part), F.lit("{chunk}"), F.col("chunk")) if "{chunk}" in part else F.lit(part)
+    asked = F.concat(put(head), F.col("summary"), put(tail))
+    blank = (F.coalesce("chunk", F.lit("")) == "") | (F.coalesce("summary", F.lit("")) == "")
+    to_ask = j.filter(~blank).select("id", asked.alias("prompt")).withColumn("r", guarded(call, attempts, wait_s=wait_s)("prompt"))
+    empty = F.col("r.ok") & (F.trim(F.coalesce("r.value", F.lit(""))) == "")
+    made = to_ask.select("id", F.when(F.col("r.ok") & ~empty, clamped_header(F.trim("r.value"))).alias("header"), F.when(empty, "PermanentError").otherwise(F.col("r.error_type")).alias("error_type"), F.when(empty, "an empty header").otherwise(F.col("r.error")).alias("error"))
+    none = F.lit(None).cast("string")
+    return made.unionByName(j.filter(blank).select("id", F.lit("").alias("header"), none.alias("error_type"), none.alias("error")))
+
+
+def with_headers(chunks: DataFrame, headers: DataFrame) -> DataFrame:
+    """`chunks` (id, text) with embed_text: the header and a blank line before the text, or the text alone; the text itself stays for word counts."""
+    j = chunks.join(headers.select("id", "header"), "id", "left")
+    return j.withColumn("embed_text", F.when(F.coalesce("header", F.lit("")) != "", F.concat("header", F.lit("\n\n"), "text")).otherwise(F.col("text"))).drop("header")
+
+
 def parsed(documents: DataFrame, parse: Callable[[bytes], list[dict]], schema: T.StructType) -> DataFrame:
     """Rows of `schema` from documents (paper_id, content) by a parser; documents that it can't read give none."""
 

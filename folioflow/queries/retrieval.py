@@ -57,6 +57,11 @@ def rerank_pool_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(retrieval.reranked(_pool(spark, sf_dir)).filter("rank <= 10"))
 
 
+def _bound(spark: SparkSession, sf_dir: str, most: int = 32) -> int:
+    """Hits of all questions at most."""
+    return table(spark, sf_dir, "benchmark").count() * most
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents as the chunks that are stored; the others' vectors are orphans."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi")
@@ -65,7 +70,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def retrieve_grounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = retrieval.reranked(_pool(spark, sf_dir))
-    g = retrieval.grounded(hits, _chunks(spark, sf_dir), tables.papers(spark, sf_dir).select("paper_id", "title"), tables.blocks(spark, sf_dir), 5)
+    g = retrieval.grounded(hits, _chunks(spark, sf_dir), tables.papers(spark, sf_dir).select("paper_id", "title"), tables.blocks(spark, sf_dir), 5, _bound(spark, sf_dir))
     return g.select("query_id", "id", "score", F.col("place").cast("long").alias("place"), "title", "section_path", "url")
 
 
@@ -84,7 +89,7 @@ def retrieve_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = _pool(spark, sf_dir)
-    got = retrieval.grounded(retrieval.reranked(pool), _chunks(spark, sf_dir), tables.papers(spark, sf_dir).select("paper_id", "title"), tables.blocks(spark, sf_dir), 10)
+    got = retrieval.grounded(retrieval.reranked(pool), _chunks(spark, sf_dir), tables.papers(spark, sf_dir).select("paper_id", "title"), tables.blocks(spark, sf_dir), 10, _bound(spark, sf_dir))
     return retrieval.coverage(pool, got)
 
 

@@ -146,3 +146,30 @@ def test_harvest_by_settings_and_prefetch(spark, tmp_path):
     assert {r.paper_id: (r.error_type, r.error) for r in failed.collect()} == {"2401.00003": ("TransientError", "404"), "2401.00002": ("PermanentError", "gzip")}
     assert {r.paper_id for r in cached(spark, path).collect()} == {r.paper_id for r in sidecars(spark, path).collect()} == {"2401.00000", "2401.00004"}
     assert plan.prefetched(spark, refs, known, cached(spark, path), failed, download, path).count() == 0
+
+
+def test_headers(spark):
+    from folioflow.operators import models
+
+    chunks = spark.createDataFrame([("a", "p", "chunk {a}"), ("b", "p", " "), ("c", "q", "no summary"), ("d", "p", "fails"), ("e", "p", "says nothing"), ("f", "p", "long")], "id string, paper_id string, text string")
+    summaries = spark.createDataFrame([("p", "sum {chunk}")], "paper_id string, text string")
+
+    def call(prompts):
+        if any("fails" in p for p in prompts):
+            raise ValueError("refused")
+        return [" " if "nothing" in p else "w " * 500 if "long" in p else f"<{p}>" for p in prompts]
+
+    headers = models.generated_headers(chunks, summaries, call, "S: {summary} C: {chunk}", attempts=1)
+    got = {r.id: (r.header, r.error_type, r.error) for r in headers.collect()}
+    assert got["a"] == ("<S: sum {chunk} C: chunk {a}>", None, None) and got["b"] == got["c"] == ("", None, None)
+    assert got["d"] == (None, "PermanentError", "refused") and got["e"] == (None, "PermanentError", "an empty header") and len(got["f"][0].split()) == models.HEADER_WORDS
+    texts = {r.id: r.embed_text for r in models.with_headers(chunks, headers).collect()}
+    assert texts["a"] == "<S: sum {chunk} C: chunk {a}>\n\nchunk {a}" and texts["c"] == "no summary" and texts["d"] == "fails"
+
+
+def test_retry_after(spark):
+    from folioflow.functions.dates import retry_after_s
+
+    said = {"120": 120.0, " 0 ": 0.0, "Wed, 21 Oct 2015 07:28:30 GMT": 30.0, "Wed, 21 Oct 2015 07:00:00 GMT": 0.0, "soon": None, "": None, "-5": None}
+    rows = spark.createDataFrame([(k,) for k in said] + [(None,)], "h string").select("h", retry_after_s(F.col("h"), F.to_timestamp(F.lit("2015-10-21 07:28:00"))).alias("s"))
+    assert {r.h: r.s for r in rows.collect()} == said | {None: None}
