@@ -3,7 +3,6 @@
 import pytest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `key` string, stats string, kept string, mix string, row string, tag string, __row string, k1 int, band int, score string, language string, secrets string, pii string, cut string, fingerprint string"
-EXTRA = ("x",) * 12 + ()
 
 
 @pytest.fixture(scope="module")

@@ -708,3 +708,78 @@ def test_crafted_words_and_lines_are_told_apart(spark):
     buf = np.frombuffer(f"{one}\n{two}\n{one}".encode(), np.uint8)
     found = dict(zip([f.name for f in quality_rules.STATS], quality_rules.statistics(buf, np.array([0, len(buf)])), strict=True))
     assert int(found["n_dup_lines"][0]) == 1
+
+
+def test_secret_columns_of_the_query(spark, sf_dir, docs):
+    """Every column of op5: counts, the base spans' digest and places, all spans in order."""
+    from folioflow.llm import secrets
+
+    kinds = {"assign": 0, "access": 1, "hex": 2}
+    r = by_id(secrets.op5_secrets(spark, sf_dir))
+    for i, t in enumerate(docs.text):
+        want = [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+        want += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        want.sort(key=lambda s: (s[0], kinds[s[1]]))
+        line = [f"{k}:{a}:{z}" for a, k, z in want]
+        assert r.base_sha256[i] == hashlib.sha256(",".join(line).encode()).hexdigest()
+        assert [int(r[f"n_{k}"][i]) for k in kinds] == [sum(s[1] == k for s in want) for k in kinds]
+        spans = r.spans[i].split(",") if r.spans[i] else []
+        assert [s for s in spans if s.split(":")[0] in kinds] == line
+        starts = [int(s.split(":")[1]) for s in spans]
+        assert starts == sorted(starts) and all(0 <= int(s.split(":")[1]) < int(s.split(":")[2]) <= len(t) for s in spans)
+
+
+def test_language_totals_of_the_query(spark, sf_dir, docs):
+    """op1's language and score of every document from counts kept by hand: known words by log frequency, others by their longest known n-grams."""
+    import regex
+
+    from folioflow.llm import language_id as m
+
+    letters = regex.compile(r"\p{L}+")
+    words = collections.defaultdict(collections.Counter)
+    for i, t, lang in zip(docs.doc_id, docs.text, docs.lang, strict=True):
+        if lang is not None and t is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            words[lang].update(letters.findall(t.lower()))
+    langs = sorted(words)
+    grams = {k: collections.Counter() for k in langs}
+    for k in langs:
+        for w, n in words[k].items():
+            for size in range(1, m.LONGEST + 1):
+                source = w if size == 1 else f" {w} "
+                for at in range(len(source) - size + 1):
+                    grams[k][source[at : at + size]] += n
+    every = collections.Counter()
+    for k in langs:
+        every.update(grams[k])
+    kept = {g for g, n in every.items() if n >= m.LEAST_SEEN}
+
+    def losses(keys, counts):
+        keys = sorted(keys)
+        n = np.array([[counts[k][x] for k in langs] for x in keys], float)
+        log = np.log(n + 0.2) - np.log(n.sum(axis=0) + 0.2 * len(keys))
+        return dict(zip(keys, np.maximum(log - log.max(axis=1, keepdims=True), -m.WORST), strict=True))
+
+    known = losses(set().union(*words.values()), words)
+    by_size = [losses({g for g in kept if len(g) == size}, grams) for size in range(1, m.LONGEST + 1)]
+
+    def word(w):
+        if w in known:
+            return known[w]
+        for size in range(m.LONGEST, 0, -1):
+            source = w if size == 1 else f" {w} "
+            found = [by_size[size - 1][g] for at in range(len(source) - size + 1) if (g := source[at : at + size]) in by_size[size - 1]]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    r = by_id(m.op1_language_id(spark, sf_dir))
+    for i, t in enumerate(docs.text):
+        found = collections.Counter(letters.findall((t or "").lower()))
+        if not found:
+            assert (r.lang_pred[i], r.score[i]) == ("und", 0)
+            continue
+        total = sum(n * word(w) for w, n in found.items())
+        best = int(np.argmax(total))
+        assert r.lang_pred[i] == langs[best]
+        assert abs(r.score[i] - 1 / np.exp(np.maximum(total - total[best], -700)).sum()) < 1e-3
