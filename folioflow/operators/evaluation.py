@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,33 @@ def questions(truth: DataFrame, blind: DataFrame) -> DataFrame:
 def arms(base: DataFrame, variant: DataFrame) -> DataFrame:
     """Two tables of the same ids in one, told apart by `arm`."""
     return base.withColumn("arm", F.lit("base")).unionByName(variant.withColumn("arm", F.lit("variant")))
+
+
+#: Words of an anchor, and items that are named in the plan, at most.
+ANCHOR, MOST_NAMED = 3, 1000
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+
+
+def holders(items: DataFrame, documents: DataFrame) -> DataFrame:
+    """item_id, paper_id: which documents (paper_id, text) hold the whole text of which items (item_id, item).
+
+    The words of an item but its first and last stand in a document as they are, so ANCHOR of them in a row bring the two together by an equal
+    join, and only such pairs are looked at. Items of fewer words are held against every document. An empty item is in every document, a null one in none.
+    """
+    w = _words(F.col("item"))
+    keyed = items.filter("item IS NOT NULL").select("item_id", "item", F.when(F.size(w) >= ANCHOR + 2, F.xxhash64(F.slice(w, 2, ANCHOR))).alias("anchor"))
+    long, short = keyed.filter("anchor IS NOT NULL"), keyed.filter("anchor IS NULL").drop("anchor")
+    d = documents.filter("text IS NOT NULL").select("paper_id", "text", _words(F.col("text")).alias("words"))
+    places = F.sequence(F.lit(1), F.size("words") - (ANCHOR - 1))
+    anchors = F.when(F.size("words") >= ANCHOR, F.transform(places, lambda at: F.xxhash64(F.slice("words", at, F.lit(ANCHOR))))).otherwise(F.array().cast("array<bigint>"))
+    named = long.select("anchor").distinct().limit(MOST_NAMED + 1).collect()
+    if len(named) <= MOST_NAMED:
+        anchors = F.filter(anchors, lambda a: a.isin([r.anchor for r in named]))
+    met = d.select("paper_id", "text", F.explode(F.array_distinct(anchors)).alias("anchor")).join(long, "anchor")
+    both = met.filter(F.contains("text", "item")).select("item_id", "paper_id")
+    # few words, so few items: a stated set of texts against all documents
+    rest = documents.filter("text IS NOT NULL").join(F.broadcast(short) if short.limit(MOST_NAMED + 1).count() <= MOST_NAMED else short, F.contains("text", "item")).select("item_id", "paper_id")
+    return both.unionByName(rest)

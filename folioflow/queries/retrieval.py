@@ -112,9 +112,7 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items with the documents that hold their text, and the block that does."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "text")
-    # a stated set of questions against all documents: few items, sent to every task while they are
-    few = b.limit(search.MOST_QUESTIONS + 1).count() <= search.MOST_QUESTIONS
-    j = d.join(F.broadcast(b) if few else b, F.col("text").contains(F.col("item")))
+    j = evaluation.holders(b, d)
     gold = j.groupBy("item_id").agg(F.sort_array(F.collect_list("paper_id")).alias("gold_paper_ids"))
     kind = F.when(F.length("item") % 3 == 0, "single").when(F.length("item") % 3 == 1, "multi").otherwise("absent")
     return b.join(gold, "item_id", "left").select(F.col("item_id").alias("question_id"), kind.alias("question_type"), F.coalesce("gold_paper_ids", F.array().cast("array<string>")).alias("gold_paper_ids"), F.when(F.size("gold_paper_ids") > 0, F.concat(F.col("gold_paper_ids")[0], F.lit(":b0"))).alias("gold_block_id"))

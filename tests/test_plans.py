@@ -173,3 +173,19 @@ def test_retry_after(spark):
     said = {"120": 120.0, " 0 ": 0.0, "Wed, 21 Oct 2015 07:28:30 GMT": 30.0, "Wed, 21 Oct 2015 07:00:00 GMT": 0.0, "soon": None, "": None, "-5": None}
     rows = spark.createDataFrame([(k,) for k in said] + [(None,)], "h string").select("h", retry_after_s(F.col("h"), F.to_timestamp(F.lit("2015-10-21 07:28:00"))).alias("s"))
     assert {r.h: r.s for r in rows.collect()} == said | {None: None}
+
+
+def test_holders(spark, monkeypatch):
+    import random
+
+    from folioflow.operators import evaluation
+
+    rng = random.Random(6)
+    texts = {f"d{i}": " ".join(rng.choices(["aa", "b", "cc", "dd\n", " e", "ünï"], k=rng.randint(0, 40))) for i in range(80)} | {"none": None}
+    items = {i: (t := texts[f"d{i % 80}"])[(a := rng.randint(0, max(0, len(t) - 1))) : a + rng.choice([1, 5, 12, 25, 60])] for i in range(120)} | {200: None, 201: "", 202: "not there at all in any of them"}
+    want = {(i, d) for i, x in items.items() if x is not None for d, t in texts.items() if t is not None and x in t}
+    a, b = spark.createDataFrame(list(items.items()), "item_id int, item string"), spark.createDataFrame(list(texts.items()), "paper_id string, text string")
+    for most in (1000, 3):
+        monkeypatch.setattr(evaluation, "MOST_NAMED", most)
+        found = [tuple(r) for r in evaluation.holders(a, b).collect()]
+        assert set(found) == want and len(found) == len(want)
