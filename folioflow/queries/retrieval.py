@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.operators import evaluation, retrieval, search
-from folioflow.operators.fusion import ranked, rrf
+from folioflow.operators.fusion import rrf
 from folioflow.operators.search import Filters
 from folioflow.queries.views import BLOCKS, COLLECTION, PAPERS, QUESTIONS, tokens, with_
 from folioflow.sources import tables
