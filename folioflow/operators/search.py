@@ -17,8 +17,6 @@ from folioflow.functions.text import tokens
 from folioflow.operators import vector_index
 from folioflow.operators.fusion import ranked, rrf
 
-#: Rows of a channel.
-CHANNEL = 10_000
 #: Questions that count as few: they are sent to every task.
 MOST_QUESTIONS = 1000
 
@@ -43,8 +41,8 @@ def filtered(collection: DataFrame, filters: Filters = Filters()) -> DataFrame:
     return out
 
 
-def dense(collection: DataFrame, questions: DataFrame, most: int = CHANNEL) -> DataFrame:
-    """query_id, id, score, rank: the rows of highest cosine with each question (query_id, vector), 0 for a zero vector; a row without a vector has no score."""
+def dense(collection: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
+    """query_id, id, score, rank: the `most` rows (all without it) of highest cosine with each question (query_id, vector), 0 for a zero vector; a row without a vector has no score."""
     return ranked(vector_index.scores(collection, questions, most), ["query_id"], most)
 
 
@@ -89,12 +87,12 @@ def term_scores(terms: DataFrame, every: DataFrame, questions: DataFrame, everyt
     return hits.groupBy("query_id", "id").agg(F.round(F.sum(F.col("tf") * F.col("asked") * F.col("idf")), 9).alias("score"))
 
 
-def sparse(scores: DataFrame, most: int = CHANNEL) -> DataFrame:
+def sparse(scores: DataFrame, most: int | None = None) -> DataFrame:
     return ranked(scores.filter("score > 0"), ["query_id"], most)
 
 
 def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filters(), weight: float = 0.5, most: int = 10, channel: str = "tfidf", terms: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score, rank: the `most` best of each question (query_id, vector, text) by both channels fused.
+    """query_id, id, score, rank: the `most` best of each question (query_id, vector, text) by both channels fused, each channel with all its rows.
 
     `terms`: `kept_terms` of the whole collection, or those of all words of the questions, so that no text is taken apart.
     """

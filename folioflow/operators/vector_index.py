@@ -28,6 +28,8 @@ STEPS, SEED = 12, 20240607
 TURN = 1000
 #: Scores are told apart after nine places; a task keeps what may still tie.
 MARGIN = 1e-8
+#: Scores that are worked out at once.
+PAIRS = 1 << 18
 
 
 class Index(NamedTuple):
@@ -94,15 +96,28 @@ def build(collection: DataFrame, path: str, lists: int | None = None) -> Index:
     return Index(path, c)
 
 
-def _best(questions: np.ndarray, most: int, probes: np.ndarray | None, schema: pa.Schema):
-    """Of each batch and question the rows that may be among the `most` best. probes: lists x questions, whether a question goes to a list."""
-    q = unit(questions)
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dot products along the last axis, added up in order of dimension: those of equal vectors are equal to the last bit, wherever they stand."""
+    out = np.zeros(np.broadcast_shapes(x.shape[:-1], y.shape[:-1]))
+    for k in range(x.shape[-1]):
+        out += x[..., k] * y[..., k]
+    return out
+
+
+def _best(questions: np.ndarray, most: int | None, probes: np.ndarray | None, schema: pa.Schema):
+    """Of each batch and question the rows that may be among the `most` best, or all. probes: lists x questions, whether a question goes to a list."""
+    q, long = unit(questions), np.sqrt(_dots(questions, questions))
+
+    def cosine(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = x[i], questions[j]
+        n = np.sqrt(_dots(a, a)) * long[j]
+        return np.divide(_dots(a, b), n, out=np.zeros(n.shape), where=n > 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(matrix(b["embedding"]))
+            x = matrix(b["embedding"])
             if probes is None:
                 groups = [(np.arange(len(x)), np.arange(len(q)))]
             else:
@@ -111,18 +126,24 @@ def _best(questions: np.ndarray, most: int, probes: np.ndarray | None, schema: p
             for rows, asked in groups:
                 if not len(asked):
                     continue
-                score = x[rows] @ q[asked].T
-                keep = np.ones(score.shape, bool)
-                if len(rows) > most:
-                    keep = score >= np.partition(score, len(rows) - most, axis=0)[len(rows) - most] - MARGIN
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(asked[j].astype(np.int32)), b["id"].take(pa.array(rows[i])), pa.array(score[i, j])], schema=schema)
+                if most is None or len(rows) <= most:
+                    several = max(1, PAIRS // len(asked))
+                    for at in range(0, len(rows), several):
+                        r = rows[at : at + several]
+                        score = cosine(x, r[:, None], asked[None, :]).ravel()
+                        yield pa.RecordBatch.from_arrays([pa.array(np.tile(asked, len(r)).astype(np.int32)), b["id"].take(pa.array(np.repeat(r, len(asked)))), pa.array(score)], schema=schema)
+                    continue
+                near = unit(x[rows]) @ q[asked].T
+                i, j = np.nonzero(near >= np.partition(near, len(rows) - most, axis=0)[len(rows) - most] - MARGIN)
+                for at in range(0, len(i), PAIRS):
+                    r, a = rows[i[at : at + PAIRS]], asked[j[at : at + PAIRS]]
+                    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), b["id"].take(pa.array(r)), pa.array(cosine(x, r, a))], schema=schema)
 
     return run
 
 
-def scores(rows: DataFrame, questions: DataFrame, most: int, index: Index | None = None, probe: int | None = None) -> DataFrame:
-    """query_id, id, score: cosines (0 for a zero vector, rounded to nine places) of each question's best rows, `most` and some more.
+def scores(rows: DataFrame, questions: DataFrame, most: int | None, index: Index | None = None, probe: int | None = None) -> DataFrame:
+    """query_id, id, score: cosines (0 for a zero vector, rounded to nine places) of each question's best rows, `most` and some more; None: of all rows.
 
     `index`: `rows` are read from it, and a question goes to its `probe` nearest lists; else all rows count. Rows whose vector is null or
     of another length than a question's have none.
