@@ -56,6 +56,7 @@ def many_connection(many_dir):
 
 
 NAMES = [
+    "hybrid_search_filtered",
     "rrf_fusion",
 ]
 OF_MANY = [
