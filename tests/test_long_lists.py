@@ -60,6 +60,7 @@ NAMES = [
     "rrf_fusion",
 ]
 OF_MANY = [
+    "coverage_counts",
     "eval_grouping_sets",
     "eval_recall_mrr",
     "retrieve_papers",
