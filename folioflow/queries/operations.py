@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import upper
 from folioflow.operators import corpus, state as st, telemetry
 from folioflow.queries.views import BLOCKS, PAPERS, QUARANTINE, STATE, with_
 from folioflow.sinks import notes, snapshots
@@ -39,8 +40,8 @@ def checkpoint_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one language replaced by their upper-case texts, with rows for papers not seen before."""
     d = table(spark, sf_dir, "documents")
-    old = d.filter("lang <> 'es'").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("title"))
-    new = d.filter("lang IN ('es', 'fr')").select(F.col("doc_id").cast("string").alias("paper_id"), F.upper("text").alias("title"))
+    old = d.filter("lang IS DISTINCT FROM 'es'").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("title"))
+    new = d.filter("lang IN ('es', 'fr')").select(F.col("doc_id").cast("string").alias("paper_id"), upper(F.col("text")).alias("title"))
     return st.upserted(old, new)
 
 

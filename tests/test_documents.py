@@ -137,3 +137,28 @@ def test_assembly(spark):
     good, bad = parsing.assembled(md, b)
     assert {r.paper_id: r.markdown for r in good.collect()} == {"a": "one\n\ntwo", "b": "text"}
     assert [r.paper_id for r in bad.collect()] == ["c"]
+
+
+def test_upper_case_by_character(spark):
+    """Every character that may have an upper case, alone and within a text, as the SQL has it."""
+    import duckdb
+
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x11000), 0x1E922, *range(0x10D70, 0x10D86))]
+    texts = [*chars, "", "straße ﬁn ŉa ᾳß", *("aß" + c + "ß" + c + "z" for c in "ßŉᾀǰé")]
+    want = duckdb.connect().execute("SELECT list_transform(?, lambda x: upper(x))", [texts]).fetchall()[0][0]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", tx.upper(F.col("t")).alias("u")).orderBy("n").collect()
+    assert [(t, r.u) for t, r in zip(texts, got, strict=True) if r.u != want[r.n]] == []
+    assert spark.createDataFrame([(None,)], "t string").select(tx.upper(F.col("t"))).first()[0] is None
+
+
+def test_upsert_replaces_by_character_and_keeps_rows_without_a_language(spark, tmp_path):
+    from oracle import compare
+
+    import duckdb
+
+    from folioflow.queries import QUERIES, SQL
+
+    spark.createDataFrame([(1, "straße", "es"), (2, "Maß", "fr"), (3, "gar", None), (4, "Fuß", "de"), (5, None, "es")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    compare(spark, c, QUERIES["upsert_replace"], SQL["upsert_replace"], str(tmp_path))
