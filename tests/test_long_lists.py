@@ -56,6 +56,7 @@ def many_connection(many_dir):
 
 
 NAMES = [
+    "retrieve_grounded",
     "rerank_pool_reverse",
     "hybrid_search_filtered",
     "rrf_fusion",
