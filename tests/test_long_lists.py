@@ -62,6 +62,7 @@ NAMES = [
     "rrf_fusion",
 ]
 OF_MANY = [
+    "orphan_hits",
     "coverage_counts",
     "eval_grouping_sets",
     "eval_recall_mrr",
