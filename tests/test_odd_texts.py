@@ -38,6 +38,7 @@ def odd_connection(odd_dir):
 
 
 NAMES = [
+    "eval_recall_mrr",
     "eval_grouping_sets",
     "rerank_pool_reverse",
 ]
