@@ -38,6 +38,7 @@ def odd_connection(odd_dir):
 
 
 NAMES = [
+    "orphan_hits",
     "hybrid_search_filtered",
     "eval_recall_mrr",
     "eval_grouping_sets",
