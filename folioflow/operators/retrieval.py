@@ -48,11 +48,11 @@ def grounded(hits: DataFrame, chunks: DataFrame, papers: DataFrame, blocks: Data
     j = chunks.join(hits, hits["id"] == chunks["chunk_id"])
     # a hit meets one chunk: what was few stays few
     j = papers.join(few(j, bound), "paper_id")
-    b = blocks.select("block_id", F.col("section_path").alias("block_section"), F.col("text").alias("block_text"))
+    b = blocks.select("block_id", F.col("section_path").alias("block_section"), F.lit(True).alias("stored"))
     if bound is not None and bound <= MOST_HITS:
         b = b.join(F.broadcast(j.select("block_id").distinct()), "block_id", "left_semi")
     j = j.join(b, "block_id", "left")
-    section = F.when(F.col("block_text").isNull(), F.raise_error(F.lit("a chunk's block is missing")).cast("string")).otherwise(F.col("block_section"))
+    section = F.when(F.col("stored").isNull(), F.raise_error(F.lit("a chunk's block is missing")).cast("string")).otherwise(F.col("block_section"))
     j = j.select("query_id", "id", "score", "rank", "paper_id", "title", "block_id", "text", section.alias("section_path"), citation(F.col("paper_id")).alias("url"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return j.withColumn("place", place).filter(F.col("place") <= k)

@@ -27,17 +27,37 @@ def odd_dir(spark, tmp_path_factory):
     return at
 
 
-@pytest.fixture(scope="module")
-def odd_connection(odd_dir):
+def _connect(at):
     import duckdb
 
     c = duckdb.connect()
     for t in ("documents", "embeddings", "labels", "benchmark"):
-        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{odd_dir}/{t}.parquet/*.parquet'")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet/*.parquet'")
     return c
 
 
+@pytest.fixture(scope="module")
+def odd_connection(odd_dir):
+    return _connect(odd_dir)
+
+
+@pytest.fixture(scope="module")
+def null_dir(spark, odd_dir, tmp_path_factory):
+    """The same tables with all texts null but every nineteenth."""
+    at = tmp_path_factory.mktemp("null")
+    for t in ("embeddings", "labels", "benchmark"):
+        (at / f"{t}.parquet").symlink_to(f"{odd_dir}/{t}.parquet")
+    spark.read.parquet(f"{odd_dir}/documents.parquet").withColumn("text", F.when(F.col("doc_id") % 19 == 0, F.col("text"))).write.parquet(f"{at}/documents.parquet")
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def null_connection(null_dir):
+    return _connect(null_dir)
+
+
 NAMES = [
+    "retrieve_grounded",
     "orphan_hits",
     "hybrid_search_filtered",
     "eval_recall_mrr",
@@ -46,6 +66,17 @@ NAMES = [
 ]
 
 
+OF_NULLS = [
+    "retrieve_grounded",
+    "coverage_counts",
+]
+
+
+@pytest.mark.parametrize("name", OF_NULLS)
+def test_null_texts_equal_sql(name, spark, null_connection, null_dir):
+    compare(spark, null_connection, QUERIES[name], SQL[name], null_dir)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_odd_texts_equal_sql(name, spark, odd_connection, odd_dir):
     compare(spark, odd_connection, QUERIES[name], SQL[name], odd_dir)
