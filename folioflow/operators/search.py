@@ -41,9 +41,12 @@ def filtered(collection: DataFrame, filters: Filters = Filters()) -> DataFrame:
     return out
 
 
-def dense(collection: DataFrame, questions: DataFrame, most: int | None = None) -> DataFrame:
-    """query_id, id, score, rank: the `most` rows (all without it) of highest cosine with each question (query_id, vector), 0 for a zero vector; a row without a vector has no score."""
-    return ranked(vector_index.scores(collection, questions, most), ["query_id"], most)
+def dense(collection: DataFrame, questions: DataFrame, most: int | None = None, undefined: bool = False) -> DataFrame:
+    """query_id, id, score, rank: the `most` rows (all without it) of highest cosine with each question (query_id, vector), 0 for a zero vector; a row without a vector has no score.
+
+    `undefined`, for whole lists: a zero vector's score is NaN, above all others, and a row without a vector comes last, as SQL has it.
+    """
+    return ranked(vector_index.scores(collection, questions, most, undefined=undefined), ["query_id"], most)
 
 
 def term_counts(rows: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
@@ -91,10 +94,10 @@ def sparse(scores: DataFrame, most: int | None = None) -> DataFrame:
     return ranked(scores.filter("score > 0"), ["query_id"], most)
 
 
-def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filters(), weight: float = 0.5, most: int = 10, channel: str = "tfidf", terms: DataFrame | None = None) -> DataFrame:
+def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filters(), weight: float = 0.5, most: int = 10, channel: str = "tfidf", terms: DataFrame | None = None, undefined: bool = False) -> DataFrame:
     """query_id, id, score, rank: the `most` best of each question (query_id, vector, text) by both channels fused, each channel with all its rows.
 
-    `terms`: `kept_terms` of the whole collection, or those of all words of the questions, so that no text is taken apart.
+    `terms`: `kept_terms` of the whole collection, or those of all words of the questions, so that no text is taken apart. `undefined`: as in `dense`.
     """
     rows = filtered(collection, filters)
     if channel != "tfidf":
@@ -103,7 +106,7 @@ def hybrid(collection: DataFrame, questions: DataFrame, filters: Filters = Filte
         scores = tfidf_scores(rows, questions, collection)
     else:
         scores = term_scores(filtered(terms, filters).select("id", "token", "tf"), terms.select("id", "token"), questions, collection)
-    fused = rrf(dense(rows, questions), sparse(scores), weight, by=["query_id"])
+    fused = rrf(dense(rows, questions, undefined=undefined), sparse(scores), weight, by=["query_id"])
     return ranked(fused.withColumn("score", F.round("score", 12)), ["query_id"], most)
 
 

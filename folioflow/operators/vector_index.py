@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,19 +105,41 @@ def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(questions: np.ndarray, most: int | None, probes: np.ndarray | None, schema: pa.Schema):
-    """Of each batch and question the rows that may be among the `most` best, or all. probes: lists x questions, whether a question goes to a list."""
+def _unscored(ids: pa.Array, asked: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Each of these rows with each of these questions, without a score."""
+    several = max(1, PAIRS // max(1, len(asked)))
+    for at in range(0, len(ids) if len(asked) else 0, several):
+        some = ids[at : at + several]
+        twice = pa.array(np.repeat(np.arange(len(some)), len(asked)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.tile(asked, len(some)).astype(np.int32)), some.take(twice), pa.nulls(len(twice), pa.float64())], schema=schema)
+
+
+def _best(questions: np.ndarray, most: int | None, probes: np.ndarray | None, schema: pa.Schema, undefined: bool = False, without: int = 0):
+    """Of each batch and question the rows that may be among the `most` best, or all. probes: lists x questions, whether a question goes to a list.
+
+    `undefined`: as in `scores`; `without`: how many questions without a vector follow the others.
+    """
     q, long = unit(questions), np.sqrt(_dots(questions, questions))
 
     def cosine(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         a, b = x[i], questions[j]
         n = np.sqrt(_dots(a, a)) * long[j]
+        if undefined:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                return _dots(a, b) / n
         return np.divide(_dots(a, b), n, out=np.zeros(n.shape), where=n > 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
+            if undefined:
+                there = b["embedding"].is_valid()
+                yield from _unscored(b["id"].filter(pc.invert(there)), np.arange(len(q) + without), schema)
+                b = b.filter(there)
+                yield from _unscored(b["id"], np.arange(len(q), len(q) + without), schema)
+                if not b.num_rows or not len(q):
+                    continue
             x = matrix(b["embedding"])
             if probes is None:
                 groups = [(np.arange(len(x)), np.arange(len(q)))]
@@ -142,33 +165,39 @@ def _best(questions: np.ndarray, most: int | None, probes: np.ndarray | None, sc
     return run
 
 
-def scores(rows: DataFrame, questions: DataFrame, most: int | None, index: Index | None = None, probe: int | None = None) -> DataFrame:
+def scores(rows: DataFrame, questions: DataFrame, most: int | None, index: Index | None = None, probe: int | None = None, undefined: bool = False) -> DataFrame:
     """query_id, id, score: cosines (0 for a zero vector, rounded to nine places) of each question's best rows, `most` and some more; None: of all rows.
 
     `index`: `rows` are read from it, and a question goes to its `probe` nearest lists; else all rows count. Rows whose vector is null or
     of another length than a question's have none.
+    `undefined`, for whole lists: as in SQL, a zero vector's cosine is NaN, and a null vector, of a row or a question, makes a null score.
     """
+    if undefined and (most is not None or index is not None):
+        raise ValueError("undefined scores are for whole lists")
     spark = questions.sparkSession
     ship(spark)
-    asked = questions.select("query_id", F.col("vector").cast("array<double>").alias("vector")).filter("vector IS NOT NULL")
+    asked = questions.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = asked if undefined else asked.filter("vector IS NOT NULL")
     kind = rows.select("id").schema["id"].dataType
     number = T.StructType().add("q", T.IntegerType()).add("id", kind).add("score", T.DoubleType())
     out = None
     n = asked.count()
     for at in range(0, max(n, 1), TURN):
         turn = asked if n <= TURN else asked.orderBy("query_id").offset(at).limit(TURN)
-        held = turn.collect()  # TURN vectors at most
+        held = sorted(turn.collect(), key=lambda r: r.vector is None)  # TURN vectors at most
         if not held:
             break
-        v = np.array([r.vector for r in held], np.float64)
-        use, probes = rows.filter(F.size("embedding") == v.shape[1]), None
+        given = [r.vector for r in held if r.vector is not None]
+        v = np.array(given, np.float64) if given else np.zeros((0, 0))
+        fits = F.size("embedding") == v.shape[1] if given else F.lit(True)
+        use, probes = rows.filter(fits | F.col("embedding").isNull() if undefined else fits), None
         if index is not None and probe is not None and probe < len(index.centroids):
             near = np.argsort(-(unit(v) @ index.centroids.T), axis=1, kind="stable")[:, :probe]
             probes = np.zeros((len(index.centroids), len(v)), bool)
             probes[near.T, np.arange(len(v))] = True
             use = use.filter(F.col("list").isin([int(i) for i in np.flatnonzero(probes.any(axis=1))]))
         columns = ["id", "embedding"] + (["list"] if probes is not None else [])
-        found = use.select(*columns).mapInArrow(_best(v, most, probes, to_arrow_schema(number)), number)
+        found = use.select(*columns).mapInArrow(_best(v, most, probes, to_arrow_schema(number), undefined, len(held) - len(v)), number)
         names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(held)], T.StructType().add("q", T.IntegerType()).add("query_id", asked.schema["query_id"].dataType))
         part = found.join(F.broadcast(names), "q").select("query_id", "id", F.round("score", 9).alias("score"))
         out = part if out is None else out.unionByName(part)
