@@ -113,6 +113,18 @@ def test_suffix_dedup(spark, sf_dir, docs):
     assert [hashlib.sha256(bytes(k)).hexdigest() for k in again.kept] == [w[3] for w in want]
 
 
+def traced(work):
+    """(MB that numpy and Python took at most, result)."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        result = work()
+        return tracemalloc.get_traced_memory()[1] / 1e6, result
+    finally:
+        tracemalloc.stop()
+
+
 def removed(texts, n):
     """The bytes that stay, by brute force."""
     raw = [t.encode() for t in texts]
@@ -159,6 +171,62 @@ def test_suffix_dedup_of_repeated_rows_and_long_texts(spark, monkeypatch):
     assert all(bytes(r.cut.kept) == (want if r.doc_id == 8 else b"") for r in rows)
 
 
+def test_suffix_dedup_takes_little_memory_for_long_texts_and_large_batches(spark):
+    """The bytes of a long text are hashed a megabyte at a time, and a batch of many texts is cut a megabyte at a time; results as ever."""
+    import pyarrow as pa
+
+    from folioflow.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(7)
+    text = rng.integers(97, 123, 6 << 20, dtype=np.uint8)
+    text[4_000_000:4_000_600] = text[500:1100]
+    batch = pa.RecordBatch.from_pydict({"p1": [1], "p2": [2], "text": [text.tobytes().decode()]})
+    peak, rows = traced(lambda: list(s._segment_rows([batch])))
+    rows = pa.Table.from_batches(rows)
+    assert rows["windows"].to_numpy().sum() == len(text) - s.LENGTH + 1  # every window, once
+    spans = sorted(zip(rows["start"].to_pylist(), rows["windows"].to_pylist(), strict=True))
+    assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+    anchors = collections.Counter(rows["anchor"].to_pylist())
+    assert any(n > 1 for n in anchors.values())  # the passage's two places meet
+    assert peak < 250
+
+    texts = [rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode() for n in [30_000] * 1500] + ["", None]
+    runs = [[{"first": 100, "last": 199}, {"first": 150, "last": 300}, {"first": 20_000, "last": 20_000}]] * 1500 + [None, None]
+    want = [t[:100] + t[700:20_000] + t[20_400:] for t in texts[:1500]] + ["", ""]
+    column = (pa.array(texts), pa.array(runs))
+    peak, sizes = traced(lambda: [len(a) for a in s._cut.func(iter([column]))])
+    assert sum(sizes) == len(texts) and peak < 20
+    docs = spark.createDataFrame(list(zip(range(len(texts)), texts, runs, strict=True)), "doc_id long, text string, runs array<struct<first: long, last: long>>").coalesce(1)
+    got = docs.select("doc_id", s._cut("text", "runs").alias("cut")).orderBy("doc_id").collect()
+    assert [bytes(r.cut.kept).decode() for r in got] == want
+    assert [[(x.start, x.end) for x in r.cut.spans] for r in got] == [[(100, 700), (20_000, 20_400)]] * 1500 + [[], []]
+    assert [r.cut.n_bytes for r in got] == [30_000] * 1500 + [0, 0]
+
+
+def test_suffix_dedup_cuts_segments_of_long_texts_from_pages(spark, monkeypatch):
+    """Rows that segments are cut from are short however long a text is, and passages across the ends of pages are found whole."""
+    from folioflow.llm import suffix_dedup as s
+
+    rng = np.random.default_rng(8)
+    own = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passage = own(9000)
+    texts = [own(12_000) + passage + own(30_000), own(400), own(31_500) + passage, own(s.LENGTH - 1), passage[:5000], "", None]
+    texts.append(texts[0][-20_000:] + own(50))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    longest = []
+
+    def watched(cut, sources, *rest):
+        longest.append(sources.selectExpr("max(length(bytes))").first()[0])
+        return whole(cut, sources, *rest)
+
+    whole = s.repeated_runs
+    monkeypatch.setattr(s, "repeated_runs", watched)
+    for most in (s.MOST, 1):  # with one, segments are cut to chunks again
+        got = by_id(s.remove_repeats(docs, most=most).select("doc_id", "cut.kept"))
+        assert [bytes(k) for k in got.kept] == removed([t or "" for t in texts], s.LENGTH)
+    assert longest[0] < 20_000 < len(texts[0].encode())
+
+
 def test_suffix_array_equals_sorting():
     from folioflow.llm.suffix_dedup import common_prefixes, sliding_min, suffix_array
 
